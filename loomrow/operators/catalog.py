@@ -28,6 +28,8 @@ DOCUMENT = (
     "metadata map<string,string>, src_schema string, dst_schema_id string, mapping string"
 )
 
+WRITTEN_AT = "written_at"
+
 # fixed values: the metadata fields every dataset is offered
 DEFAULT_FIELDS = [
     "_size", "_records", "_link", "_dataset_description", "_source_type", "_created_at", "_license",
@@ -197,17 +199,24 @@ def default_registry(spark: SparkSession) -> DataFrame:
 # -- documents as files -----------------------------------------------------------------
 
 
-def read_documents(spark: SparkSession, folder: str, pattern: str = "*__*__*__*.json") -> DataFrame:
-    """Catalog documents from JSON files named ``version__dataset__subpath__stamp.json``."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).text(folder)
-    named = files.select(*key_parts(F.col("_metadata.file_name")), "value")
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Catalog documents from JSON files below ``folder``.
+
+    The name ``version__dataset__subpath__stamp`` is that of the file or of a folder above.
+    """
+    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    files = reader.option("pathGlobFilter", "*.json").text(folder)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+__[^/]+__[^/]+__[0-9]{12})(?:\.json)?(?:/|$)", 1)
+    named = files.select(name.alias("name"), "value").where(F.col("name") != "")
     content = "doc_id string, metadata map<string,string>, src_schema string, dst_schema_id string, mapping string"
-    return named.select(*KEY, "ts", F.from_json("value", content).alias("doc")).select(*KEY, "ts", "doc.*")
+    parsed = named.select(*key_parts(F.col("name")), F.from_json("value", content).alias("doc"))
+    return parsed.select(*KEY, "ts", "doc.*")
 
 
 def list_target_schemas(spark: SparkSession, folder: str) -> DataFrame:
     """Target schemas of a folder as ``name, schema`` (JSON text)."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(folder)
+    reader = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json")
+    files = reader.text(folder)
     return files.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("schema"))
 
 
@@ -247,7 +256,9 @@ class Catalog:
     def documents(self) -> DataFrame:
         if not exists(self.spark, self.documents_path):
             return self.spark.createDataFrame([], DOCUMENT)
-        return self.spark.read.schema(DOCUMENT).parquet(self.documents_path)
+        written = self.spark.read.schema(f"{DOCUMENT}, {WRITTEN_AT} timestamp").parquet(self.documents_path)
+        # a document written again within its minute replaces the earlier one
+        return latest(written, [*KEY, "ts"], WRITTEN_AT).drop(WRITTEN_AT)
 
     def current(self) -> DataFrame:
         return latest(self.documents())
@@ -259,9 +270,9 @@ class Catalog:
         """Append new versions and bring the master table up to date."""
         if now is None:
             now = datetime.now()
-        stamped = new.withColumn("ts", F.lit(now.strftime("%Y%m%d%H%M")))
         names = [field.split(" ")[0] for field in DOCUMENT.split(", ")]
-        stamped.select(*names).write.mode("append").parquet(self.documents_path)
+        stamped = new.withColumn("ts", F.lit(now.strftime("%Y%m%d%H%M"))).select(*names)
+        stamped.withColumn(WRITTEN_AT, F.current_timestamp()).write.mode("append").parquet(self.documents_path)
         self.refresh_master(stamped)
 
     def set_section(self, section: str, value: str, dataset: dict[str, str], now: datetime | None = None) -> None:

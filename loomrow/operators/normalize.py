@@ -39,10 +39,11 @@ def normalize(
     """
     shape = _Shape(max_len, tags)
     fields = [(f.name, f.dataType) for f in nullable_type(df.schema)]
+    # names of their own, so that no output column shadows a parsed one
     parsed = df.select(
-        *[shape.parse(F.col(quote_name(name)), dtype).alias(name) for name, dtype in fields]
+        *[shape.parse(F.col(quote_name(name)), dtype).alias(f"_parsed_{n}") for n, (name, dtype) in enumerate(fields)]
     )
-    values = [(name, Typed(F.col(quote_name(name)), dtype)) for name, dtype in fields]
+    values = [(name, Typed(F.col(f"_parsed_{n}"), dtype)) for n, (name, dtype) in enumerate(fields)]
     return parsed.select(*[value.col.alias(name) for name, value in shape.flatten(values)])
 
 

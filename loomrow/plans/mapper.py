@@ -12,6 +12,7 @@ then targets ending in an index, then ``[]`` targets group by group; the last wr
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Sequence
@@ -289,11 +290,12 @@ class _Compiler:
 
         if len(cast) <= LARGE_DICTIONARY:
             return Typed(F.try_element_at(table(cast), value.col), dtype)
+        # one constant holding small tables, folded once; a key's hash says which to search
         parts: list[dict] = [{} for _ in range(max(2, len(cast) // 8))]
         for key, item in cast.items():
             parts[zlib.crc32(key.encode()) % len(parts)][key] = item
-        empty = F.create_map().cast(T.MapType(T.StringType(), dtype))
-        tables = F.array(*[table(part) if part else empty for part in parts])
+        shape = T.ArrayType(T.MapType(T.StringType(), dtype))
+        tables = F.from_json(F.lit(json.dumps(parts)), shape)
         slot = (F.crc32(value.col.cast("binary")) % len(parts)).cast("int")
         return Typed(F.try_element_at(F.get(tables, slot), value.col), dtype)
 

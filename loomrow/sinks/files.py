@@ -50,7 +50,9 @@ def export_csv(df: DataFrame, path: str, n: int | None = None) -> None:
     shown = df if n is None else df.limit(n)
     shown.select(*[json_text(shown, name).alias(name) for name in shown.columns]).write.option(
         "header", "true"
-    ).option("quote", '"').option("escape", '"').csv(path)
+    ).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option(
+        "ignoreTrailingWhiteSpace", "false"
+    ).csv(path)
 
 
 def extract_sample(

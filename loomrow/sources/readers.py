@@ -33,7 +33,7 @@ def read_parquet(
     spark: SparkSession,
     path: str,
     *,
-    schema: T.StructType | None = None,
+    schema: T.StructType | str | None = None,
     merge_schema: bool = False,
     file_name: bool = False,
 ) -> DataFrame:
@@ -50,7 +50,7 @@ def read_json_lines(
     spark: SparkSession,
     path: str,
     *,
-    schema: T.StructType | None = None,
+    schema: T.StructType | str | None = None,
     fail_fast: bool = False,
     file_name: bool = False,
     pattern: str = "*.{json,jsonl,jsonl.gz,json.gz}",
@@ -67,12 +67,21 @@ def read_json_lines(
         reader = reader.option("mode", "FAILFAST")
         return _named((reader.schema(schema) if schema else reader).json(path), file_name)
     found = schema or reader.option("columnNameOfCorruptRecord", BAD_LINE).json(path).schema
-    full = T.StructType([*[f for f in found.fields if f.name != BAD_LINE], T.StructField(BAD_LINE, T.StringType())])
+    return parse_json_lines(_named(reader.text(path), file_name), found)
+
+
+def parse_json_lines(lines: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """Rows of ``schema`` and ``_bad_line`` out of the text column ``value``; other columns stay.
+
+    Parsed from text because the JSON reader refuses to count bad lines on their own.
+    """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    full = T.StructType([*[f for f in schema.fields if f.name != BAD_LINE], T.StructField(BAD_LINE, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
-    # parsed from text lines: the plain reader cannot count bad lines without data columns
-    lines = _named(reader.text(path), file_name).where(F.trim("value") != "")
-    parsed = lines.withColumn("row", F.from_json("value", full, options))
-    return parsed.select("row.*", *([FILE_NAME] if file_name else []))
+    kept = [name for name in lines.columns if name != "value"]
+    filled = lines.where(F.trim("value") != "")
+    return filled.withColumn("_row", F.from_json("value", full, options)).select("_row.*", *kept)
 
 
 def read_json_variant(spark: SparkSession, path: str, *, column: str = "value") -> DataFrame:
@@ -80,7 +89,7 @@ def read_json_variant(spark: SparkSession, path: str, *, column: str = "value")
 
     Lines that are not valid JSON have a null ``value`` and their text in ``_bad_line``.
     """
-    lines = _reader(spark, path, "*.{json,jsonl,jsonl.gz,json.gz}").text(path)
+    lines = _reader(spark, path, "*.{json,jsonl,jsonl.gz,json.gz}").text(path).where(F.trim("value") != "")
     parsed = lines.select(F.try_parse_json("value").alias(column), F.col("value").alias(BAD_LINE))
     return parsed.select(
         column, F.when(F.col(quote_name(column)).isNull(), F.col(BAD_LINE)).alias(BAD_LINE)
@@ -129,7 +138,7 @@ def read_dataset(
     spark: SparkSession,
     path: str,
     *,
-    schema: T.StructType | None = None,
+    schema: T.StructType | str | None = None,
     file_name: bool = False,
 ) -> DataFrame:
     """All supported files at or below ``path``, whatever their formats, as one DataFrame.
@@ -166,8 +175,6 @@ def sample_rows(
     None where the folder holds no supported file. With ``order_by`` the rows are the
     smallest by those columns rather than the first of the file.
     """
-    from ..operators.normalize import normalize
-
     files = discover_files(spark, folder, SAMPLE_EXTENSIONS)
     name = folder.rstrip("/").rsplit("/", 1)[-1]
     direct = files.where(F.element_at(F.split("path", "/"), -2) == name)
@@ -182,5 +189,11 @@ def sample_rows(
         df = read_tsv(spark, first)
     else:
         df = quarantine(read_json_lines(spark, first))[0]
-    picked = df.orderBy(*order_by).limit(k) if order_by else df.limit(k)
-    return normalize(picked, max_len=max_len)
+    return sample(df, k, order_by=order_by, max_len=max_len)
+
+
+def sample(df: DataFrame, k: int = 1, *, order_by: tuple[str, ...] = (), max_len: int = 120) -> DataFrame:
+    """``k`` normalised rows, the smallest by ``order_by`` if given (kept per task, then merged)."""
+    from ..operators.normalize import normalize
+
+    return normalize(df.orderBy(*order_by).limit(k) if order_by else df.limit(k), max_len=max_len)

@@ -13,17 +13,24 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.mapping import apply_mapping
 from ..plans.paths import MappingError
-from ..sources.readers import FILE_NAME
+from ..sources.readers import BAD_LINE, FILE_NAME, parse_json_lines
 
 
 def stream_source(
     spark: SparkSession, path: str, schema: T.StructType, *, file_format: str = "parquet"
 ) -> DataFrame:
-    """New files below ``path``; ``file_format`` is ``parquet`` or ``json`` (lines)."""
+    """New files below ``path``; ``file_format`` is ``parquet`` or ``json`` (lines).
+
+    Lines that are not valid JSON carry their text in ``_bad_line``, as in a batch scan.
+    """
     if file_format not in ("parquet", "json"):
         raise ValueError("file_format must be 'parquet' or 'json'")
-    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
-    return reader.format(file_format).load(path).withColumn(FILE_NAME, F.col("_metadata.file_path"))
+    reader = spark.readStream.option("recursiveFileLookup", "true")
+    name = F.col("_metadata.file_path")
+    if file_format == "parquet":
+        return reader.schema(schema).parquet(path).withColumn(FILE_NAME, name)
+    lines = reader.format("text").load(path).withColumn(FILE_NAME, name)
+    return parse_json_lines(lines, schema)
 
 
 def map_new_files(
@@ -37,6 +44,8 @@ def map_new_files(
     """Start mapping everything that is new and stop when it is done."""
     if not mapping:
         raise MappingError("the mapping is empty")
+    if BAD_LINE in source.columns:
+        source = source.where(F.col(BAD_LINE).isNull()).drop(BAD_LINE)
     mapped = apply_mapping(source, mapping, target_schema, keep=[FILE_NAME], **options)
     return (
         mapped.writeStream.format("parquet")
