@@ -20,24 +20,43 @@ TRUE_WORDS = ["true", "1", "yes", "on"]
 WHOLE_NUMBER = r"^[0-9]+$"
 DECIMAL_NUMBER = r"(?i)^\s*[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf(inity)?|nan)\s*$"
 
+# fixed values: JSON type of each type a variant reports
+VARIANT_TYPES = {
+    "OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null",
+    "BIGINT": "integer", "DOUBLE": "number", "FLOAT": "number",
+}
+
 
 def float_text(value: Column) -> Column:
     """Text of a double in plain notation for exponents -4..15, else as ``1e+20``.
 
-    Spark switches to scientific notation at 1E7 and 1E-3; the digits are the same.
+    Spark writes the same digits but turns to scientific notation at 1E7 and 1E-3. Whole
+    numbers and the usual range take a short way.
     """
-    text = value.cast("double").cast("string")
+    number = value.cast("double")
+    size = F.abs(number)
+    usual = ((size >= 1e-3) & (size < 1e7)) | (size == 0)
+    whole = (size >= 1e7) & (size < 1e16) & (number == F.rint(number))
+    return (
+        F.when(usual, number.cast("string"))
+        .when(whole, F.concat(number.cast("bigint").cast("string"), F.lit(".0")))
+        .otherwise(_rare_float_text(number))
+    )
+
+
+def _rare_float_text(number: Column) -> Column:
+    text = number.cast("string")
     mantissa = F.substring_index(text, "E", 1)
     exponent = F.substring_index(text, "E", -1).try_cast("int")
-    negative = mantissa.startswith("-")
-    sign = F.when(negative, "-").otherwise("")
-    unsigned = F.when(negative, F.substring(mantissa, 2, 100)).otherwise(mantissa)
-    digits = F.regexp_replace(F.regexp_replace(unsigned, r"\.", ""), r"(?<=.)0+$", "")
+    unsigned = F.ltrim(mantissa, F.lit("-"))
+    sign = F.when(mantissa.startswith("-"), "-").otherwise("")
+    digits = F.rtrim(F.translate(unsigned, ".", ""), F.lit("0"))
+    digits = F.when(digits == "", "0").otherwise(digits)
+    gap = F.greatest(exponent + 1 - F.length(digits), F.lit(0))
+    fraction = digits.substr(exponent + 2, F.length(digits))
     large = F.concat(
-        digits.substr(F.lit(1), exponent + 1),
-        F.repeat(F.lit("0"), F.greatest(exponent + 1 - F.length(digits), F.lit(0))),
-        F.lit("."),
-        F.when(F.length(digits) > exponent + 1, digits.substr(exponent + 2, F.length(digits))).otherwise("0"),
+        digits.substr(F.lit(1), exponent + 1), F.repeat(F.lit("0"), gap), F.lit("."),
+        F.when(fraction == "", "0").otherwise(fraction),
     )
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
     scientific = F.concat(
@@ -50,10 +69,12 @@ def float_text(value: Column) -> Column:
         .when((exponent < 0) & (exponent >= -4), small)
         .otherwise(scientific)
     )
-    words = (
-        F.when(F.isnan(value), "nan").when(text == "Infinity", "inf").when(text == "-Infinity", "-inf")
+    return (
+        F.when(text == "NaN", "nan")
+        .when(text == "Infinity", "inf")
+        .when(text == "-Infinity", "-inf")
+        .otherwise(F.concat(sign, shown))
     )
-    return F.when(words.isNotNull(), words).when(text.contains("E"), F.concat(sign, shown)).otherwise(text)
 
 
 def timestamp_text(value: Column) -> Column:
@@ -81,18 +102,11 @@ def variant_kind(value: Column) -> Column:
     A DECIMAL with scale 0 and more than 18 digits is a whole number too large for BIGINT.
     """
     described = F.schema_of_variant(value)
-    word = F.regexp_extract(described, "^[A-Z]+", 0)
-    return (
-        F.when(word == "OBJECT", "object")
-        .when(word == "ARRAY", "array")
-        .when(word == "STRING", "string")
-        .when(word == "BOOLEAN", "boolean")
-        .when(word == "VOID", "null")
-        .when(word.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer")
-        .when(described.rlike(r"^DECIMAL\((19|[23][0-9]), ?0\)$"), "integer")
-        .when(word.isin("DECIMAL", "DOUBLE", "FLOAT"), "number")
-        .otherwise("string")
-    )
+    word = F.substring_index(F.substring_index(described, "<", 1), "(", 1)
+    names = F.create_map(*[F.lit(part) for pair in VARIANT_TYPES.items() for part in pair])
+    large = described.rlike(r"^DECIMAL\((19|[23][0-9]), ?0\)$")
+    decimal = F.when(large, "integer").when(described.startswith("DECIMAL"), "number")
+    return F.coalesce(F.try_element_at(names, word), decimal, F.lit("string"))
 
 
 def _to_integer(value: Typed) -> Column | None:

@@ -11,9 +11,12 @@ from pyspark.sql import types as T
 from ..plans.paths import quote_name
 from ..plans.typed import is_complex
 
-# fixed values: a paired tag without attributes, and what counts as blank at either end
+# fixed values: a paired tag without attributes, and the characters stripped at either end
 TAG_PAIR = r"(?s)<([a-zA-Z0-9_]+)>(.*?)</\1>"
-BLANK_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 #: longest text a normalised sample shows
 MAX_TEXT = 120
@@ -21,7 +24,7 @@ MAX_TEXT = 120
 
 def strip(text: Column) -> Column:
     """Remove blanks of any kind at both ends."""
-    return F.regexp_replace(text, BLANK_ENDS, "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def shorten(text: Column, max_len: int = MAX_TEXT) -> Column:

@@ -128,50 +128,51 @@ def infer_schema(
 def json_field_types(df: DataFrame, column: str, max_depth: int = 8) -> DataFrame:
     """``path, type, n, open`` for every field of the VARIANT (or JSON text) ``column``.
 
-    Values are unfolded level by level inside the tasks, in one pass over the data, and
+    Each value is unfolded inside its row, in one pass over the data, and the fields are
     counted before the shuffle. ``open`` marks values nested deeper than ``max_depth``.
     """
     value = F.col(quote_name(column))
     if isinstance(df.schema[column].dataType, T.StringType):
         value = F.try_parse_json(value)
-    rows = df.select(
-        F.lit(ROOT).alias("path"), value.alias("v"), F.lit(None).cast("string").alias("type")
-    ).where(F.col("v").isNotNull())
-    for depth in range(max_depth + 1):
-        rows = rows.select(
-            "path", "v", "type",
-            F.col("v").try_cast(_VARIANT_MAP).alias("m"),
-            F.col("v").try_cast(_VARIANT_ARRAY).alias("a"),
-        )
+    values = df.select(value.alias("v"))
+    # texts that do not parse give no fields; a filter on them would parse every text twice
+    found = F.when(F.col("v").isNotNull(), _fields(F.col("v"), F.lit(ROOT), max_depth))
+    fields = values.select(F.inline(found))
+    return fields.groupBy("path", "type").agg(F.count("*").alias("n"), F.bool_or("open").alias("open"))
+
+
+def _fields(value: Column, path: Column, depth: int) -> Column:
+    """``array<struct<path, type, open>>`` of a value and all values inside it."""
+
+    def unfold(parts: Column) -> Column:
+        keyed, listed = parts["keyed"], parts["listed"]
         kind = (
-            F.when(F.col("m").isNotNull(), "object")
-            .when(F.col("a").isNotNull(), "array")
-            .otherwise(variant_kind(F.col("v")))
+            F.when(keyed.isNotNull(), "object")
+            .when(listed.isNotNull(), "array")
+            .otherwise(variant_kind(value))
         )
-        known = F.coalesce(F.col("type"), kind)
-        if depth == max_depth:
-            left = F.coalesce(F.size(F.col("m")), F.size(F.col("a")), F.lit(0)) > 0
-            rows = rows.select("path", known.alias("type"), left.alias("open"))
-            break
-        nothing = F.lit(None).cast(T.VariantType())
-
-        def item(path: Column, v: Column, kind: Column) -> Column:
-            return F.struct(path.alias("path"), v.alias("v"), kind.alias("type"))
-
-        unknown = F.lit(None).cast("string")
-        keys = F.transform(
-            F.map_entries("m"),
-            lambda e: item(F.concat(F.col("path"), F.lit("."), escaped(e["key"])), e["value"], unknown),
+        filled = (F.size(keyed) > 0) | (F.size(listed) > 0)
+        left = F.coalesce(filled, F.lit(False)) if depth == 0 else F.lit(False)
+        itself = F.array(F.struct(path.alias("path"), kind.alias("type"), left.alias("open")))
+        if depth == 0:
+            return itself
+        inner = F.coalesce(
+            F.transform(F.map_entries(keyed), lambda e: _child(F.concat(F.lit("."), escaped(e["key"])), e["value"])),
+            F.transform(listed, lambda x: _child(F.lit("[]"), x)),
         )
-        elements = F.transform("a", lambda x: item(F.concat(F.col("path"), F.lit("[]")), x, unknown))
-        none = F.array().cast(T.ArrayType(T.StructType([
-            T.StructField("path", T.StringType()),
-            T.StructField("v", T.VariantType()),
-            T.StructField("type", T.StringType()),
-        ])))
-        children = F.coalesce(keys, elements, none)
-        rows = rows.select(F.inline(F.concat(F.array(item(F.col("path"), nothing, known)), children)))
-    return rows.groupBy("path", "type").agg(F.count("*").alias("n"), F.bool_or("open").alias("open"))
+        below = F.transform(inner, lambda c: _fields(c["value"], F.concat(path, c["step"]), depth - 1))
+        nested = keyed.isNotNull() | listed.isNotNull()
+        return F.when(nested, F.concat(itself, F.flatten(below))).otherwise(itself)
+
+    # one-element array: gives the two casts a name, so that each is made once per value
+    casts = F.struct(
+        value.try_cast(_VARIANT_MAP).alias("keyed"), value.try_cast(_VARIANT_ARRAY).alias("listed")
+    )
+    return F.get(F.transform(F.array(casts), unfold), 0)
+
+
+def _child(step: Column, value: Column) -> Column:
+    return F.struct(step.alias("step"), value.alias("value"))
 
 
 def infer_schema_json(
@@ -204,7 +205,9 @@ def escape(key: str) -> str:
 
 
 def escaped(key: Column) -> Column:
-    return F.when(key.rlike(r"[.\[\]\\]"), F.regexp_replace(key, r"([.\[\]\\])", r"\\$1")).otherwise(key)
+    special = F.contains(key, F.lit(".")) | F.contains(key, F.lit("[")) | F.contains(key, F.lit("]"))
+    special = special | F.contains(key, F.lit("\\"))
+    return F.when(special, F.regexp_replace(key, r"([.\[\]\\])", r"\\$1")).otherwise(key)
 
 
 def _steps(path: str) -> list[str | None]:

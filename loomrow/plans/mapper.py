@@ -179,7 +179,7 @@ class _Compiler:
 
     def compile(self, mapping: list[dict]) -> CompiledMapping:
         entries = self.entries(mapping)
-        writes = [Write(e, e.target, self.row, tuple(e.levels)) for e in entries]
+        writes = [Write(e, e.target, self.row, tuple(e.levels), self.reached(e)) for e in entries]
         targets = {e.get("target_field") for e in mapping if e.get("target_field")}
         for write in writes:
             if not isinstance(write.path[0], str):
@@ -218,6 +218,15 @@ class _Compiler:
         dynamic = [e for (base, _), members in groups.items() if base for e in members]
         return plain + indexed + dynamic
 
+    def reached(self, entry: Entry) -> Column | None:
+        """Condition for what stands before the ``[]`` of a target to be created at all."""
+        if EACH_SEGMENT not in entry.target or entry.target[1] is EACH_SEGMENT:
+            return None
+        array = read_path(self.row, entry.levels[0])
+        if not isinstance(array.dtype, T.ArrayType):
+            return F.lit(False)
+        return F.coalesce(F.size(array.col) > 0, F.lit(False))
+
     # -- values ------------------------------------------------------------------
 
     def leaf(self, write: Write) -> tuple[Typed, Column | None]:
