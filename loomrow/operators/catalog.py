@@ -204,8 +204,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 
     The name ``version__dataset__subpath__stamp`` is that of the file or of a folder above.
     """
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-    files = reader.option("pathGlobFilter", "*.json").text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+__[^/]+__[^/]+__[0-9]{12})(?:\.json)?(?:/|$)", 1)
     named = files.select(name.alias("name"), "value").where(F.col("name") != "")
     content = "doc_id string, metadata map<string,string>, src_schema string, dst_schema_id string, mapping string"
@@ -215,8 +214,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def list_target_schemas(spark: SparkSession, folder: str) -> DataFrame:
     """Target schemas of a folder as ``name, schema`` (JSON text)."""
-    reader = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json")
-    files = reader.text(folder)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json")
     return files.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("schema"))
 
 
