@@ -29,7 +29,7 @@ TEXT = {"type": ["string", "null"]}
 def map_conversations(spark, folder):
     mapped = apply_mapping(chat_rows(spark, folder), CHAT_MAPPING, chat_schema(), keep=["conv_id", "turn"])
     return mapped.select(
-        "conv_id", "turn", "template", "_dataset_name", "_lang", F.posexplode("messages").alias("pos", "m")
+        "conv_id", "turn", "template", "_dataset_name", "_lang", F.posexplode_outer("messages").alias("pos", "m")
     ).select(
         "conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "template",
         "m.role", "m.content", "m.think", "_dataset_name", "_lang",
@@ -183,7 +183,7 @@ def map_dynamic_array(spark, folder):
         constant("origin", "data"),
     ]
     mapped = apply_mapping(chat_rows(spark, folder), mapping, None, keep=["conv_id", "turn"])
-    flat = mapped.select("conv_id", "turn", "origin", F.posexplode("items").alias("pos", "item"))
+    flat = mapped.select("conv_id", "turn", "origin", F.posexplode_outer("items").alias("pos", "item"))
     return flat.select(
         "conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "item.text", "item.mark", "origin"
     )
@@ -207,7 +207,7 @@ def map_zip_arrays(spark, folder):
     )
     mapping = [entry("a[].x", "m[].line"), entry("b[].y", "m[].sentence")]
     mapped = apply_mapping(source, mapping, None, keep=["conv_id", "turn"])
-    flat = mapped.select("conv_id", "turn", F.posexplode("m").alias("pos", "m"))
+    flat = mapped.select("conv_id", "turn", F.posexplode_outer("m").alias("pos", "m"))
     return flat.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "m.line", "m.sentence")
 
 
@@ -227,7 +227,7 @@ def words(spark, folder):
 def map_nested_diagonal(spark, folder):
     mapping = [entry("lines[].words[].word", "m[].word")]
     mapped = apply_mapping(words(spark, folder), mapping, None, keep=["conv_id", "turn"])
-    flat = mapped.select("conv_id", "turn", F.posexplode("m").alias("pos", "m"))
+    flat = mapped.select("conv_id", "turn", F.posexplode_outer("m").alias("pos", "m"))
     return flat.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "m.word")
 
 
@@ -240,8 +240,8 @@ def map_nested_diagonal(spark, folder):
 def map_nested_full(spark, folder):
     mapping = [entry("lines[].words[].word", "m[].parts[].word")]
     mapped = apply_mapping(words(spark, folder), mapping, None, keep=["conv_id", "turn"], nested="full")
-    lines = mapped.select("conv_id", "turn", F.posexplode("m").alias("line", "m"))
-    flat = lines.select("conv_id", "turn", "line", F.posexplode("m.parts").alias("pos", "p"))
+    lines = mapped.select("conv_id", "turn", F.posexplode_outer("m").alias("line", "m"))
+    flat = lines.select("conv_id", "turn", "line", F.posexplode_outer("m.parts").alias("pos", "p"))
     return flat.select(
         "conv_id", "turn", F.col("line").cast("bigint").alias("line"), F.col("pos").cast("bigint").alias("pos"), "p.word"
     )
@@ -258,7 +258,7 @@ def map_scalar_array(spark, folder):
     schema = props(labels={"type": "array", "items": {"type": "integer"}})
     source = table(spark, folder, "orders").select("o_orderkey", tags)
     mapped = apply_mapping(source, [entry("tags[]", "labels[]")], schema, keep=["o_orderkey"], errors=True)
-    flat = mapped.select("o_orderkey", "_errors", F.posexplode("labels").alias("pos", "label"))
+    flat = mapped.select("o_orderkey", "_errors", F.posexplode_outer("labels").alias("pos", "label"))
     path = F.concat(F.lit("labels."), F.col("pos").cast("string"))
     failed = F.exists("_errors", lambda e: e["path"] == path)
     return flat.select("o_orderkey", F.col("pos").cast("bigint").alias("pos"), "label", F.when(failed, path).alias("failed"))

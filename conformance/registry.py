@@ -70,6 +70,9 @@ TURNS = """
           FROM conversations)
 """
 
+# Arrays that were just computed are unfolded with posexplode_outer: for a plain posexplode
+# the optimiser adds a filter on the array, which computes it a second time.
+
 CHAT_MAPPING = [
     constant("template", "fc_chat_st"),
     constant("system", None),

@@ -113,7 +113,7 @@ def sql_explode_messages(spark, folder):
     return ops.run_sql(
         spark,
         """SELECT m.role, count(*) AS n, sum(length(m.content)) AS characters
-           FROM dataset LATERAL VIEW explode(messages) t AS m GROUP BY m.role""",
+           FROM dataset LATERAL VIEW OUTER explode(messages) t AS m GROUP BY m.role""",
         {"dataset": dataset},
     )
 

@@ -163,7 +163,7 @@ def list_target_schemas(spark, folder):
 def write_mapped(spark, folder):
     target = work_folder(spark, "mapped")
     sinks.write_mapped(apply_mapping(chat_rows(spark, folder), CHAT_MAPPING, None, keep=["conv_id", "turn"]), target)
-    stored = spark.read.parquet(target).select("conv_id", "turn", F.posexplode("messages").alias("pos", "m"))
+    stored = spark.read.parquet(target).select("conv_id", "turn", F.posexplode_outer("messages").alias("pos", "m"))
     role = F.coalesce("m.role", F.lit("USER")).alias("role")
     return stored.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "m.content", role)
 

@@ -39,8 +39,8 @@ def extract_tags(spark, folder):
 
 @query("extract_tags_html")
 def extract_tags_html(spark, folder):
-    pages = table(spark, folder, "pages").select("page_id", tags_of(F.col("html"), None).alias("tags"))
-    return pages.select("page_id", F.explode("tags").alias("tag", "content"))
+    tags = tags_of(F.col("html"), None)
+    return table(spark, folder, "pages").select("page_id", F.explode(tags).alias("tag", "content"))
 
 
 @query("truncate_text", f"SELECT doc_id, {short('text')} AS text FROM documents")

@@ -8,6 +8,7 @@ from loomrow.operators.inference import field_presence, json_field_types
 from loomrow.operators.mapping import map_and_validate as mapped_and_checked
 from loomrow.operators.query import describe
 from loomrow.operators.validation import dataset_eligible as eligible
+from loomrow.operators.validation import error_rows
 from loomrow.operators.validation import validate_rows as checked_rows
 from loomrow.operators.validation import validate_source as checked_source
 from loomrow.operators.validation import validation_report as report
@@ -61,8 +62,7 @@ def checked_turns(spark, folder):
 
 @query("validate_rows", TURN_ERRORS)
 def validate_rows(spark, folder):
-    found = checked_turns(spark, folder).select("conv_id", "turn", F.explode("_errors").alias("e"))
-    return found.select("conv_id", "turn", "e.path", "e.keyword")
+    return error_rows(checked_turns(spark, folder), ["conv_id", "turn"]).drop("message")
 
 
 @query(
@@ -111,7 +111,7 @@ def validate_source(spark, folder):
     )
     schema["required"] = ["o_orderstatus", "clerk"]
     found = checked_source(table(spark, folder, "orders"), schema)
-    return found.select("o_orderkey", F.explode("_errors").alias("e")).select("o_orderkey", "e.path", "e.keyword")
+    return error_rows(found, ["o_orderkey"]).drop("message")
 
 
 def seen(path: str, kind: str, column: str, source: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,15 @@ BLANKS = (
 MAX_TEXT = 120
 
 
+def evaluated_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` for a costly ``value`` that ``use`` names several times.
+
+    Expressions inside higher-order functions are not shared by the optimiser; the variable
+    of a one-element ``transform`` is.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(text: Column) -> Column:
     """Remove blanks of any kind at both ends."""
     return F.btrim(text, F.lit(BLANKS))
@@ -29,7 +38,8 @@ def strip(text: Column) -> Column:
 
 def shorten(text: Column, max_len: int = MAX_TEXT) -> Column:
     """First ``max_len`` characters and ``...`` where the text is longer."""
-    return F.when(F.length(text) > max_len, F.concat(F.substring(text, 1, max_len), F.lit("..."))).otherwise(text)
+    dots = F.when(F.length(text) > max_len, "...").otherwise("")
+    return F.concat(F.substring(text, 1, max_len), dots)
 
 
 def truncate_text(text: Column, max_len: int = MAX_TEXT) -> Column:
@@ -49,11 +59,22 @@ def tag_pattern(tags: Sequence[str] | None = None) -> str:
 
 
 def text_without_tags(
-    text: Column, max_len: int | None = MAX_TEXT, tags: Sequence[str] | None = None
+    text: Column,
+    max_len: int | None = MAX_TEXT,
+    tags: Sequence[str] | None = None,
+    *,
+    inside_array: bool = False,
 ) -> Column:
-    """Text with its paired tags cut out, stripped, and shortened if ``max_len`` is given."""
+    """Text with its paired tags cut out, stripped, and shortened if ``max_len`` is given.
+
+    ``inside_array`` is for use within a higher-order function.
+    """
     bare = F.when(may_hold_tags(text), F.regexp_replace(text, tag_pattern(tags), "")).otherwise(text)
-    return strip(bare) if max_len is None else truncate_text(bare, max_len)
+    if max_len is None:
+        return strip(bare)
+    if inside_array:
+        return evaluated_once(strip(bare), lambda t: shorten(t, max_len))
+    return truncate_text(bare, max_len)
 
 
 def tag_entries(text: Column, tags: Sequence[str] | None = None) -> Column:
@@ -75,14 +96,19 @@ def tag_entries(text: Column, tags: Sequence[str] | None = None) -> Column:
 
 def tags_by_name(entries: Column, max_len: int | None = MAX_TEXT) -> Column:
     """Map from tag to stripped (and shortened) content; the last of equal tags wins."""
-    names = F.array_distinct(F.transform(entries, lambda e: e["tag"]))
 
-    def last(name: Column) -> Column:
-        content = F.element_at(F.filter(entries, lambda e: e["tag"] == name), -1)["content"]
-        return strip(content) if max_len is None else truncate_text(content, max_len)
+    def grouped(found: Column) -> Column:
+        names = F.array_distinct(F.transform(found, lambda e: e["tag"]))
+
+        def last(name: Column) -> Column:
+            content = F.element_at(F.filter(found, lambda e: e["tag"] == name), -1)["content"]
+            if max_len is None:
+                return strip(content)
+            return evaluated_once(strip(content), lambda t: shorten(t, max_len))
+
+        return F.map_from_arrays(names, F.transform(names, last))
 
-    found = F.map_from_arrays(names, F.transform(names, last))
-    return F.coalesce(found, F.create_map().cast("map<string,string>"))
+    return F.coalesce(evaluated_once(entries, grouped), F.create_map().cast("map<string,string>"))
 
 
 def extract_tags(

@@ -53,9 +53,9 @@ def latest(docs: DataFrame, key: Sequence[str] = tuple(KEY), stamp: str = "ts")
 
 def obsolete(docs: DataFrame, key: Sequence[str] = tuple(KEY), stamp: str = "ts") -> DataFrame:
     """Every document but the newest of each dataset: what goes to the archive."""
-    newest = docs.groupBy(*key).agg(F.max(stamp).alias("_newest"))
-    older = docs.join(newest, list(key)).where(F.col(stamp) < F.col("_newest"))
-    return older.select(*docs.columns)
+    newest = docs.groupBy(*key).agg(F.max(stamp).alias(stamp))
+    # joined on name and stamp, so that a dataset with very many versions spreads over tasks
+    return docs.join(newest, [*key, stamp], "left_anti").select(*docs.columns)
 
 
 def append_version(docs: DataFrame, new: DataFrame, now: Column | None = None) -> DataFrame:
@@ -104,13 +104,13 @@ def upsert(
         new = latest(new, [key], newest_by)
     new = new.select(*old.columns)
     if not null_aware:
-        return old.join(new.select(key), key, "left_anti").select(*old.columns).unionByName(new)
+        return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new)
     # NOT IN spelled out: as a predicate it would have to broadcast all new keys
     facts = new.agg(F.count("*").alias("n"), F.count_if(F.col(key).isNull()).alias("nulls"))
     is_empty = facts.select(F.col("n") == 0).scalar()
     no_null = facts.select(F.col("nulls") == 0).scalar()
     kept = old.where(is_empty | (no_null & F.col(key).isNotNull()))
-    return kept.join(new.select(key), key, "left_anti").select(*old.columns).unionByName(new)
+    return kept.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new)
 
 
 def master_rows(docs: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def fill_keys(docs: DataFrame) -> DataFrame:
 def init_missing(datasets: DataFrame, docs: DataFrame, base: str, now: Column | None = None) -> DataFrame:
     """New empty documents for datasets that have none; the document id is the dataset path."""
     stamp = F.date_format(F.current_timestamp() if now is None else now, STAMP)
-    missing = datasets.select(*KEY).distinct().join(docs.select(*KEY), KEY, "left_anti")
+    missing = datasets.select(*KEY).distinct().join(docs.select(*KEY).distinct(), KEY, "left_anti")
     blank = missing.select(
         *KEY,
         stamp.alias("ts"),

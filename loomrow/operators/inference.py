@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.casts import variant_kind
+from ..functions.text import evaluated_once
 from ..plans.mapper import nullable_type
 from ..plans.paths import quote_name
 from .normalize import normalize as normalize_rows
@@ -164,11 +165,10 @@ def _fields(value: Column, path: Column, depth: int) -> Column:
         nested = keyed.isNotNull() | listed.isNotNull()
         return F.when(nested, F.concat(itself, F.flatten(below))).otherwise(itself)
 
-    # one-element array: gives the two casts a name, so that each is made once per value
     casts = F.struct(
         value.try_cast(_VARIANT_MAP).alias("keyed"), value.try_cast(_VARIANT_ARRAY).alias("listed")
     )
-    return F.get(F.transform(F.array(casts), unfold), 0)
+    return evaluated_once(casts, unfold)
 
 
 def _child(step: Column, value: Column) -> Column:

@@ -65,7 +65,11 @@ def map_and_validate(
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid target rows, and rejected rows with their errors, of a checked dataset."""
+    """Valid target rows, and rejected rows with their errors, of a checked dataset.
+
+    Meant for stored data: two uses of a plan map every row twice. To store both parts in
+    one pass use :func:`loomrow.sinks.files.write_checked`.
+    """
     return checked.where(F.col(VALID)).drop(ERRORS, VALID), checked.where(~F.col(VALID))
 
 

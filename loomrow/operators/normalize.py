@@ -59,15 +59,16 @@ class _Shape:
         self.max_len = max_len
         self.tags = None if tags is None else list(tags)
 
-    def parse(self, col: Column, dtype: T.DataType) -> Column:
+    def parse(self, col: Column, dtype: T.DataType, inside_array: bool = False) -> Column:
         """First step: every text becomes ``struct<text, tags>``, searched once."""
         if isinstance(dtype, T.StringType):
             found = tag_entries(col) if self.tags is None else extract_tags(col, self.max_len, self.tags)
-            return F.struct(text_without_tags(col, self.max_len, self.tags).alias("text"), found.alias("tags"))
+            text = text_without_tags(col, self.max_len, self.tags, inside_array=inside_array)
+            return F.struct(text.alias("text"), found.alias("tags"))
         if isinstance(dtype, T.ArrayType):
-            return F.transform(col, lambda x: self.parse(x, dtype.elementType))
+            return F.transform(col, lambda x: self.parse(x, dtype.elementType, True))
         if isinstance(dtype, T.StructType):
-            fields = [self.parse(col.getField(f.name), f.dataType).alias(f.name) for f in dtype]
+            fields = [self.parse(col.getField(f.name), f.dataType, inside_array).alias(f.name) for f in dtype]
             return F.when(col.isNotNull(), F.struct(*fields))
         return col
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +26,25 @@ def validate_source(df: DataFrame, source_schema: dict, *, nulls: Nulls | str =
     return validate_rows(df, source_schema, nulls=nulls)
 
 
+def error_rows(checked: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row ``path, keyword, message`` per error, with the ``keep`` columns in front.
+
+    Unfolded with the outer variant: the optimiser turns a plain ``explode`` into a filter
+    that would check every row a second time.
+    """
+    unfolded = checked.select(*keep, F.explode_outer(ERRORS).alias("_error"))
+    return unfolded.where(F.col("_error").isNotNull()).select(*keep, "_error.*")
+
+
 def validation_report(checked: DataFrame) -> DataFrame:
     """Errors of a checked dataset by path and keyword: count and smallest message.
 
     Partial counts are made before the shuffle, so one error repeated in most rows moves
     as one record per task.
     """
-    found = checked.where(~F.col(VALID)).select(F.explode(ERRORS).alias("error"))
-    return found.groupBy(
-        F.col("error.path").alias("path"), F.col("error.keyword").alias("keyword")
-    ).agg(F.count("*").alias("n"), F.min("error.message").alias("example"))
+    return error_rows(checked).groupBy("path", "keyword").agg(
+        F.count("*").alias("n"), F.min("message").alias("example")
+    )
 
 
 def dataset_eligible(

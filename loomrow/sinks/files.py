@@ -19,6 +19,11 @@ def write_mapped(df: DataFrame, path: str, *, mode: str = "errorifexists") -> No
     df.write.mode(mode).parquet(path)
 
 
+def write_checked(checked: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
+    """Checked rows in one pass, valid and rejected ones in folders of their own (``_valid=...``)."""
+    checked.write.mode(mode).partitionBy("_valid").parquet(path)
+
+
 class FolderNotEmpty(FileExistsError):
     """Results are never written into a folder that already holds something."""
 
