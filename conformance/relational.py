@@ -37,13 +37,13 @@ sql_query(
 sql_query(
     "sql_semi_join",
     """SELECT o_orderkey, o_totalprice FROM orders
-       WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)""",
+       WHERE o_orderkey IN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 45)""",
     "orders", "lineitem",
 )
 sql_query(
     "sql_anti_join",
     """SELECT d.doc_id, d.lang FROM documents d
-       WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
+       WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT doc_id FROM labels) l WHERE l.doc_id = d.doc_id)""",
     "documents", "labels",
 )
 sql_query(
@@ -93,12 +93,17 @@ sql_query(
     "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "orders",
 )
+# DISTINCT on each side: duplicates of a key are removed inside the tasks, before the shuffle
 sql_query("sql_union", "SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders", "customer", "orders")
 sql_query(
-    "sql_intersect", "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders", "customer", "orders"
+    "sql_intersect",
+    "SELECT DISTINCT c_custkey AS k FROM customer INTERSECT SELECT DISTINCT o_custkey FROM orders",
+    "customer", "orders",
 )
 sql_query(
-    "sql_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders", "customer", "orders"
+    "sql_except",
+    "SELECT DISTINCT c_custkey AS k FROM customer EXCEPT SELECT DISTINCT o_custkey FROM orders",
+    "customer", "orders",
 )
 
 

@@ -163,13 +163,12 @@ def map_dataset(
     single column ``_file_name`` of the output.
     """
     from ..sinks.files import write_mapped
-    from ..sources.discovery import discover_files
-    from ..sources.readers import BAD_LINE, FILE_NAME, read_dataset
+    from ..sources.readers import BAD_LINE, FILE_NAME, file_kinds, read_dataset
 
     if not mapping:
         raise MappingError("the mapping is empty")
-    source = read_dataset(spark, input_path, schema=source_schema, file_name=True)
-    total_files = discover_files(spark, input_path).count()
+    kinds = file_kinds(spark, input_path)
+    source = read_dataset(spark, input_path, schema=source_schema, kinds=kinds, file_name=True)
     rejected = Observation("rejected")
     if BAD_LINE in source.columns:
         is_bad = F.col(BAD_LINE).isNotNull()
@@ -180,7 +179,7 @@ def map_dataset(
     write_mapped(mapped, output_path, mode=mode)
     per_file = map_dataset_stats(spark.read.parquet(output_path))
     totals = per_file.agg(F.count("*").alias("files"), F.sum("rows").alias("rows")).first()
-    return MappingRun(total_files, totals["files"], totals["rows"] or 0, rejected.get["lines"], per_file)
+    return MappingRun(sum(kinds.values()), totals["files"], totals["rows"] or 0, rejected.get["lines"], per_file)
 
 
 def map_dataset_stats(mapped: DataFrame) -> DataFrame:

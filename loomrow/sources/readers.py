@@ -134,25 +134,28 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(~bad).drop(BAD_LINE), df.where(bad).select(*rest)
 
 
+def file_kinds(spark: SparkSession, path: str) -> dict[str, int]:
+    """Number of data files at or below ``path`` by kind, ``parquet`` or ``json``."""
+    kind = F.when(F.col("path").endswith(".parquet"), "parquet").otherwise("json").alias("kind")
+    counted = discover_files(spark, path, DATA_EXTENSIONS).groupBy(kind).count()
+    return {row["kind"]: row["count"] for row in counted.collect()}
+
+
 def read_dataset(
     spark: SparkSession,
     path: str,
     *,
     schema: T.StructType | str | None = None,
+    kinds: dict[str, int] | None = None,
     file_name: bool = False,
 ) -> DataFrame:
     """All supported files at or below ``path``, whatever their formats, as one DataFrame.
 
     A folder may mix parquet and JSON Lines: the parts are joined by column name. Without
-    ``schema`` all footers and JSON lines are looked at first to find every column.
+    ``schema`` all footers and JSON lines are looked at first to find every column. ``kinds``
+    is the result of :func:`file_kinds`, to spare a second listing.
     """
-    kinds = {
-        row["kind"]
-        for row in discover_files(spark, path, DATA_EXTENSIONS)
-        .select(F.when(F.col("path").endswith(".parquet"), "parquet").otherwise("json").alias("kind"))
-        .distinct()
-        .collect()
-    }
+    kinds = file_kinds(spark, path) if kinds is None else kinds
     if not kinds:
         raise FileNotFoundError(f"no supported data file at {path}")
     parts = []
