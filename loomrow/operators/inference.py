@@ -7,7 +7,7 @@ together on the driver from one record per field.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,23 +59,24 @@ def _json_type(dtype: T.DataType) -> str | None:
     return None if isinstance(dtype, T.VariantType) else "string"
 
 
-def _seen(col: Column, dtype: T.DataType, path: str) -> list[tuple[str, T.DataType, Column, Column]]:
-    """For a value and everything below it: is a null, and is a value, in this row?"""
-    found = [(path, dtype, col.isNull(), col.isNotNull())]
+def _places(dtype: T.DataType, path: str, steps: tuple) -> list[tuple[str, T.DataType, tuple]]:
+    """A field and all fields below it; steps are field names, None for array elements."""
+    found = [(path, dtype, steps)]
     if isinstance(dtype, T.StructType):
         for f in dtype:
-            for below, kind, null, value in _seen(col.getField(f.name), f.dataType, f"{path}.{escape(f.name)}"):
-                found.append((below, kind, col.isNotNull() & null, col.isNotNull() & value))
+            found += _places(f.dataType, f"{path}.{escape(f.name)}", (*steps, f.name))
     elif isinstance(dtype, T.ArrayType):
-        shape = _seen(F.lit(None).cast(dtype.elementType), dtype.elementType, path + "[]")
-        for n, (below, kind, _, _) in enumerate(shape):
+        found += _places(dtype.elementType, path + "[]", (*steps, None))
+    return found
 
-            def flag(which: int, n: int = n) -> Column:
-                test = F.exists(col, lambda x: _seen(x, dtype.elementType, path + "[]")[n][which])
-                return F.coalesce(test, F.lit(False))
 
-            found.append((below, kind, flag(2), flag(3)))
-    return found
+def _occurs(value: Column, steps: tuple, test: Callable[[Column], Column]) -> Column:
+    """Does the row hold a value at ``steps`` that passes ``test``?"""
+    if not steps:
+        return test(value)
+    if steps[0] is None:
+        return F.coalesce(F.exists(value, lambda x: _occurs(x, steps[1:], test)), F.lit(False))
+    return value.isNotNull() & _occurs(value.getField(steps[0]), steps[1:], test)
 
 
 def field_presence(df: DataFrame) -> DataFrame:
@@ -83,27 +84,27 @@ def field_presence(df: DataFrame) -> DataFrame:
 
     A single aggregation without grouping: each task sends one record.
     """
-    row = nullable_type(df.schema)
-    fields = [
-        item for f in row for item in _seen(F.col(quote_name(f.name)), f.dataType, f"{ROOT}.{escape(f.name)}")
-    ]
-    totals = df.agg(
-        F.count("*").alias("n"),
-        *[F.bool_or(null).alias(f"null_{i}") for i, (_, _, null, _) in enumerate(fields)],
-        *[F.bool_or(value).alias(f"value_{i}") for i, (_, _, _, value) in enumerate(fields)],
-    )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(path).alias("path"),
-                F.lit(_json_type(dtype)).alias("type"),
-                F.coalesce(F.col(f"null_{i}"), F.lit(False)).alias("null_seen"),
-                F.coalesce(F.col(f"value_{i}"), F.lit(False)).alias("value_seen"),
-            )
-            for i, (path, dtype, _, _) in enumerate(fields)
+    places = []
+    for f in nullable_type(df.schema):
+        places += [(f.name, *p) for p in _places(f.dataType, f"{ROOT}.{escape(f.name)}", ())]
+
+    def seen(test: Callable[[Column], Column], prefix: str) -> list[Column]:
+        return [
+            F.coalesce(F.bool_or(_occurs(F.col(quote_name(name)), steps, test)), F.lit(False)).alias(f"{prefix}{i}")
+            for i, (name, _, _, steps) in enumerate(places)
         ]
-    )
-    return totals.select(F.inline(rows))
+
+    totals = df.agg(*seen(lambda v: v.isNull(), "null_"), *seen(lambda v: v.isNotNull(), "value_"))
+    rows = [
+        F.struct(
+            F.lit(path).alias("path"),
+            F.lit(_json_type(dtype)).alias("type"),
+            F.col(f"null_{i}").alias("null_seen"),
+            F.col(f"value_{i}").alias("value_seen"),
+        )
+        for i, (_, path, dtype, _) in enumerate(places)
+    ]
+    return totals.select(F.inline(F.array(*rows)))
 
 
 def infer_schema(

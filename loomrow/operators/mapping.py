@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.casts import cast_to_schema
-from ..plans.json_schema import fallback_value, is_object, struct_of
-from ..plans.mapper import CompiledMapping, compile_mapping, nullable_type
+from ..plans.json_schema import is_object, struct_of
+from ..plans.mapper import CompiledMapping, compile_mapping
 from ..plans.paths import MappingError, quote_name
-from ..plans.typed import Typed, convert, literal, null_of
+from ..plans.typed import Typed, convert, null_of
 from ..plans.validator import Nulls, compile_validation
 
 ERRORS = "_errors"
@@ -91,27 +91,20 @@ def preview_mapping(
 def conform(df: DataFrame, target_schema: dict) -> DataFrame:
     """Select exactly the fields of ``target_schema``, coerced to its types at every level.
 
-    Absent fields become their default, first enum value, smallest instance or null as for
-    an unmapped field; columns the schema does not know are dropped.
+    Absent fields are completed as for a mapping of every column to itself; what the schema
+    does not know is dropped.
     """
-    row = Typed(None, nullable_type(df.schema), solid=True)
-    properties = target_schema.get("properties") or {}
-    required = target_schema.get("required") or []
-    columns = []
-    for field in struct_of(target_schema):
-        sub = properties[field.name]
-        create = field.name in required or "default" in sub or "enum" in sub
-        if field.name in row.dtype.names:
-            value = _fit(row.field(field.name), sub, field.dataType)
-            filler = fallback_value(sub)
-            if filler is not None:
-                value = Typed(F.coalesce(value.col, literal(filler, field.dataType).col), field.dataType)
-        elif create:
-            value = literal(fallback_value(sub), field.dataType)
-        else:
-            value = null_of(field.dataType)
-        columns.append(value.col.alias(field.name))
-    return df.select(*columns)
+    wanted = struct_of(target_schema)
+    itself = [
+        {"src_field": name, "target_field": name, "transformation": "src"}
+        for name in wanted.names
+        if name in df.columns
+    ]
+    compiled = compile_mapping(df.schema, itself, target_schema)
+    row = Typed(None, compiled.schema, solid=True)
+    properties = target_schema["properties"]
+    columns = [_fit(row.field(f.name), properties[f.name], f.dataType).col.alias(f.name) for f in wanted]
+    return df.select(*compiled.columns).select(*columns)
 
 
 def _fit(value: Typed, schema: dict, dtype: T.DataType) -> Typed:

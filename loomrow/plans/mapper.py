@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
@@ -127,13 +127,17 @@ class CompiledMapping:
 
     columns: list[Column]
     schema: T.StructType
-    #: array of :data:`ERROR_TYPE`: values that could not be coerced
-    cast_errors: Column
+    _cast_errors: Callable[[], Column]
     #: target path -> is the field always written (a null there is a value, not a gap)
     present: dict[tuple, bool] = field(default_factory=dict)
     #: top-level field -> was it written, for fields that may come from a minimal instance
     written: dict[str, Column] = field(default_factory=dict)
 
+    @property
+    def cast_errors(self) -> Column:
+        """Array of :data:`ERROR_TYPE`: values that could not be coerced."""
+        return self._cast_errors()
+
 
 def compile_mapping(
     source: T.StructType,
@@ -189,7 +193,7 @@ class _Compiler:
         return CompiledMapping(
             [f.col.alias(n) for f, n in zip(fields, row.dtype.names)],
             row.dtype,
-            self.cast_errors(writes),
+            lambda: self.cast_errors(writes),
             self.present,
             self.written,
         )

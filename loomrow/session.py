@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
+    # no stack trace per column expression: compiling a mapping makes many of them
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"

@@ -28,20 +28,18 @@ def holds_files(spark: SparkSession, path: str) -> bool:
     return system.exists(target) and len(system.listStatus(target)) > 0
 
 
-def replace_folder(spark: SparkSession, new: str, current: str) -> str | None:
-    """Put folder ``new`` in the place of ``current``; returns where the old one went.
+def replace_folder(spark: SparkSession, new: str, current: str) -> None:
+    """Put folder ``new`` in the place of ``current``, by renames: never half-written.
 
-    Two renames, so readers never see half-written data.
+    The last replaced state stays next to it as ``<current>.previous`` for queries that are
+    still reading it.
     """
     system, source = _locate(spark, new)
     _, target = _locate(spark, current)
-    old = None
+    _, previous = _locate(spark, f"{current.rstrip('/')}.previous")
     if system.exists(target):
-        old = f"{new.rstrip('/')}.replaced"
-        if not system.rename(target, _locate(spark, old)[1]):
+        system.delete(previous, True)
+        if not system.rename(target, previous):
             raise OSError(f"could not move {current} away")
-    elif target.getParent() is not None:
-        system.mkdirs(target.getParent())
     if not system.rename(source, target):
         raise OSError(f"could not move {new} to {current}")
-    return old
