@@ -54,7 +54,7 @@ def compare(spark: SparkSession, folder: str, function: Query, sql: str | None,
         extra = [r for r in got if r not in wanted][:2] if len(got) < 5000 else "?"
         lost = [r for r in wanted if r not in got][:2] if len(got) < 5000 else "?"
         return f"{len(got)} rows instead of {len(wanted)}; only here {extra}; only in SQL {lost}"
-    kinds = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    kinds = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
     for field in df.schema:
         kind = kinds.get(field.dataType.simpleString())
         if kind and kind != types[field.name] and not (kind == "BIGINT" and types[field.name] == "INTEGER"):

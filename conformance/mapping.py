@@ -8,6 +8,7 @@ from loomrow.functions.registry import TransformRegistry
 from loomrow.operators.mapping import apply_mapping, conform, map_dataset, preview_mapping
 from loomrow.resources import chat_schema
 from loomrow.session import work_folder
+from loomrow.sources.readers import read_json_variant
 
 from .registry import CHAT_MAPPING, TURNS, chat_rows, constant, entry, query, table
 
@@ -36,6 +37,26 @@ def map_conversations(spark, folder):
     )
 
 
+@query(
+    "map_json_lines",
+    f"""SELECT conv_id, turn, CAST(i AS BIGINT) AS pos, value AS content, think,
+               CASE speaker WHEN 'gpt' THEN 'ASSISTANT' ELSE 'USER' END AS role
+        FROM ({TURNS})""",
+)
+def map_json_lines(spark, folder):
+    """JSON Lines mapped as semi-structured values: no schema, no pass to find one."""
+    target = work_folder(spark, "chat-lines")
+    chat_rows(spark, folder).write.json(target)
+    schema = chat_schema()
+    schema["properties"].update(conv_id={"type": "integer"}, turn={"type": "integer"})
+    mapping = [*CHAT_MAPPING, entry("conv_id", "conv_id"), entry("turn", "turn")]
+    mapped = apply_mapping(read_json_variant(spark, target), mapping, schema, root="value")
+    flat = mapped.select("conv_id", "turn", F.posexplode_outer("messages").alias("pos", "m"))
+    return flat.select(
+        "conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "m.role", "m.content", "m.think"
+    )
+
+
 PROMPT_MAPPING = [
     constant("template", "chat"),
     entry("prompt", "messages[0].content"),

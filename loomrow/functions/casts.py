@@ -168,7 +168,8 @@ def cast_to_schema(value: Typed, schema: dict) -> tuple[Typed, Column | None]:
     """``value`` coerced to the type of ``schema``, and where that failed (None: cannot fail).
 
     Objects and arrays are never taken apart here: where the schema wants one, the value
-    passes as it is; where it wants text, the value becomes JSON text and counts as failed.
+    passes as it is (a VARIANT is given the type of the schema); where it wants text, the
+    value becomes JSON text and counts as failed.
     """
     if not schema or "type" not in schema:
         return (null_of(spark_type(schema)) if value.null and schema else value), None
@@ -184,7 +185,10 @@ def cast_to_schema(value: Typed, schema: dict) -> tuple[Typed, Column | None]:
         kept = to_variant(value)
         return Typed(F.coalesce(to_variant(first).col, kept.col), T.VariantType(), solid=value.solid), None
     if wanted not in ("string", "integer", "number", "boolean"):
-        return value, None
+        if not isinstance(value.dtype, T.VariantType) or not is_complex(dtype):
+            return value, None
+        typed = value.col.try_cast(dtype)
+        return Typed(typed, dtype), typed.isNull() & value.col.isNotNull() & ~F.is_variant_null(value.col)
 
     source = value.dtype
     target = {"string": T.StringType(), "integer": T.LongType(), "number": T.DoubleType()}.get(

@@ -146,22 +146,29 @@ def map_dataset(
     target_schema: dict | None = None,
     *,
     source_schema: T.StructType | None = None,
+    single_pass: bool = False,
     mode: str = "errorifexists",
     **options,
 ) -> MappingRun:
     """Map every supported file below ``input_path`` and write parquet to ``output_path``.
 
     Rows keep the name of their input file in ``_file_name``. Lines that are not valid JSON
-    are left out and counted. The data is read once; the counts per file come from the
-    single column ``_file_name`` of the output.
+    are left out and counted. The counts per file come from the single column ``_file_name``
+    of the output. With ``source_schema`` the data is read once. ``single_pass`` does
+    without one for folders of JSON Lines: lines are mapped as semi-structured values, and
+    target fields the schema gives no type stay VARIANT.
     """
     from ..sinks.files import write_mapped
-    from ..sources.readers import BAD_LINE, FILE_NAME, file_kinds, read_dataset
+    from ..sources.readers import BAD_LINE, FILE_NAME, file_kinds, read_dataset, read_json_variant
 
     if not mapping:
         raise MappingError("the mapping is empty")
     kinds = file_kinds(spark, input_path)
-    source = read_dataset(spark, input_path, schema=source_schema, kinds=kinds, file_name=True)
+    if single_pass and set(kinds) == {"json"}:
+        source = read_json_variant(spark, input_path, file_name=True)
+        options["root"] = "value"
+    else:
+        source = read_dataset(spark, input_path, schema=source_schema, kinds=kinds, file_name=True)
     rejected = Observation("rejected")
     if BAD_LINE in source.columns:
         is_bad = F.col(BAD_LINE).isNotNull()

@@ -28,7 +28,7 @@ from ..functions.casts import cast_constant, cast_to_schema
 from ..functions.registry import DEFAULT_REGISTRY, TransformRegistry
 from .json_schema import fallback_value, is_object, spark_type, sub_schema
 from .paths import EACH_SEGMENT, Each, MappingError, parse_path, split_levels
-from .typed import At, Typed, choose, convert, is_complex, literal, null_of, read_path, type_of_value, unify
+from .typed import At, Typed, as_array, choose, convert, is_complex, literal, null_of, read_path, type_of_value, unify
 
 #: source values meaning "no source: the transformation is the value itself"
 NO_SOURCE = ("N/A", "", None)
@@ -144,6 +144,7 @@ def compile_mapping(
     mapping: list[dict],
     target_schema: dict | None = None,
     *,
+    root: str | None = None,
     nested: str = "diagonal",
     dummy: bool = False,
     registry: TransformRegistry | None = None,
@@ -151,6 +152,8 @@ def compile_mapping(
 ) -> CompiledMapping:
     """Compile ``mapping`` from rows of type ``source`` into rows of ``target_schema``.
 
+    ``root`` names a VARIANT or struct column the source paths start from, instead of the row.
+
     ``nested`` says what several ``[]`` in one path mean: ``"diagonal"`` uses the same
     position at every level (``a[i].b[i]``), ``"full"`` walks each level on its own.
     Without a target schema nothing is coerced, defaulted or added.
@@ -160,7 +163,7 @@ def compile_mapping(
     if not isinstance(mapping, list) or not all(isinstance(entry, dict) for entry in mapping):
         raise MappingError("a mapping must be a list of objects")
     compiler = _Compiler(
-        nullable_type(source),
+        read_path(Typed(None, nullable_type(source), solid=True), () if root is None else (root,)),
         target_schema or {},
         nested == "full",
         dummy,
@@ -170,8 +173,8 @@ def compile_mapping(
 
 
 class _Compiler:
-    def __init__(self, source, schema, full, dummy, registry):
-        self.row = Typed(None, source, solid=True)
+    def __init__(self, row, schema, full, dummy, registry):
+        self.row = row
         self.schema = schema
         self.full = full
         self.dummy = dummy
@@ -226,7 +229,7 @@ class _Compiler:
         """Condition for what stands before the ``[]`` of a target to be created at all."""
         if EACH_SEGMENT not in entry.target or entry.target[1] is EACH_SEGMENT:
             return None
-        array = read_path(self.row, entry.levels[0])
+        array = as_array(read_path(self.row, entry.levels[0]))
         if not isinstance(array.dtype, T.ArrayType):
             return F.lit(False)
         return F.coalesce(F.size(array.col) > 0, F.lit(False))
@@ -259,10 +262,13 @@ class _Compiler:
             return null_of(T.NullType())
         for level in rest:
             value = self.deeper(value, level)
+        if isinstance(value.dtype, T.VariantType):
+            return Typed(F.when(~F.is_variant_null(value.col), value.col), value.dtype)
         return value
 
     def deeper(self, value: Typed, level: tuple) -> Typed:
         """Source levels beyond the target's own: an array of the values below."""
+        value = as_array(value)
         if not isinstance(value.dtype, T.ArrayType):
             return null_of(T.NullType())
         element = value.dtype.elementType
@@ -418,7 +424,7 @@ class _Compiler:
         return Typed(F.array(*[cell.col for cell in cells]), T.ArrayType(element), solid=True)
 
     def source_array(self, write: Write) -> Typed:
-        array = read_path(write.root, write.levels[0])
+        array = as_array(read_path(write.root, write.levels[0]))
         if len(write.levels) < 2:
             raise MappingError("a target has more [] levels than its source")
         return array

@@ -185,20 +185,28 @@ def choose(cond: Column | None, value: Typed, otherwise: Typed | None) -> Typed:
     return Typed(col, dtype, solid=value.solid and otherwise.solid)
 
 
+def as_array(value: Typed) -> Typed:
+    """An array stored in a VARIANT as an array of VARIANTs; other values unchanged."""
+    if not isinstance(value.dtype, T.VariantType):
+        return value
+    dtype = T.ArrayType(T.VariantType())
+    return Typed(value.col.try_cast(dtype), dtype)
+
+
 def read_path(value: Typed, segments: tuple) -> Typed:
     """Follow ``segments``; anything that is not there reads as null."""
     for segment in segments:
         dtype = value.dtype
         if isinstance(segment, Each):
             return null_of(T.NullType())
-        if isinstance(segment, (int, At)):
-            if not isinstance(dtype, T.ArrayType):
-                if isinstance(dtype, T.VariantType) and isinstance(segment, int):
-                    value = Typed(F.try_variant_get(value.col, f"$[{segment}]", "variant"), dtype)
-                    continue
+        if isinstance(segment, int) and isinstance(dtype, T.VariantType):
+            value = Typed(F.try_variant_get(value.col, f"$[{segment}]", "variant"), dtype)
+        elif isinstance(segment, (int, At)):
+            array = as_array(value)
+            if not isinstance(array.dtype, T.ArrayType):
                 return null_of(T.NullType())
             index = F.lit(segment) if isinstance(segment, int) else segment.position
-            value = Typed(F.get(value.col, index), dtype.elementType)
+            value = Typed(F.get(array.col, index), array.dtype.elementType)
         elif isinstance(dtype, T.StructType) and segment in dtype.names:
             value = value.field(segment)
         elif isinstance(dtype, T.MapType) and isinstance(dtype.keyType, T.StringType):

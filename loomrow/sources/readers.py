@@ -84,16 +84,21 @@ def parse_json_lines(lines: DataFrame, schema: T.StructType | str) -> DataFrame:
     return filled.withColumn("_row", F.from_json("value", full, options)).select("_row.*", *kept)
 
 
-def read_json_variant(spark: SparkSession, path: str, *, column: str = "value") -> DataFrame:
+def read_json_variant(
+    spark: SparkSession, path: str, *, column: str = "value", file_name: bool = False
+) -> DataFrame:
     """JSON Lines as one VARIANT column, keeping missing keys apart from nulls.
 
-    Lines that are not valid JSON have a null ``value`` and their text in ``_bad_line``.
+    Needs no schema, so no pass to find one. Lines that are not valid JSON have a null
+    ``value`` and their text in ``_bad_line``; blank lines are skipped.
     """
-    lines = _reader(spark, path, "*.{json,jsonl,jsonl.gz,json.gz}").text(path).where(F.trim("value") != "")
-    parsed = lines.select(F.try_parse_json("value").alias(column), F.col("value").alias(BAD_LINE))
-    return parsed.select(
-        column, F.when(F.col(quote_name(column)).isNull(), F.col(BAD_LINE)).alias(BAD_LINE)
+    lines = _named(_reader(spark, path, "*.{json,jsonl,jsonl.gz,json.gz}").text(path), file_name)
+    kept = [FILE_NAME] if file_name else []
+    parsed = lines.where(F.trim("value") != "").select(
+        F.try_parse_json("value").alias(column), F.col("value").alias(BAD_LINE), *kept
     )
+    bad = F.when(F.col(quote_name(column)).isNull(), F.col(BAD_LINE)).alias(BAD_LINE)
+    return parsed.select(column, bad, *kept)
 
 
 def read_csv(

@@ -135,6 +135,26 @@ def test_variant_source(spark, mapped):
     assert mapped(df, mapping, schema) == [{"p": "x", "n": 5, "r": "USER"}]
 
 
+def test_semi_structured_rows_map_without_a_schema(spark, rows):
+    texts = [
+        '{"id":1,"conversations":[{"from":"human","value":"Q"},{"from":"gpt","value":"A","think":"T"},{"from":"x"}]}',
+        '{"id":"7","conversations":[]}', '{"id":null,"conversations":"text","tags":["a",1]}', '[1]',
+    ]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    df = df.select("n", F.parse_json("t").alias("doc"))
+    schema = {**CHAT, "properties": {**CHAT["properties"], "id": INTEGER, "tags": {"type": "array", "items": {"type": "string"}}}}
+    mapping = [*TURN_MAPPING, entry("id", "id"), entry("tags", "tags"), entry("conversations[1].value", "system")]
+    found = rows(apply_mapping(df, mapping, schema, keep=["n"], root="doc"), "n")
+    assert [r["id"] for r in found] == [1, 7, None, None]
+    assert found[0]["messages"] == [message("USER", "Q"), message("ASSISTANT", "A", think="T"), message("USER", None)]
+    assert found[0]["system"] == "A"
+    assert [r["messages"] for r in found[1:]] == [[message()]] * 3
+    assert found[2]["tags"] == ["a", "1"]
+    errors = rows(apply_mapping(df, [entry("conversations[].value", "m[]")],
+                                props(m={"type": "array", "items": INTEGER}), root="doc", errors=True))
+    assert [e["path"] for e in errors[0]["_errors"]] == ["m.0", "m.1"]
+
+
 # -- constants and dictionaries -----------------------------------------------------------
 
 

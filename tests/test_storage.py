@@ -92,6 +92,15 @@ def test_whole_job(spark, base, rows):
         map_dataset(spark, base, f"{base}/out2", [])
 
 
+def test_whole_job_without_a_schema(spark, base, rows):
+    schema = {"type": "object", "properties": {"p": {"type": "integer"}, "z": {"type": "integer"}}}
+    mapping = [entry("p", "p"), entry("q.z", "z")]
+    run = map_dataset(spark, f"{base}/v1/Alpha", f"{base}/single", mapping, schema, single_pass=True)
+    assert (run.total_files, run.total_processed_samples, run.rejected_lines) == (2, 3, 1)
+    stored = rows(spark.read.parquet(f"{base}/single").select("p", "z"), "p")
+    assert stored == [{"p": 1, "z": 1}, {"p": 2, "z": None}, {"p": 3, "z": None}]
+
+
 def test_stream_maps_every_file_once(spark, base, rows):
     schema = T.StructType.fromDDL("p string")
 
