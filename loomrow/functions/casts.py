@@ -138,27 +138,32 @@ def _to_boolean(value: Typed) -> Column:
 
 
 def _from_variant(value: Typed, kind: str) -> Column:
-    """Scalar of JSON type ``kind`` out of a variant, by the type each value really has."""
+    """Scalar of JSON type ``kind`` out of a variant, by the type each value really has.
+
+    Values that already have the type take a short way.
+    """
+    fixed = F.schema_of_variant(value.col)
     actual = variant_kind(value.col)
     text = value.col.try_cast("string")
     if kind == "integer":
         parsed = F.when(text.rlike(WHOLE_NUMBER), text.try_cast("bigint"))
-        return F.when(actual == "string", parsed).otherwise(value.col.try_cast("bigint"))
+        return F.when(fixed == "STRING", parsed).otherwise(value.col.try_cast("bigint"))
     if kind == "number":
         parsed = _to_number(Typed(text, T.StringType()))
-        return F.when(actual == "string", parsed).otherwise(value.col.try_cast("double"))
+        return F.when(fixed == "STRING", parsed).otherwise(value.col.try_cast("double"))
     if kind == "boolean":
         words = F.lower(text).isin(TRUE_WORDS)
         number = value.col.try_cast("double") != 0
         empty = F.to_json(value.col).isin("{}", "[]")
         return (
-            F.when(actual == "string", words)
-            .when(actual == "boolean", value.col.try_cast("boolean"))
+            F.when(fixed == "BOOLEAN", value.col.try_cast("boolean"))
+            .when(fixed == "STRING", words)
             .when(actual.isin("integer", "number"), number)
             .otherwise(~empty)
         )
     return (
-        F.when(actual == "boolean", F.initcap(text))
+        F.when(fixed == "STRING", text)
+        .when(actual == "boolean", F.initcap(text))
         .when(actual == "number", float_text(value.col.try_cast("double")))
         .otherwise(text)
     )

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from ..functions.casts import cast_constant, cast_to_schema
 from ..functions.registry import DEFAULT_REGISTRY, TransformRegistry
+from ..functions.text import evaluated_once
 from .json_schema import fallback_value, is_object, spark_type, sub_schema
 from .paths import EACH_SEGMENT, Each, MappingError, parse_path, split_levels
 from .typed import At, Typed, as_array, choose, convert, is_complex, literal, null_of, read_path, type_of_value, unify
@@ -253,8 +254,24 @@ class _Compiler:
             # the type a function returns is unknown until analysis: text unless it says otherwise
             dtype = getattr(function, "returns", T.StringType())
             value = Typed(F.when(value.col.isNotNull(), function(value.col)).cast(dtype), dtype)
+        if isinstance(value.dtype, T.VariantType):
+            return self.from_variant(value.col, entry.schema)
         return cast_to_schema(value, entry.schema)
 
+    @staticmethod
+    def from_variant(source: Column, schema: dict) -> tuple[Typed, Column | None]:
+        """Coerce a VARIANT, taken out of its row once however often the coercion names it."""
+        plain, failed = cast_to_schema(Typed(F.lit(None).cast("variant"), T.VariantType()), schema)
+
+        def part(which: int):
+            def use(v: Column) -> Column:
+                value, bad = cast_to_schema(Typed(v, T.VariantType()), schema)
+                return F.when(~F.is_variant_null(v), value.col) if which == 0 else bad
+
+            return evaluated_once(source, use)
+
+        return Typed(part(0), plain.dtype), None if failed is None else part(1)
+
     def raw(self, write: Write) -> Typed:
         value = read_path(write.root, write.levels[0])
         rest = write.levels[1:]
@@ -262,8 +279,6 @@ class _Compiler:
             return null_of(T.NullType())
         for level in rest:
             value = self.deeper(value, level)
-        if isinstance(value.dtype, T.VariantType):
-            return Typed(F.when(~F.is_variant_null(value.col), value.col), value.dtype)
         return value
 
     def deeper(self, value: Typed, level: tuple) -> Typed:
@@ -297,9 +312,11 @@ class _Compiler:
             for item in cast.values():
                 dtype = unify(dtype, type_of_value(item))
         if isinstance(value.dtype, T.VariantType):
-            text = F.try_variant_get(value.col, "$", "string")
-            is_text = F.schema_of_variant(value.col) == "STRING"
-            value = Typed(F.when(is_text, text), T.StringType())
+
+            def text(v: Column) -> Column:
+                return F.when(F.schema_of_variant(v) == "STRING", v.try_cast("string"))
+
+            value = Typed(evaluated_once(value.col, text), T.StringType())
         if not cast or not isinstance(value.dtype, T.StringType):
             return null_of(dtype)
 
@@ -444,12 +461,18 @@ class _Compiler:
             build(F.lit(None).cast("string"), F.lit(0))
             return null_of(T.ArrayType(found[-1].dtype))
         element = array.dtype.elementType
-        built = F.transform(array.col, build)
+
+        def whole(items_in: Column) -> Column:
+            return F.when(F.size(items_in) > 0, F.transform(items_in, build))
+
+        # an array taken out of a VARIANT is a copy: make it once
+        built = evaluated_once(array.col, whole) if isinstance(element, T.VariantType) else whole(array.col)
         filled = F.size(array.col) > 0
         conditions = [w.cond for w in members]
         if all(cond is not None for cond in conditions):
-            filled = any_of(conditions) & filled
-        return Typed(F.when(filled, built), T.ArrayType(found[-1].dtype), there=filled)
+            reached = any_of(conditions)
+            built, filled = F.when(reached, built), reached & filled
+        return Typed(built, T.ArrayType(found[-1].dtype), there=filled)
 
     def bind(self, write: Write, element: Typed, i: Column) -> Write:
         """``write`` inside element ``i`` of its source array."""

@@ -73,15 +73,17 @@ def read_json_lines(
 def parse_json_lines(lines: DataFrame, schema: T.StructType | str) -> DataFrame:
     """Rows of ``schema`` and ``_bad_line`` out of the text column ``value``; other columns stay.
 
-    Parsed from text because the JSON reader refuses to count bad lines on their own.
+    Parsed from text because the JSON reader refuses to count bad lines on their own, and as
+    a generator because a filter on ``_bad_line`` would otherwise be pushed below the parser
+    and parse every line twice.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     full = T.StructType([*[f for f in schema.fields if f.name != BAD_LINE], T.StructField(BAD_LINE, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
     kept = [name for name in lines.columns if name != "value"]
-    filled = lines.where(F.trim("value") != "")
-    return filled.withColumn("_row", F.from_json("value", full, options)).select("_row.*", *kept)
+    row = F.from_json("value", full, options)
+    return lines.where(F.trim("value") != "").select(F.inline(F.array(row)), *kept)
 
 
 def read_json_variant(
@@ -94,10 +96,9 @@ def read_json_variant(
     """
     lines = _named(_reader(spark, path, "*.{json,jsonl,jsonl.gz,json.gz}").text(path), file_name)
     kept = [FILE_NAME] if file_name else []
-    parsed = lines.where(F.trim("value") != "").select(
-        F.try_parse_json("value").alias(column), F.col("value").alias(BAD_LINE), *kept
-    )
-    bad = F.when(F.col(quote_name(column)).isNull(), F.col(BAD_LINE)).alias(BAD_LINE)
+    row = F.struct(F.try_parse_json("value").alias(column), F.col("value").alias("_text"))
+    parsed = lines.where(F.trim("value") != "").select(F.inline(F.array(row)), *kept)
+    bad = F.when(F.col(quote_name(column)).isNull(), F.col("_text")).alias(BAD_LINE)
     return parsed.select(column, bad, *kept)
 
 
