@@ -18,7 +18,7 @@ from conformance import QUERIES  # noqa: E402
 from loomrow.session import get_session  # noqa: E402
 
 HEADLINE = [
-    "map_conversations", "map_prompt_response", "map_dynamic_array", "map_nested_full", "map_cast",
+    "map_conversations", "map_json_lines", "map_prompt_response", "map_dynamic_array", "map_nested_full", "map_cast",
     "map_and_validate", "validate_rows", "validation_report", "infer_schema_typed", "infer_schema_json",
     "extract_tags", "extract_tags_html", "truncate_text", "normalize_sample", "scan_jsonl", "quarantine_bad_rows",
     "map_dataset_stats", "save_results", "catalog_latest", "catalog_obsolete", "catalog_upsert",

@@ -237,8 +237,8 @@ class _Compiler:
 
     # -- values ------------------------------------------------------------------
 
-    def leaf(self, write: Write) -> tuple[Typed, Column | None]:
-        """Value an entry writes, and where its coercion fails."""
+    def leaf(self, write: Write, errors: bool = False) -> tuple[Typed, Column | None]:
+        """Value an entry writes, and with ``errors`` where its coercion fails."""
         entry = write.entry
         if entry is None:
             return write.root, None
@@ -255,22 +255,27 @@ class _Compiler:
             dtype = getattr(function, "returns", T.StringType())
             value = Typed(F.when(value.col.isNotNull(), function(value.col)).cast(dtype), dtype)
         if isinstance(value.dtype, T.VariantType):
-            return self.from_variant(value.col, entry.schema)
+            return self.from_variant(value.col, entry.schema, errors)
         return cast_to_schema(value, entry.schema)
 
     @staticmethod
-    def from_variant(source: Column, schema: dict) -> tuple[Typed, Column | None]:
+    def from_variant(source: Column, schema: dict, errors: bool) -> tuple[Typed, Column | None]:
         """Coerce a VARIANT, taken out of its row once however often the coercion names it."""
-        plain, failed = cast_to_schema(Typed(F.lit(None).cast("variant"), T.VariantType()), schema)
+        found: list[Typed] = []
+
+        def good(v: Column) -> Column:
+            found.append(cast_to_schema(Typed(v, T.VariantType()), schema)[0])
+            return F.when(~F.is_variant_null(v), found[-1].col)
 
-        def part(which: int):
-            def use(v: Column) -> Column:
-                value, bad = cast_to_schema(Typed(v, T.VariantType()), schema)
-                return F.when(~F.is_variant_null(v), value.col) if which == 0 else bad
+        col = evaluated_once(source, good)
+        if not errors:
+            return Typed(col, found[-1].dtype), None
 
-            return evaluated_once(source, use)
+        def bad(v: Column) -> Column:
+            failed = cast_to_schema(Typed(v, T.VariantType()), schema)[1]
+            return F.lit(False) if failed is None else failed
 
-        return Typed(part(0), plain.dtype), None if failed is None else part(1)
+        return Typed(col, found[-1].dtype), evaluated_once(source, bad)
 
     def raw(self, write: Write) -> Typed:
         value = read_path(write.root, write.levels[0])
@@ -603,7 +608,7 @@ class _Compiler:
             prefix.append(head.position.cast("string") if isinstance(head, At) else F.lit(str(head)))
             write = write.step()
         if not write.path:
-            failed = self.leaf(write)[1]
+            failed = self.leaf(write, errors=True)[1]
             if failed is None:
                 return None
             wanted = write.entry.schema.get("type")
