@@ -22,8 +22,8 @@ DECIMAL_NUMBER = r"(?i)^\s*[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]
 
 # fixed values: JSON type of each type a variant reports
 VARIANT_TYPES = {
-    "OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null",
-    "BIGINT": "integer", "DOUBLE": "number", "FLOAT": "number",
+    "STRING": "string", "BIGINT": "integer", "BOOLEAN": "boolean", "VOID": "null", "DOUBLE": "number",
+    "FLOAT": "number",
 }
 
 
@@ -102,11 +102,15 @@ def variant_kind(value: Column) -> Column:
     A DECIMAL with scale 0 and more than 18 digits is a whole number too large for BIGINT.
     """
     described = F.schema_of_variant(value)
-    word = F.substring_index(F.substring_index(described, "<", 1), "(", 1)
     names = F.create_map(*[F.lit(part) for pair in VARIANT_TYPES.items() for part in pair])
-    large = described.rlike(r"^DECIMAL\((19|[23][0-9]), ?0\)$")
-    decimal = F.when(large, "integer").when(described.startswith("DECIMAL"), "number")
-    return F.coalesce(F.try_element_at(names, word), decimal, F.lit("string"))
+    # types with parameters: OBJECT<...>, ARRAY<...>, DECIMAL(p,s)
+    other = (
+        F.when(described.startswith("OBJECT"), "object")
+        .when(described.startswith("ARRAY"), "array")
+        .when(described.rlike(r"^DECIMAL\((19|[23][0-9]), ?0\)$"), "integer")
+        .when(described.startswith("DECIMAL"), "number")
+    )
+    return F.coalesce(F.try_element_at(names, described), other, F.lit("string"))
 
 
 def _to_integer(value: Typed) -> Column | None:
