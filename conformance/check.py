@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -70,6 +71,7 @@ def main(arguments: list[str]) -> int:
     names = arguments[1:] or list(QUERIES)
     spark = get_session("conformance", "local[8]", **{
         "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="loomrow-"),
     })
     spark.sparkContext.setLogLevel("ERROR")
     connection = duck(folder)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,15 +29,17 @@ def get_session(app_name: str = "loomrow", master: str | None = None, **settings
     return builder.getOrCreate()
 
 
+def work_root(spark: SparkSession) -> str | None:
+    """The shared folder for intermediate tables, if one is set."""
+    return spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getConf().get(CHECKPOINT_SETTING)
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new, not yet existing folder for a written intermediate table.
 
-    Lies below the folder the cluster names in ``spark.checkpoint.dir``. Only a local
-    session may go without that setting; it then uses a temporary folder.
+    Lies below the folder the session names in ``spark.checkpoint.dir``, which all executors must share.
     """
-    root = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getConf().get(CHECKPOINT_SETTING)
+    root = work_root(spark)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"{CHECKPOINT_SETTING} must name a shared folder on a cluster")
-        root = os.path.join(tempfile.gettempdir(), "loomrow-work")
+        raise RuntimeError(f"{CHECKPOINT_SETTING} must name a folder that driver and executors share")
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex[:12]}"
