@@ -17,6 +17,8 @@ SETTINGS = {
 }
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+#: the same for a session that began without a checkpoint folder, such as a local one
+WORK_SETTING = "spark.loomrow.workDir"
 
 
 def get_session(app_name: str = "loomrow", master: str | None = None, **settings: str) -> SparkSession:
@@ -31,7 +33,7 @@ def get_session(app_name: str = "loomrow", master: str | None = None, **settings
 
 def work_root(spark: SparkSession) -> str | None:
     """The shared folder for intermediate tables, if one is set."""
-    return spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getConf().get(CHECKPOINT_SETTING)
+    return spark.sparkContext.getConf().get(CHECKPOINT_SETTING) or spark.conf.get(WORK_SETTING, None)
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
