@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -87,3 +89,11 @@ def powers(base: int, count: int) -> np.ndarray:
         out[done : done + more] = out[:more] * step
         done += more
     return out
+
+
+def kept(key: object, make: Callable[[], Any]) -> Any:
+    """A value made once in each Python process, however many tasks it runs."""
+    state = sys.__dict__.setdefault("_loomrow_kept", {})
+    if key not in state:
+        state[key] = make()
+    return state[key]

@@ -1,9 +1,10 @@
 """The queries of this package, and the SQL of those that SQL can express."""
 
-from . import mixing
+from . import bpe, mixing
 
 QUERIES = {
     "op8_mixing": mixing.op8_mixing,
+    "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLES = {
