@@ -1,8 +1,9 @@
 """The queries of this package, and the SQL of those that SQL can express."""
 
-from . import bpe, mixing
+from . import bpe, mixing, pii
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
     "op8_mixing": mixing.op8_mixing,
     "op9_bpe": bpe.op9_bpe,
 }
