@@ -1,11 +1,12 @@
 """The queries of this package, and the SQL of those that SQL can express."""
 
-from . import bpe, mixing, pii
+from . import bpe, jaccard_join, mixing, pii
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
     "op8_mixing": mixing.op8_mixing,
     "op9_bpe": bpe.op9_bpe,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 ORACLES = {
