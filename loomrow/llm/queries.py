@@ -1,10 +1,11 @@
 """The queries of this package, and the SQL of those that SQL can express."""
 
-from . import bpe, jaccard_join, mixing, pii
+from . import bpe, jaccard_join, mixing, pii, toxicity
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
     "op8_mixing": mixing.op8_mixing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op9_bpe": bpe.op9_bpe,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
