@@ -35,11 +35,15 @@ WORDS = 5
 PERCENT = 75
 SLICE_BYTES = 2 << 20
 #: a shingle in so many documents of one slice of text is frequent there
-FREQUENT = 4
+FREQUENT = 2
 #: so many frequent shingles at most stand last in the order: 8 bytes each; which ones does not change the result
-MOST_FREQUENT = 100_000
+MOST_FREQUENT = 400_000
 #: all pairs of a region of so many nodes are compared; larger ones take a pivot each round
-SMALL_REGION = 48
+SMALL_REGION = 200
+#: bits of the sketch that bounds the intersection of two sets from above
+SKETCH_BITS = 4096
+#: bits for each member of a broadcast filter, and at most in all (16 MB)
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 27
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -102,9 +106,41 @@ def node_of(shingles: np.ndarray) -> int:
     return int(signed(mixed(np.array([total + np.uint64(len(shingles))], dtype=np.uint64)))[0])
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """A bit for each shingle; a bit that only one of two sets has stands for a shingle that only it has."""
+    bits = np.zeros(SKETCH_BITS, dtype=np.uint8)
+    bits[(shingles >> np.uint64(20)) % np.uint64(SKETCH_BITS)] = 1
+    return np.packbits(bits).tobytes()
+
+
+class Filter:
+    """A bit array of bounded size that holds all members of a set of longs, and few others."""
+
+    def __init__(self, members: DataFrame, column: str):
+        count = members.count()
+        self.bits = min(1 << max(16, (count * FILTER_BITS).bit_length()), MOST_FILTER_BITS)
+        place = F.pmod(F.xxhash64(column), F.lit(self.bits))
+        words = members.select(
+            F.floor(place / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit")
+        )
+        found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+        array = np.zeros(self.bits // 64, dtype=np.int64)
+        array[found["word"].to_numpy()] = found["bits"].to_numpy()
+        self.shared = members.sparkSession.sparkContext.broadcast(array)
+
+    def may_hold(self, column: str):
+        """The place to look up, to be computed by Spark beside the column."""
+        return F.pmod(F.xxhash64(column), F.lit(self.bits))
+
+
+def in_filter(array: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (array[places >> 6] >> (places & 63)) & 1 == 1
+
+
 def described(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``n`` and ``node`` of each row beside ``keep``; rows of another kind (``frequent``) list frequent shingles."""
+    """``n``, ``node`` and ``sketch`` of each row beside ``keep``; rows of another kind list frequent shingles."""
     fields = ", ".join(f"{docs.schema[c].name} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    names = [*keep, "n", "node", "sketch", "frequent", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,28 +150,25 @@ def described(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
                 nodes = [node_of(s) for s in sets]
                 own = [batch.column(c).slice(start, stop - start) for c in keep]
                 none = pa.nulls(stop - start, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), none, none],
-                    names=[*keep, "n", "node", "frequent", "times"],
-                )
+                facts = [pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())]
+                sketches = pa.array([sketch(s) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*own, *facts, sketches, none, none], names=names)
                 distinct = {node: s for node, s in zip(nodes, sets)}
                 values, times = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
                 often = times >= FREQUENT
                 if often.any():
-                    count = int(often.sum())
+                    none = pa.nulls(int(often.sum()), pa.int64())
+                    empty = [none.cast(c.type) if c.type != pa.string() else pa.nulls(len(none), c.type) for c in own]
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            *[pa.nulls(count, c.type) for c in own], pa.nulls(count, pa.int64()), pa.nulls(count, pa.int64()),
-                            pa.array(signed(values[often])), pa.array(times[often], pa.int64()),
-                        ],
-                        names=[*keep, "n", "node", "frequent", "times"],
+                        [*empty, none, none, pa.nulls(len(none), pa.binary()), pa.array(signed(values[often])), pa.array(times[often], pa.int64())],
+                        names=names,
                     )
 
-    return docs.mapInArrow(run, f"{fields}, n long, node long, frequent long, times long")
+    return docs.mapInArrow(run, f"{fields}, n long, node long, sketch binary, frequent long, times long")
 
 
-def windows(docs: DataFrame, text: str, frequent: list[int]) -> DataFrame:
-    """The regions of each document: ``shingle, node, n`` for the first shingles of its set."""
+def windows(docs: DataFrame, text: str, frequent: list[int], regions: Filter | None = None) -> DataFrame:
+    """The regions of each document: ``shingle, node, n`` for the first shingles of its set; only likely ``regions`` if given."""
     last = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(frequent, dtype=np.int64).view(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,19 +179,15 @@ def windows(docs: DataFrame, text: str, frequent: list[int]) -> DataFrame:
                 out, nodes, sizes = [], [], []
                 seen = set()
                 for shingles in shingle_sets(texts.slice(start, stop - start)):
-                    if not len(shingles):
-                        continue
                     node = node_of(shingles)
-                    if node in seen:
+                    if node in seen or not len(shingles):
                         continue
                     seen.add(node)
+                    first = shingles
                     if len(late):
-                        at = np.searchsorted(late, shingles)
-                        often = late[np.minimum(at, len(late) - 1)] == shingles
-                        shingles_in_order = np.concatenate([shingles[~often], shingles[often]])
-                    else:
-                        shingles_in_order = shingles
-                    first = shingles_in_order[: prefix_length(len(shingles))]
+                        often = late[np.minimum(np.searchsorted(late, shingles), len(late) - 1)] == shingles
+                        first = np.concatenate([shingles[~often], shingles[often]])
+                    first = first[: prefix_length(len(shingles))]
                     out.append(first)
                     nodes.append(np.full(len(first), node, dtype=np.int64))
                     sizes.append(np.full(len(first), len(shingles), dtype=np.int32))
@@ -168,15 +197,29 @@ def windows(docs: DataFrame, text: str, frequent: list[int]) -> DataFrame:
                         names=["shingle", "node", "n"],
                     )
 
-    return docs.select(text).mapInArrow(run, "shingle long, node long, n int")
+    found = docs.select(text).mapInArrow(run, "shingle long, node long, n int")
+    if regions is None:
+        return found
+    shared_array = regions.shared
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = in_filter(shared_array.value, batch.column("place").to_numpy())
+            yield batch.select(["shingle", "node", "n"]).filter(pa.array(keep))
 
+    placed = found.withColumn("place", regions.may_hold("shingle"))
+    return placed.mapInArrow(likely, "shingle long, node long, n int")
 
-def sets_of(docs: DataFrame, text: str) -> DataFrame:
-    """``node`` and its sorted shingles, eight bytes each."""
+
+def sets_of(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFrame:
+    """``node`` and its sorted shingles, eight bytes each, of the documents whose keys are ``wanted`` (and of few others)."""
+    keys = Filter(wanted, key)
+    shared_array = keys.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text)
+            keep = in_filter(shared_array.value, batch.column("place").to_numpy())
+            texts = batch.column(text).filter(pa.array(keep))
             for start, stop in slices(texts, SLICE_BYTES):
                 sets = list(shingle_sets(texts.slice(start, stop - start)))
                 yield pa.RecordBatch.from_arrays(
@@ -184,7 +227,26 @@ def sets_of(docs: DataFrame, text: str) -> DataFrame:
                     names=["node", "shingles"],
                 )
 
-    return docs.select(text).mapInArrow(run, "node long, shingles binary")
+    return docs.select(keys.may_hold(key).alias("place"), text).mapInArrow(run, "node long, shingles binary")
+
+
+def near_by_sketch(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that may share ``percent`` of their union: all that do, and few that do not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH_BITS // 8) for c in "xy")
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            only_a = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+            only_b = np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+            common = np.minimum(na - only_a, nb - only_b)
+            keep = 100 * common >= percent * (na + nb - common)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").where(may_link("na", "nb", percent))
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -216,9 +278,9 @@ def linked():
     return 100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))
 
 
-def near_pivot():
-    """Within ``2 r``: the intersection is at least half of the union."""
-    return 200 * F.col("common") >= (200 - 2 * (100 - PERCENT) * 2) * (F.col("na") + F.col("nb") - F.col("common"))
+def within_two_r():
+    """Within ``2 r`` of the pivot: the intersection is at least half of the union."""
+    return 2 * F.col("common") >= F.col("na") + F.col("nb") - F.col("common")
 
 
 def may_link(a: str, b: str, percent: int):
@@ -229,33 +291,37 @@ def may_link(a: str, b: str, percent: int):
 def node_links(docs: DataFrame, nodes: DataFrame, text: str, key: str, frequent: list[int]) -> DataFrame:
     """Links ``a, b`` between nodes, enough that their components are those of all linked pairs."""
     regions = windows(docs, text, frequent)
-    shared_regions = written(
-        regions.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high"), "regions"
+    regions = written(
+        regions.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("shingle"),
+        "regions",
     )
-    members = written(regions.join(shared_regions.select("shingle"), "shingle", "left_semi").distinct(), "members")
-    # the sets of all nodes that meet another one somewhere, each from one of its documents
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    source = docs.join(wanted.select(F.col("rep").alias(key)), key, "left_semi")
-    sets = sets_of(source, text).join(wanted.select("node"), "node", "left_semi")
-    sets = written(sets.dropDuplicates(["node"]), "sets")
-
-    spark = docs.sparkSession
+    members = windows(docs, text, frequent, Filter(regions, "shingle"))
+    members = written(members.join(regions, "shingle", "left_semi").distinct(), "members")
     kind = "a long, b long, na long, nb long, common long"
-    measured = spark.createDataFrame([], kind)
+    measured = docs.sparkSession.createDataFrame([], kind)
+
+    def measure(pairs: DataFrame, percent: int) -> DataFrame:
+        """The exact intersections of those pairs that may share so much, from one document of each node."""
+        near = written(near_by_sketch(pairs, nodes, percent), "near")
+        ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+        wanted = written(nodes.join(ends, "node", "left_semi").select(F.col("rep").alias(key)), "wanted")
+        return written(shared(near, written(sets_of(docs, text, key, wanted), "sets")).distinct(), "measured")
+
     open_, small = members, []
     while True:
-        pivots = open_.groupBy("shingle").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("np"))
-        met = open_.join(written(pivots, "pivots"), "shingle").where("node <> pivot")
+        pivots = written(open_.groupBy("shingle").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("np")), "pivots")
+        met = open_.join(pivots, "shingle").where("node <> pivot")
         pairs = met.where(may_link("n", "np", 50)).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
         fresh = pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti")
-        measured = measured.union(written(shared(fresh, sets), "measured"))
+        measured = measured.union(measure(fresh, 50))
         ball = measured.where(linked()).select(F.col("a").alias("node"), F.col("b").alias("pivot"))
         rest = written(met.join(ball, ["node", "pivot"], "left_anti").select("shingle", "node", "n"), "rest")
         counts = written(rest.groupBy("shingle").agg(F.count("*").alias("count")).where("count > 1"), "counts")
         small.append(rest.join(counts.where(F.col("count") <= SMALL_REGION), "shingle", "left_semi"))
-        if counts.where(F.col("count") > SMALL_REGION).isEmpty():
+        large = counts.where(F.col("count") > SMALL_REGION)
+        if large.isEmpty():
             break
-        open_ = rest.join(counts.where(F.col("count") > SMALL_REGION), "shingle", "left_semi")
+        open_ = rest.join(large, "shingle", "left_semi")
 
     links = measured.where(linked()).select("a", "b")
     found = components(links)
@@ -265,7 +331,7 @@ def node_links(docs: DataFrame, nodes: DataFrame, text: str, key: str, frequent:
         return df.join(labels, column, "left").withColumn(name, F.coalesce("c", column)).drop("c")
 
     # a ball and its window, where they are not in one component yet
-    window = measured.where(~linked() & near_pivot()).select(F.col("a").alias("z"), F.col("b").alias("pivot"), F.col("na").alias("nz"))
+    window = measured.where(~linked() & within_two_r()).select(F.col("a").alias("z"), F.col("b").alias("pivot"), F.col("na").alias("nz"))
     window = with_component(with_component(window, "z", "cz"), "pivot", "cp").where("cz <> cp").select("z", "nz", "pivot")
     ball = measured.where(linked()).select(F.col("a").alias("y"), F.col("b").alias("pivot"), F.col("na").alias("ny"))
     crossing = window.join(ball, "pivot").where(may_link("ny", "nz", PERCENT)).where("y <> z")
@@ -277,12 +343,14 @@ def node_links(docs: DataFrame, nodes: DataFrame, text: str, key: str, frequent:
         F.min("component").alias("low"), F.max("component").alias("high"),
     ).where("low <> high").select("nodes").distinct()
     ahead = groups.select(F.posexplode("nodes").alias("at", "x"), "nodes")
-    ahead = ahead.select("x", F.explode(F.slice("nodes", F.col("at") + 2, F.size("nodes"))).alias("y"))
-    others = ahead.where("x.component <> y.component").where(may_link("x.n", "y.n", PERCENT))
-    others = others.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    others = ahead.select(
+        "x.node", F.filter(F.slice("nodes", F.col("at") + 2, F.size("nodes")), lambda y: (y["component"] != F.col("x.component"))
+                           & may_link(y["n"], F.col("x.n"), PERCENT)).alias("ys")
+    )
+    others = others.select(F.col("node").alias("a"), F.explode("ys.node").alias("b"))
     last = crossing.union(others).distinct().join(measured.select("a", "b"), ["a", "b"], "left_anti")
     last = last.join(measured.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    return links.union(written(shared(last, sets), "last").where(linked()).select("a", "b"))
+    return links.union(measure(last, PERCENT).where(linked()).select("a", "b"))
 
 
 def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -298,13 +366,18 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     frequent = often.orderBy(F.desc("times"), "frequent").limit(MOST_FREQUENT).select("frequent").toPandas()
     rows = info.where("node is not null").select("key", "n", "node")
     keyed = rows.where("key is not null and n > 0")
-    nodes = written(keyed.groupBy("node").agg(F.min("key").alias("rep")), "nodes")
+    nodes = written(
+        info.where("key is not null and n > 0").groupBy("node").agg(
+            F.min("key").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+        ),
+        "nodes",
+    )
     links = node_links(docs.where("key is not null"), nodes, "text", "key", frequent["frequent"].tolist())
     # a key with several texts joins them
     several = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
     links = links.union(keyed.join(several.select("key", "a"), "key").select("a", F.col("node").alias("b")))
     found = components(links)
-    named = nodes.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    named = nodes.select("node", "rep").join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     named = written(named.select("node", "root", "rep"), "named")
     least = written(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     named = written(named.join(least, "root").select("node", "component_id"), "groups")
