@@ -20,7 +20,6 @@ hence the first level of shingles.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import mixed, powers, quoted, slices, table, utf8_buffer, written
 from .components import components
+from .regions import Filter, may_link, metric_links
 
 WORDS = 5
 #: linked when ``100 * intersection >= PERCENT * union``
@@ -42,8 +42,6 @@ MOST_FREQUENT = 400_000
 SMALL_REGION = 200
 #: bits of the sketch that bounds the intersection of two sets from above
 SKETCH_BITS = 4096
-#: bits for each member of a broadcast filter, and at most in all (16 MB)
-FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 27
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -113,30 +111,6 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-class Filter:
-    """A bit array of bounded size that holds all members of a set of longs, and few others."""
-
-    def __init__(self, members: DataFrame, column: str):
-        count = members.count()
-        self.bits = min(1 << max(16, (count * FILTER_BITS).bit_length()), MOST_FILTER_BITS)
-        place = F.pmod(F.xxhash64(column), F.lit(self.bits))
-        words = members.select(
-            F.floor(place / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit")
-        )
-        found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-        array = np.zeros(self.bits // 64, dtype=np.int64)
-        array[found["word"].to_numpy()] = found["bits"].to_numpy()
-        self.shared = members.sparkSession.sparkContext.broadcast(array)
-
-    def may_hold(self, column: str):
-        """The place to look up, to be computed by Spark beside the column."""
-        return F.pmod(F.xxhash64(column), F.lit(self.bits))
-
-
-def in_filter(array: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return (array[places >> 6] >> (places & 63)) & 1 == 1
-
-
 def described(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``n``, ``node`` and ``sketch`` of each row beside ``keep``; rows of another kind list frequent shingles."""
     fields = ", ".join(f"{docs.schema[c].name} {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -171,6 +145,8 @@ def windows(docs: DataFrame, text: str, frequent: list[int], regions: Filter | N
     """The regions of each document: ``shingle, node, n`` for the first shingles of its set; only likely ``regions`` if given."""
     last = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(frequent, dtype=np.int64).view(np.uint64)))
 
+    likely = regions.lookup() if regions else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = last.value
         for batch in batches:
@@ -188,6 +164,8 @@ def windows(docs: DataFrame, text: str, frequent: list[int], regions: Filter | N
                         often = late[np.minimum(np.searchsorted(late, shingles), len(late) - 1)] == shingles
                         first = np.concatenate([shingles[~often], shingles[often]])
                     first = first[: prefix_length(len(shingles))]
+                    if likely:
+                        first = first[likely(first.view(np.int64))]
                     out.append(first)
                     nodes.append(np.full(len(first), node, dtype=np.int64))
                     sizes.append(np.full(len(first), len(shingles), dtype=np.int32))
@@ -197,28 +175,16 @@ def windows(docs: DataFrame, text: str, frequent: list[int], regions: Filter | N
                         names=["shingle", "node", "n"],
                     )
 
-    found = docs.select(text).mapInArrow(run, "shingle long, node long, n int")
-    if regions is None:
-        return found
-    shared_array = regions.shared
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = in_filter(shared_array.value, batch.column("place").to_numpy())
-            yield batch.select(["shingle", "node", "n"]).filter(pa.array(keep))
-
-    placed = found.withColumn("place", regions.may_hold("shingle"))
-    return placed.mapInArrow(likely, "shingle long, node long, n int")
+    return docs.select(text).mapInArrow(run, "shingle long, node long, n int")
 
 
 def sets_of(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFrame:
     """``node`` and its sorted shingles, eight bytes each, of the documents whose keys are ``wanted`` (and of few others)."""
-    keys = Filter(wanted, key)
-    shared_array = keys.shared
+    likely = Filter(wanted, "key_hash").lookup()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = in_filter(shared_array.value, batch.column("place").to_numpy())
+            keep = likely(batch.column("key_hash").to_numpy())
             texts = batch.column(text).filter(pa.array(keep))
             for start, stop in slices(texts, SLICE_BYTES):
                 sets = list(shingle_sets(texts.slice(start, stop - start)))
@@ -227,7 +193,7 @@ def sets_of(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFram
                     names=["node", "shingles"],
                 )
 
-    return docs.select(keys.may_hold(key).alias("place"), text).mapInArrow(run, "node long, shingles binary")
+    return docs.select(F.xxhash64(key).alias("key_hash"), text).mapInArrow(run, "node long, shingles binary")
 
 
 def near_by_sketch(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -274,20 +240,6 @@ def shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, na long, nb long, common long")
 
 
-def linked():
-    return 100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))
-
-
-def within_two_r():
-    """Within ``2 r`` of the pivot: the intersection is at least half of the union."""
-    return 2 * F.col("common") >= F.col("na") + F.col("nb") - F.col("common")
-
-
-def may_link(a: str, b: str, percent: int):
-    """Sizes alone put two sets further apart than the distance for which ``percent`` of the union is shared."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
 def node_links(docs: DataFrame, nodes: DataFrame, text: str, key: str, frequent: list[int]) -> DataFrame:
     """Links ``a, b`` between nodes, enough that their components are those of all linked pairs."""
     regions = windows(docs, text, frequent)
@@ -296,61 +248,16 @@ def node_links(docs: DataFrame, nodes: DataFrame, text: str, key: str, frequent:
         "regions",
     )
     members = windows(docs, text, frequent, Filter(regions, "shingle"))
-    members = written(members.join(regions, "shingle", "left_semi").distinct(), "members")
-    kind = "a long, b long, na long, nb long, common long"
-    measured = docs.sparkSession.createDataFrame([], kind)
+    members = members.join(regions, "shingle", "left_semi").distinct().withColumnRenamed("shingle", "region")
 
     def measure(pairs: DataFrame, percent: int) -> DataFrame:
         """The exact intersections of those pairs that may share so much, from one document of each node."""
         near = written(near_by_sketch(pairs, nodes, percent), "near")
         ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        wanted = written(nodes.join(ends, "node", "left_semi").select(F.col("rep").alias(key)), "wanted")
+        wanted = written(nodes.join(ends, "node", "left_semi").select(F.xxhash64("rep").alias("key_hash")), "wanted")
         return written(shared(near, written(sets_of(docs, text, key, wanted), "sets")).distinct(), "measured")
 
-    open_, small = members, []
-    while True:
-        pivots = written(open_.groupBy("shingle").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("np")), "pivots")
-        met = open_.join(pivots, "shingle").where("node <> pivot")
-        pairs = met.where(may_link("n", "np", 50)).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        fresh = pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti")
-        measured = measured.union(measure(fresh, 50))
-        ball = measured.where(linked()).select(F.col("a").alias("node"), F.col("b").alias("pivot"))
-        rest = written(met.join(ball, ["node", "pivot"], "left_anti").select("shingle", "node", "n"), "rest")
-        counts = written(rest.groupBy("shingle").agg(F.count("*").alias("count")).where("count > 1"), "counts")
-        small.append(rest.join(counts.where(F.col("count") <= SMALL_REGION), "shingle", "left_semi"))
-        large = counts.where(F.col("count") > SMALL_REGION)
-        if large.isEmpty():
-            break
-        open_ = rest.join(large, "shingle", "left_semi")
-
-    links = measured.where(linked()).select("a", "b")
-    found = components(links)
-
-    def with_component(df: DataFrame, column: str, name: str) -> DataFrame:
-        labels = found.select(F.col("node").alias(column), F.col("component").alias("c"))
-        return df.join(labels, column, "left").withColumn(name, F.coalesce("c", column)).drop("c")
-
-    # a ball and its window, where they are not in one component yet
-    window = measured.where(~linked() & within_two_r()).select(F.col("a").alias("z"), F.col("b").alias("pivot"), F.col("na").alias("nz"))
-    window = with_component(with_component(window, "z", "cz"), "pivot", "cp").where("cz <> cp").select("z", "nz", "pivot")
-    ball = measured.where(linked()).select(F.col("a").alias("y"), F.col("b").alias("pivot"), F.col("na").alias("ny"))
-    crossing = window.join(ball, "pivot").where(may_link("ny", "nz", PERCENT)).where("y <> z")
-    crossing = crossing.select(F.least("y", "z").alias("a"), F.greatest("y", "z").alias("b"))
-    # small regions: all pairs of different components; equal regions count once
-    remaining = with_component(reduce(DataFrame.union, small), "node", "component")
-    groups = remaining.groupBy("shingle").agg(
-        F.sort_array(F.collect_list(F.struct("node", "n", "component"))).alias("nodes"),
-        F.min("component").alias("low"), F.max("component").alias("high"),
-    ).where("low <> high").select("nodes").distinct()
-    ahead = groups.select(F.posexplode("nodes").alias("at", "x"), "nodes")
-    others = ahead.select(
-        "x.node", F.filter(F.slice("nodes", F.col("at") + 2, F.size("nodes")), lambda y: (y["component"] != F.col("x.component"))
-                           & may_link(y["n"], F.col("x.n"), PERCENT)).alias("ys")
-    )
-    others = others.select(F.col("node").alias("a"), F.explode("ys.node").alias("b"))
-    last = crossing.union(others).distinct().join(measured.select("a", "b"), ["a", "b"], "left_anti")
-    last = last.join(measured.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    return links.union(measure(last, PERCENT).where(linked()).select("a", "b"))
+    return metric_links(written(members, "members"), measure, PERCENT, SMALL_REGION)
 
 
 def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

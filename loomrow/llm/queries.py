@@ -1,8 +1,9 @@
 """The queries of this package, and the SQL of those that SQL can express."""
 
-from . import bpe, jaccard_join, mixing, pii, toxicity
+from . import bpe, jaccard_join, line_dedup, mixing, pii, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_pii": pii.op2_pii,
     "op8_mixing": mixing.op8_mixing,
     "op5_toxicity": toxicity.op5_toxicity,

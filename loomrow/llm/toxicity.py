@@ -10,7 +10,6 @@ marginal; their sum and maximum give the document's score, and tokens above one
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import quoted, slices, table, unpacked, whole_row
 
 #: at most so many labelled documents of each class are learnt from, and so many characters in all
-SAMPLE_TOXIC = 1500
-SAMPLE_CLEAN = 3000
-SAMPLE_CHARACTERS = 24_000_000
+SAMPLE_TOXIC = 1000
+SAMPLE_CLEAN = 2000
+SAMPLE_CHARACTERS = 10_000_000
 #: a document with this score or more is toxic
 THRESHOLD = 0.3
 #: features are hashed to so many weights
@@ -114,28 +113,30 @@ class Field:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def token_labels(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Features that mark a token of a toxic document as toxic."""
-    before: tuple[dict[str, set], dict[str, set]] = (defaultdict(set), defaultdict(set))
-    total = [1, 1]
-    for words, label in zip(texts, toxic):
-        found = before[int(label)]
-        previous = ""
-        for word in words:
-            for feature in features(word):
-                contexts = found[feature]
-                if len(contexts) < 5000:
-                    contexts.add(hash(previous))
-            previous = word
-        total[int(label)] += len(words)
-    clean = before[0]
+def suspicious_slots(slots: np.ndarray, words: np.ndarray, lengths: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Which features mark a token of a toxic document as toxic: a flag for each weight.
+
+    A feature's contexts are the different words before it, in the documents of one class.
+    """
+    before = np.concatenate([[-1], words[:-1]]).astype(np.int64)
+    first = np.zeros(len(words), dtype=bool)
+    starts = np.cumsum(lengths) - lengths
+    first[starts[lengths > 0]] = True
+    before[first] = -1
+    in_toxic = np.repeat(toxic, lengths)
+    contexts = np.zeros((2, WEIGHTS + 1))
+    for label in (0, 1):
+        here = in_toxic == bool(label)
+        pairs = np.unique(words[here].astype(np.int64) << 32 | (before[here] + 1))
+        for column in slots.T:
+            keys = np.unique(column[pairs >> 32] << 32 | (pairs & 0xFFFFFFFF))
+            contexts[label] += np.bincount(keys >> 32, minlength=WEIGHTS + 1)
+    totals = max(1, np.count_nonzero(~in_toxic)), max(1, np.count_nonzero(in_toxic))
     least = max(LEAST_CONTEXTS, CONTEXTS_PER_DOCUMENT * np.count_nonzero(toxic))
-    return {
-        feature
-        for feature, contexts in before[1].items()
-        if len(contexts) >= least
-        and len(contexts) / total[1] >= LEAST_RATIO * (len(clean.get(feature, ())) + 0.5) / total[0]
-    }
+    often = contexts[1] / totals[1] >= LEAST_RATIO * (contexts[0] + 0.5) / totals[0]
+    found = (contexts[1] >= least) & often
+    found[WEIGHTS] = False
+    return found
 
 
 def trained(texts: list[str], toxic: np.ndarray) -> Field | None:
@@ -143,52 +144,45 @@ def trained(texts: list[str], toxic: np.ndarray) -> Field | None:
     toxic = np.asarray(toxic, dtype=bool)
     if not toxic.any() or toxic.all():
         return None
-    documents = [WORDS.findall(t) for t in texts]
-    suspicious = token_labels(documents, toxic)
-    if not suspicious:
-        return None
     numbers: dict[str, int] = {}
-    words = np.array([numbers.setdefault(w, len(numbers)) for d in documents for w in d], dtype=np.int64)
-    lengths = np.array([len(d) for d in documents], dtype=np.int64)
-    width = 4
-    slots = np.full((len(numbers), width), WEIGHTS, dtype=np.int64)  # the last weight stays zero
-    marked = np.zeros(len(numbers), dtype=bool)
+    numbered = [np.array([numbers.setdefault(w, len(numbers)) for w in WORDS.findall(t)], dtype=np.int32) for t in texts]
+    lengths = np.array([len(d) for d in numbered], dtype=np.int64)
+    words = np.concatenate(numbered)
+    slots = np.full((len(numbers), 4), WEIGHTS, dtype=np.int64)  # the last weight stays zero
     for word, i in numbers.items():
         own = features(word)
         slots[i, : len(own)] = [slot(f) for f in own]
-        marked[i] = any(f in suspicious for f in own)
-    label = marked[words] & np.repeat(toxic, lengths)
+    suspicious = suspicious_slots(slots, words, lengths, toxic)
+    if not suspicious.any():
+        return None
+    label = suspicious[slots].any(axis=1)[words] & np.repeat(toxic, lengths)
 
     place, offset, active = laid_out(lengths)
-    ordered = np.empty(len(words), dtype=np.int64)
-    ordered[place] = words
-    target = np.empty(len(words), dtype=bool)
-    target[place] = label
-    follows = np.concatenate([offset[t] + np.arange(active[t + 1]) for t in range(len(active) - 1)]) if len(active) > 1 else np.zeros(0, np.int64)
-    following = np.concatenate([np.arange(offset[t + 1], offset[t + 2]) for t in range(len(active) - 1)]) if len(active) > 1 else np.zeros(0, np.int64)
+    ordered, target = np.empty(len(words), dtype=np.int32), np.empty(len(words), dtype=bool)
+    ordered[place], target[place] = words, label
+    steps = range(len(active) - 1)
+    nothing = [np.zeros(0, dtype=np.int64)]
+    here = np.concatenate(nothing + [np.arange(offset[t], offset[t] + active[t + 1]) for t in steps])
+    after = np.concatenate(nothing + [np.arange(offset[t + 1], offset[t + 2]) for t in steps])
+    seen = np.bincount(2 * target[here].astype(np.int64) + target[after], minlength=4).reshape(2, 2)
     field = Field(np.zeros(WEIGHTS + 1), -4.0, np.zeros((2, 2)), np.zeros(3))
     squares, square_bias, square_steps = np.full(WEIGHTS + 1, 1e-6), 1e-6, np.full((2, 2), 1e-6)
-    seen = np.bincount(2 * target[follows].astype(np.int64) + target[following], minlength=4).reshape(2, 2)
     size = max(1.0, float(target.sum()))
     for _ in range(EPOCHS):
-        by_word = field.weights[slots].sum(axis=1) + field.bias
-        odds = np.exp(np.clip(by_word, -30, 30))[ordered]
+        odds = np.exp(np.clip(field.weights[slots].sum(axis=1) + field.bias, -30, 30))[ordered]
         forward, backward = field.passes(odds, offset, active)
         one = forward * backward
-        marginal = one / (one + (1 - forward) * (1 - backward))
-        error = target - marginal
+        error = target - one / (one + (1 - forward) * (1 - backward))
         per_word = np.bincount(ordered, weights=error, minlength=len(numbers))
-        gradient = np.zeros(WEIGHTS + 1)
-        for column in slots.T:
-            np.add.at(gradient, column, per_word)
+        gradient = sum(np.bincount(column, weights=per_word, minlength=WEIGHTS + 1) for column in slots.T)
         gradient = gradient / size - 1e-5 * field.weights
         gradient[WEIGHTS] = 0.0
-        # expected transitions
-        q, r, e = forward[follows], backward[following], odds[following]
-        steps = np.exp(field.transitions)
-        joint = np.stack([(1 - q) * steps[0, 0] * (1 - r), (1 - q) * steps[0, 1] * e * r, q * steps[1, 0] * (1 - r), q * steps[1, 1] * e * r])
-        expected = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2) if len(follows) else np.zeros((2, 2))
-        step_gradient = (seen - expected) / size
+        # expected transitions: the four products, over their sum
+        q, one = forward[here], odds[after] * backward[after]
+        zero, t = 1 - backward[after], np.exp(field.transitions)
+        joint = [(1 - q) * t[0, 0] * zero, (1 - q) * t[0, 1] * one, q * t[1, 0] * zero, q * t[1, 1] * one]
+        total = joint[0] + joint[1] + joint[2] + joint[3]
+        step_gradient = (seen - np.array([(j / total).sum() for j in joint]).reshape(2, 2)) / size
         bias_gradient = error.sum() / size
         squares += gradient**2
         square_bias += bias_gradient**2
@@ -196,10 +190,9 @@ def trained(texts: list[str], toxic: np.ndarray) -> Field | None:
         field.weights += 1.5 * gradient / np.sqrt(squares)
         field.bias += 0.3 * bias_gradient / np.sqrt(square_bias)
         field.transitions += 0.1 * step_gradient / np.sqrt(square_steps)
-    marginal = field.marginals(np.exp(np.clip(field.weights[slots].sum(axis=1) + field.bias, -30, 30))[words], lengths)
-    total, most = summed(marginal, lengths)
-    x = np.column_stack([np.ones(len(total)), np.log1p(total), most])
-    field.scale = logistic(x, toxic.astype(float))
+    odds = np.exp(np.clip(field.weights[slots].sum(axis=1) + field.bias, -30, 30))
+    total, most = summed(field.marginals(odds[words], lengths), lengths)
+    field.scale = logistic(np.column_stack([np.ones(len(total)), np.log1p(total), most]), toxic.astype(float))
     return field
 
 
