@@ -191,8 +191,8 @@ def line_components(docs: DataFrame) -> DataFrame:
     return components(metric_links(members, measure, PERCENT, SMALL_REGION))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """All rows, their text without lines that repeat an earlier one, with ``n_lines`` and ``n_kept``.
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", counts: bool = True) -> DataFrame:
+    """All rows, their text without lines that repeat an earlier one, with ``n_lines`` and ``n_kept`` if ``counts``.
 
     Of each component of equal or similar lines the first stays, by key and then by place. Blank lines stay and are not
     counted. A row without a key keeps its lines and is compared with none; a null text stays null. Rows of one key are versions of one
@@ -238,9 +238,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
                 )
 
     result = marked.mapInArrow(run, f"row {row}, cleaned string, n_lines long, n_kept long")
-    names = [n for n in docs.columns if n.lower() not in ("n_lines", "n_kept")]
+    added = ["n_lines", "n_kept"] if counts else []
+    names = [n for n in docs.columns if n.lower() not in added]
     columns = [F.col("cleaned").alias(n) if n == text else F.col("row")[n].alias(n) for n in names]
-    return result.select(*columns, "n_lines", "n_kept")
+    return result.select(*columns, *added)
 
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:

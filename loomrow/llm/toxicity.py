@@ -255,13 +255,8 @@ class Odds(dict):
         return odds
 
 
-def scored(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
-    """All rows with ``score`` (0 to 1), ``predicted`` (0 or 1) and ``spans`` (array of start, end, marginal).
-
-    Spans are runs of toxic words, in code points. A null text scores as an empty one: the base rate of a text without toxic
-    words. Without a field all scores are 0. Input columns named like a result are replaced. Long texts are scored whole;
-    an empty table gives an empty result.
-    """
+def scored_rows(docs: DataFrame, field: Field | None, text: str) -> DataFrame:
+    """Each row of ``docs`` packed as ``row``, with its score, prediction and spans."""
     packed = docs.select(whole_row(docs).alias("row"), quoted(text).alias("text"))
     row = packed.schema["row"].dataType.simpleString()
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())])
@@ -295,10 +290,24 @@ def scored(docs: DataFrame, field: Field | None, text: str = "text") -> DataFram
                     names=["row", "score", "predicted", "spans"],
                 )
 
-    result = packed.mapInArrow(
+    return packed.mapInArrow(
         run, f"row {row}, score double, predicted int, spans array<struct<start: int, end: int, marginal: double>>"
     )
-    return unpacked(result, "row", ["score", "predicted", "spans"])
+
+
+def scored(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
+    """All rows with ``score`` (0 to 1), ``predicted`` (0 or 1) and ``spans`` (array of start, end, marginal).
+
+    Spans are runs of toxic words, in code points. A null text scores as an empty one: the base rate of a text without toxic
+    words. Without a field all scores are 0. Input columns named like a result are replaced. Long texts are scored whole;
+    an empty table gives an empty result.
+    """
+    return unpacked(scored_rows(docs, field, text), "row", ["score", "predicted", "spans"])
+
+
+def without_toxic(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic."""
+    return unpacked(scored_rows(docs, field, text).where("predicted = 0"), "row", [])
 
 
 def toxic_spans(text: str, marginal: np.ndarray) -> list[dict]:
