@@ -1,16 +1,18 @@
 """The queries of this package, and the SQL of those that SQL can express."""
 
-from . import bpe, jaccard_join, line_dedup, mixing, pii, toxicity
+from . import bpe, jaccard_join, line_dedup, mixing, pii, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_pii": pii.op2_pii,
     "op8_mixing": mixing.op8_mixing,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_warc": warc.op6_warc,
     "op9_bpe": bpe.op9_bpe,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 ORACLES = {
+    "op6_warc": warc.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
