@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+def priority(turn: int, column: str):
+    """At first the node itself, as links often lead to a group's least node; then hashes, as chains may be long."""
+    return F.col(column) if turn < 2 else F.xxhash64(F.lit(turn), column)
+
+
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """``node, component`` for each node that has a link; the component is its smallest node.
 
-    Each round unites every node with the neighbour of least priority (a hash that changes with the round, so
-    that long chains halve, too) and keeps the links between what is united, until none are left. Only links
+    Each round unites every node with the neighbour of least priority (after two rounds a hash that
+    changes with the round, so that long chains halve, too) and keeps the links between what is united, until none are left. Only links
     and one row per node are shuffled; a node with very many links is reduced in the tasks first.
     Links with a null end, and links of a node with itself, are without effect.
     """
@@ -25,10 +30,10 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         turn = len(parents)
 
         def ranked(column: str):
-            return F.struct(F.xxhash64(F.lit(turn), column).alias("priority"), F.col(column).alias("node"))
+            return F.struct(priority(turn, column).alias("priority"), F.col(column).alias("node"))
 
         both = pairs.select("a", ranked("b").alias("r")).union(pairs.select("b", ranked("a").alias("r")))
-        own = F.struct(F.xxhash64(F.lit(turn), "a").alias("priority"), F.col("a").alias("node"))
+        own = ranked("a")
         nearest = both.groupBy("a").agg(F.min("r").alias("r"))
         parent = written(nearest.select(F.col("a").alias("node"), F.least("r", own)["node"].alias("parent")), "parents")
         parents.append(parent)

@@ -34,10 +34,10 @@ WORDS = 5
 #: linked when ``100 * intersection >= PERCENT * union``
 PERCENT = 75
 SLICE_BYTES = 2 << 20
-#: a shingle in so many documents of one slice of text is frequent there
-FREQUENT = 2
+#: a shingle in so many different documents of one chunk, of so many shingles, is frequent there
+FREQUENT, CHUNK_SHINGLES = 3, 4_000_000
 #: so many frequent shingles at most stand last in the order: 8 bytes each; which ones does not change the result
-MOST_FREQUENT = 400_000
+MOST_FREQUENT = 1_000_000
 #: all pairs of a region of so many nodes are compared; larger ones take a pivot each round
 SMALL_REGION = 200
 #: bits of the sketch that bounds the intersection of two sets from above
@@ -116,34 +116,43 @@ def described(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     fields = ", ".join(f"{docs.schema[c].name} {docs.schema[c].dataType.simpleString()}" for c in keep)
     names = [*keep, "n", "node", "sketch", "frequent", "times"]
 
+    def often(chunk: dict[int, np.ndarray], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        values, times = np.unique(np.concatenate(list(chunk.values())), return_counts=True)
+        found = np.flatnonzero(times >= FREQUENT)
+        if len(found):
+            none = [pa.nulls(len(found), kind) for kind in (*kinds, pa.int64(), pa.int64(), pa.binary())]
+            facts = [pa.array(signed(values[found])), pa.array(times[found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, *facts], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size, kinds = {}, 0, []
         for batch in batches:
             texts = batch.column(text)
             for start, stop in slices(texts, SLICE_BYTES):
                 sets = list(shingle_sets(texts.slice(start, stop - start)))
                 nodes = [node_of(s) for s in sets]
                 own = [batch.column(c).slice(start, stop - start) for c in keep]
+                kinds = [c.type for c in own]
                 none = pa.nulls(stop - start, pa.int64())
                 facts = [pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())]
                 sketches = pa.array([sketch(s) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([*own, *facts, sketches, none, none], names=names)
-                distinct = {node: s for node, s in zip(nodes, sets)}
-                values, times = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
-                often = times >= FREQUENT
-                if often.any():
-                    none = pa.nulls(int(often.sum()), pa.int64())
-                    empty = [none.cast(c.type) if c.type != pa.string() else pa.nulls(len(none), c.type) for c in own]
-                    yield pa.RecordBatch.from_arrays(
-                        [*empty, none, none, pa.nulls(len(none), pa.binary()), pa.array(signed(values[often])), pa.array(times[often], pa.int64())],
-                        names=names,
-                    )
+                for node, shingles in zip(nodes, sets):
+                    if node not in chunk:
+                        chunk[node] = shingles
+                        size += len(shingles)
+                if size >= CHUNK_SHINGLES:
+                    yield from often(chunk, kinds)
+                    chunk, size = {}, 0
+        if chunk:
+            yield from often(chunk, kinds)
 
     return docs.mapInArrow(run, f"{fields}, n long, node long, sketch binary, frequent long, times long")
 
 
-def windows(docs: DataFrame, text: str, frequent: list[int], regions: Filter | None = None) -> DataFrame:
+def windows(docs: DataFrame, text: str, frequent: np.ndarray, regions: Filter | None = None) -> DataFrame:
     """The regions of each document: ``shingle, node, n`` for the first shingles of its set; only likely ``regions`` if given."""
-    last = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(frequent, dtype=np.int64).view(np.uint64)))
+    last = docs.sparkSession.sparkContext.broadcast(np.sort(frequent.astype(np.int64).view(np.uint64)))
 
     likely = regions.lookup() if regions else None
 
@@ -240,7 +249,7 @@ def shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, na long, nb long, common long")
 
 
-def node_links(docs: DataFrame, nodes: DataFrame, text: str, key: str, frequent: list[int]) -> DataFrame:
+def node_links(docs: DataFrame, nodes: DataFrame, text: str, key: str, frequent: np.ndarray) -> DataFrame:
     """Links ``a, b`` between nodes, enough that their components are those of all linked pairs."""
     regions = windows(docs, text, frequent)
     regions = written(
@@ -279,7 +288,7 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         ),
         "nodes",
     )
-    links = node_links(docs.where("key is not null"), nodes, "text", "key", frequent["frequent"].tolist())
+    links = node_links(docs.where("key is not null"), nodes, "text", "key", frequent["frequent"].to_numpy())
     # a key with several texts joins them
     several = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
     links = links.union(keyed.join(several.select("key", "a"), "key").select("a", F.col("node").alias("b")))

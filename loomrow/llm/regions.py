@@ -14,6 +14,8 @@ from .components import components
 
 #: bits for each member of a broadcast filter, and at most in all (16 MB)
 FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 27
+#: about so many pivots at a time in regions that are still large after the first
+PIVOTS = 16
 
 
 class Filter:
@@ -61,30 +63,44 @@ def metric_links(
     pairs ``a, b``; it may leave out pairs that share less than ``percent`` of their union. With ``r`` the distance that links:
     the least node of a region is its pivot, nodes within ``r`` its ball. Nodes outside the ball go on as a region;
     a node of the ball can link only with nodes within ``2 r`` of the pivot. Regions of at most ``small_region`` nodes end
-    in all their pairs. Pairs of one component are not compared again.
+    in all their pairs. Pairs of one component are not compared again, and regions within one component are done.
     """
     wide = max(100 - 2 * (100 - percent), 1)
     kind = "a long, b long, na long, nb long, common long"
     measured = members.sparkSession.createDataFrame([], kind)
 
-    open_, small = members, []
+    rest, small, turn = members, [], 0
     while True:
-        pivots = written(open_.groupBy("region").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("np")), "pivots")
-        met = open_.join(pivots, "region").where("node <> pivot")
+        if turn == 0:
+            pivots = rest.groupBy("region").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("np"))
+        else:  # what is still large takes several at a time
+            sizes = written(rest.groupBy("region").agg(F.min("node").alias("least"), F.count("*").alias("count")), "sizes")
+            drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.greatest(F.floor(F.col("count") / PIVOTS), F.lit(1))) == 0
+            chosen = rest.join(sizes, "region").where((F.col("node") == F.col("least")) | drawn)
+            pivots = chosen.select("region", F.col("node").alias("pivot"), F.col("n").alias("np"))
+        pivots = written(pivots, "pivots")
+        met = rest.join(pivots, "region").where("node <> pivot")
         pairs = met.where(may_link("n", "np", wide)).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        fresh = pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti")
-        measured = measured.union(measure(fresh, wide))
-        ball = measured.where(shares(percent)).select(F.col("a").alias("node"), F.col("b").alias("pivot"))
-        rest = written(met.join(ball, ["node", "pivot"], "left_anti").select("region", "node", "n"), "rest")
-        counts = written(rest.groupBy("region").agg(F.count("*").alias("count")).where("count > 1"), "counts")
-        small.append(rest.join(counts.where(F.col("count") <= small_region), "region", "left_semi"))
-        large = counts.where(F.col("count") > small_region)
+        if turn:
+            pairs = pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti")
+        measured = measured.union(measure(pairs, wide))
+        links = measured.where(shares(percent)).select("a", "b")
+        found = components(links)
+        # pivots and their balls have met all others of the region
+        ball = links.select(F.col("a").alias("node"), F.col("b").alias("pivot"))
+        gone = met.join(ball, ["node", "pivot"], "left_semi").select("region", "node")
+        gone = gone.union(pivots.select("region", F.col("pivot").alias("node")))
+        labels = found.select("node", "component")
+        rest = rest.select("region", "node", "n").join(gone, ["region", "node"], "left_anti").join(labels, "node", "left")
+        rest = written(rest.withColumn("component", F.coalesce("component", "node")), "rest")
+        open_ = rest.groupBy("region").agg(F.count("*").alias("count"), F.min("component").alias("low"), F.max("component").alias("high"))
+        open_ = written(open_.where("low <> high").select("region", "count"), "open")
+        small.append(rest.join(open_.where(F.col("count") <= small_region), "region", "left_semi").select("region", "node", "n"))
+        large = open_.where(F.col("count") > small_region)
         if large.isEmpty():
             break
-        open_ = rest.join(large, "region", "left_semi")
-
-    links = measured.where(shares(percent)).select("a", "b")
-    found = components(links)
+        rest = rest.join(large, "region", "left_semi")
+        turn += 1
 
     def with_component(df: DataFrame, column: str, name: str) -> DataFrame:
         labels = found.select(F.col("node").alias(column), F.col("component").alias("c"))

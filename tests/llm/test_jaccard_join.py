@@ -36,7 +36,7 @@ def got(df):
     return sorted((r[0] if r[0] else (-1 if r[0] is None else 0) or -1, r[1], -1 if r[2] is None else r[2]) for r in df.collect())
 
 
-def corpus(seed=3, groups=40):
+def corpus(seed=3, groups=30):
     rng = random.Random(seed)
     vocabulary = ["w%d" % i for i in range(300)] + ["É", "ü", "😀"]
     passage = [rng.choice(vocabulary) for _ in range(40)]
@@ -62,7 +62,7 @@ def test_groups_are_those_of_all_pairs(spark):
 def test_regions_shrink_round_by_round(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL_REGION", 2)
     monkeypatch.setattr(jaccard_join, "FREQUENT", 10**6)
-    rows = corpus(seed=8, groups=25)
+    rows = corpus(seed=8, groups=12)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert got(jaccard_groups(df)) == brute(rows)
 
