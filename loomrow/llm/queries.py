@@ -1,11 +1,13 @@
 """The queries of this package, and the SQL of those that SQL can express."""
 
-from . import bpe, jaccard_join, line_dedup, mixing, pii, toxicity, warc
+from . import ann, bpe, embedding_dedup, jaccard_join, line_dedup, mixing, pii, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_pii": pii.op2_pii,
     "op8_mixing": mixing.op8_mixing,
+    "op3_ann": ann.op3_ann,
+    "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_warc": warc.op6_warc,
     "op9_bpe": bpe.op9_bpe,
