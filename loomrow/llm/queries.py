@@ -1,6 +1,6 @@
 """The queries of this package, and the SQL of those that SQL can express."""
 
-from . import ann, bpe, embedding_dedup, jaccard_join, line_dedup, mixing, pii, toxicity, warc
+from . import ann, bpe, embedding_dedup, jaccard_join, line_dedup, mixing, pii, token_io, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_warc": warc.op6_warc,
+    "op7_token_io": token_io.op7_token_io,
     "op9_bpe": bpe.op9_bpe,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
