@@ -6,13 +6,15 @@ result, a boolean column, says so.
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.json_schema import primary_type, spark_type, type_names
+from ..plans.paths import MappingError
 from ..plans.typed import Typed, is_complex, is_integral, null_of, to_variant
 
 # fixed values: spellings of true, and the texts accepted as whole or decimal numbers
@@ -225,19 +227,26 @@ def cast_to_schema(value: Typed, schema: dict) -> tuple[Typed, Column | None]:
     return Typed(col, target), value.col.isNotNull() & col.isNull()
 
 
-def cast_constant(value: Any, schema: dict) -> Any:
-    """The same coercion for a plain Python constant; unchanged where it cannot be made."""
-    wanted = primary_type(schema, "string")
-    if value is None or wanted not in ("string", "integer", "number", "boolean"):
-        return value
-    if wanted == "string":
-        return value if isinstance(value, (str, dict, list)) else str(value)
-    if wanted == "boolean":
-        return value.lower() in TRUE_WORDS if isinstance(value, str) else bool(value)
-    try:
-        if wanted == "integer":
-            whole_text = isinstance(value, str) and value.isdigit()
-            return int(value) if whole_text or isinstance(value, float) else value
-        return float(value) if isinstance(value, str) else value
-    except (ValueError, OverflowError):
-        return value
+def coerced(values: dict[str, Any], schema: dict) -> dict[str, tuple[Any, bool]]:
+    """Plain values as :func:`cast_to_schema` coerces columns of them, and whether that failed; ``schema`` wants a scalar."""
+    kinds: dict[type, tuple[T.DataType, dict[str, Any]]] = {
+        bool: (T.BooleanType(), {}), int: (T.LongType(), {}), float: (T.DoubleType(), {}), str: (T.StringType(), {}),
+    }
+    for key, value in values.items():
+        if type(value) not in kinds:
+            raise MappingError(f"the dictionary value {value!r} does not fit type {primary_type(schema, 'string')}")
+        wide = isinstance(value, int) and not -(2**63) <= value < 2**63
+        kinds[float if wide else type(value)][1][key] = float(value) if wide else value
+    out: dict[str, tuple[Any, bool]] = {}
+    for dtype, own in kinds.values():
+        if not own:
+            continue
+
+        def cell(x: Column) -> Column:
+            made, failed = cast_to_schema(Typed(x, dtype), schema)
+            return F.struct(made.col.alias("value"), F.coalesce(failed if failed is not None else F.lit(False), F.lit(False)).alias("failed"))
+
+        given = F.from_json(F.lit(json.dumps(list(own.values()))), T.ArrayType(dtype))
+        cells = SparkSession.active().range(1).select(F.transform(given, cell).alias("cells")).first()["cells"]
+        out |= {key: (c["value"], c["failed"]) for key, c in zip(own, cells)}
+    return {key: out[key] for key in values}

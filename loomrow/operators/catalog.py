@@ -10,13 +10,15 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import key_parts
 from ..plans.paths import MappingError
-from ..sources.hadoop import exists, replace_folder
+from ..sources.hadoop import drop_version, exists, input_path, version_folder, versions
 from .mapping import apply_mapping
 
 KEY = ["version", "dataset", "subpath"]
@@ -29,6 +31,8 @@ DOCUMENT = (
 )
 
 WRITTEN_AT = "written_at"
+#: versions of the master table that stay
+KEPT_VERSIONS = 3
 
 # fixed values: the metadata fields every dataset is offered
 DEFAULT_FIELDS = [
@@ -54,8 +58,10 @@ def latest(docs: DataFrame, key: Sequence[str] = tuple(KEY), stamp: str = "ts")
 def obsolete(docs: DataFrame, key: Sequence[str] = tuple(KEY), stamp: str = "ts") -> DataFrame:
     """Every document but the newest of each dataset: what goes to the archive."""
     newest = docs.groupBy(*key).agg(F.max(stamp).alias(stamp))
-    # joined on name and stamp, so that a dataset with very many versions spreads over tasks
-    return docs.join(newest, [*key, stamp], "left_anti").select(*docs.columns)
+    # joined on name and stamp, so that a dataset with very many versions spreads over tasks; null parts of a key are equal
+    newest = newest.select(*[F.col(c).alias(f"__{c}") for c in [*key, stamp]])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*key, stamp]])
+    return docs.join(newest, same, "left_anti").select(*docs.columns)
 
 
 def append_version(docs: DataFrame, new: DataFrame, now: Column | None = None) -> DataFrame:
@@ -199,16 +205,19 @@ def default_registry(spark: SparkSession) -> DataFrame:
 # -- documents as files -----------------------------------------------------------------
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+def read_documents(spark: SparkSession, folder: str, *, skip_broken: bool = False) -> DataFrame:
     """Catalog documents from JSON files below ``folder``.
 
-    The name ``version__dataset__subpath__stamp`` is that of the file or of a folder above.
+    The name ``version__dataset__subpath__stamp`` is that of the file or of a folder above. A document that is not
+    valid JSON fails the read, rather than to stand as an empty newest version; ``skip_broken`` leaves it out.
     """
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+__[^/]+__[^/]+__[0-9]{12})(?:\.json)?(?:/|$)", 1)
+    name = F.regexp_extract(input_path(), r"([^/=]+__[^/]+__[^/]+__[0-9]{12})(?:\.json)?(?:/|$)", 1)
     named = files.select(name.alias("name"), "value").where(F.col("name") != "")
+    if skip_broken:
+        named = named.where(F.try_parse_json("value").isNotNull())
     content = "doc_id string, metadata map<string,string>, src_schema string, dst_schema_id string, mapping string"
-    parsed = named.select(*key_parts(F.col("name")), F.from_json("value", content).alias("doc"))
+    parsed = named.select(*key_parts(F.col("name")), F.from_json("value", content, {"mode": "FAILFAST"}).alias("doc"))
     return parsed.select(*KEY, "ts", "doc.*")
 
 
@@ -270,6 +279,8 @@ class Catalog:
             now = datetime.now()
         names = [field.split(" ")[0] for field in DOCUMENT.split(", ")]
         stamped = new.withColumn("ts", F.lit(now.strftime("%Y%m%d%H%M"))).select(*names)
+        # of several documents of one dataset in a batch one stays, the same in both tables
+        stamped = latest(stamped.withColumn("order", F.to_json(F.struct(*names))), KEY, "order").select(*names)
         stamped.withColumn(WRITTEN_AT, F.current_timestamp()).write.mode("append").parquet(self.documents_path)
         self.refresh_master(stamped)
 
@@ -280,15 +291,30 @@ class Catalog:
         self.add(set_section(rows, section, value, F.lit(True)), now)
 
     def master(self) -> DataFrame:
-        if not exists(self.spark, self.master_path):
+        """The newest complete version of the master table."""
+        complete = versions(self.spark, self.master_path)
+        if not complete:
             return self.spark.createDataFrame([], ", ".join(f"{c} string" for c in MASTER))
-        return self.spark.read.parquet(self.master_path)
+        return self.spark.read.parquet(version_folder(self.master_path, complete[-1]))
 
     def refresh_master(self, new: DataFrame) -> None:
-        """Upsert documents into the master table, written aside and swapped in by rename."""
-        aside = f"{self.master_path}.next-{datetime.now().strftime('%Y%m%d%H%M%S%f')}"
-        upsert(self.master(), master_rows(new)).write.parquet(aside)
-        replace_folder(self.spark, aside, self.master_path)
+        """Upsert documents into the master table: a new version beside the old ones, which are never touched.
+
+        A version counts once it is complete, so an interrupted write leaves the table as it was. A writer that finds, when it is
+        done, that another version was completed meanwhile takes its own back and begins again from that one. The last
+        KEPT_VERSIONS stay for queries that still read them.
+        """
+        rows = latest(master_rows(new).withColumn("order", F.struct(*MASTER)), ["doc_id"], "order").select(*MASTER)
+        while True:
+            complete = versions(self.spark, self.master_path)
+            number = max([0, *versions(self.spark, self.master_path, complete=False)]) + 1
+            upsert(self.master(), rows).write.parquet(version_folder(self.master_path, number))
+            done = versions(self.spark, self.master_path)
+            if not set(done) - set(complete) - {number}:
+                break
+            drop_version(self.spark, self.master_path, number)
+        for old in done[:-KEPT_VERSIONS]:
+            drop_version(self.spark, self.master_path, old)
 
 
 __all__ = [

@@ -24,7 +24,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.casts import cast_constant, cast_to_schema
+from ..functions.casts import cast_to_schema, coerced
 from ..functions.registry import DEFAULT_REGISTRY, TransformRegistry
 from ..functions.text import evaluated_once
 from .json_schema import fallback_value, is_object, spark_type, sub_schema
@@ -43,8 +43,8 @@ ERROR_TYPE = T.StructType(
     ]
 )
 
-#: dictionaries above this size are looked up in hashed parts rather than one by one
-LARGE_DICTIONARY = 64
+#: about so many entries of a dictionary share one of the parts among which a key's hash chooses
+PART_ENTRIES = 8
 
 # a target whose only bracket is one closing index
 _ENDS_IN_INDEX = re.compile(r"[^\[\]]+\[\d+\]")
@@ -245,7 +245,7 @@ class _Compiler:
         if isinstance(entry.transformation, dict):
             if entry.constant:
                 return null_of(spark_type(entry.schema) if entry.schema else T.StringType()), None
-            return self.dictionary(self.raw(write), entry.transformation, entry.schema), None
+            return self.dictionary(self.raw(write), entry.transformation, entry.schema)
         if entry.constant:
             return self.constant(entry)
         value = self.raw(write)
@@ -298,7 +298,7 @@ class _Compiler:
         return Typed(col, T.ArrayType(dtype))
 
     def constant(self, entry: Entry) -> tuple[Typed, Column | None]:
-        value = cast_constant(entry.transformation, entry.schema) if entry.schema else entry.transformation
+        value = entry.transformation
         if value is None:
             return null_of(spark_type(entry.schema) if entry.schema else T.StringType()), None
         if not entry.schema or "type" not in entry.schema:
@@ -309,12 +309,15 @@ class _Compiler:
         made = literal(value, T.StringType() if isinstance(value, str) else None)
         return cast_to_schema(made, entry.schema)
 
-    def dictionary(self, value: Typed, pairs: dict, schema: dict) -> Typed:
-        """Look ``value`` up in ``pairs``; anything but a listed text gives null."""
-        cast = {str(k): cast_constant(v, schema) if schema else v for k, v in pairs.items() if v is not None}
+    def dictionary(self, value: Typed, pairs: dict, schema: dict) -> tuple[Typed, Column | None]:
+        """Look ``value`` up in ``pairs``; anything but a listed text gives null.
+
+        Every listed value is coerced on its own, whatever the others are and however many there are.
+        """
+        items = {str(k): v for k, v in pairs.items() if v is not None}
         dtype = spark_type(schema) if schema.get("type") else T.NullType()
         if isinstance(dtype, T.NullType):
-            for item in cast.values():
+            for item in items.values():
                 dtype = unify(dtype, type_of_value(item))
         if isinstance(value.dtype, T.VariantType):
 
@@ -322,23 +325,33 @@ class _Compiler:
                 return F.when(F.schema_of_variant(v) == "STRING", v.try_cast("string"))
 
             value = Typed(evaluated_once(value.col, text), T.StringType())
-        if not cast or not isinstance(value.dtype, T.StringType):
-            return null_of(dtype)
-
-        def table(part: dict) -> Column:
-            cells = [c for key, item in part.items() for c in (F.lit(key), literal(item, dtype).col)]
-            return F.create_map(*cells)
-
-        if len(cast) <= LARGE_DICTIONARY:
-            return Typed(F.try_element_at(table(cast), value.col), dtype)
-        # one constant holding small tables, folded once; a key's hash says which to search
-        parts: list[dict] = [{} for _ in range(max(2, len(cast) // 8))]
-        for key, item in cast.items():
-            parts[zlib.crc32(key.encode()) % len(parts)][key] = item
-        shape = T.ArrayType(T.MapType(T.StringType(), dtype))
-        tables = F.from_json(F.lit(json.dumps(parts)), shape)
+        if not items or not isinstance(value.dtype, T.StringType):
+            return null_of(dtype), None
+        # one constant of small tables, folded once; a key's hash says which to search
+        parts: list[dict] = [{} for _ in range(max(1, len(items) // PART_ENTRIES))]
+        plain = schema.get("type") and not is_complex(dtype) and not isinstance(dtype, T.VariantType)
+        cells = coerced(items, schema) if plain else {key: (item, False) for key, item in items.items()}
+        for key, cell in cells.items():
+            parts[zlib.crc32(key.encode()) % len(parts)][key] = cell
+        if plain:
+            cell_type = T.StructType([T.StructField("value", dtype), T.StructField("failed", T.BooleanType())])
+            listed = [{k: {"value": v, "failed": f} for k, (v, f) in part.items()} for part in parts]
+            tables = F.from_json(F.lit(json.dumps(listed)), T.ArrayType(T.MapType(T.StringType(), cell_type)))
+        else:
+
+            def table(part: dict) -> Column:
+                # no key of a text column's hash leads to the empty entry of a part without any
+                entries = part or {"": (None, False)}
+                return F.create_map(*[
+                    c for key, (item, failed) in entries.items()
+                    for c in (F.lit(key), F.struct(literal(item, dtype).col.alias("value"), F.lit(failed).alias("failed")))
+                ])
+
+            tables = F.array(*map(table, parts))
         slot = (F.crc32(value.col.cast("binary")) % len(parts)).cast("int")
-        return Typed(F.try_element_at(F.get(tables, slot), value.col), dtype)
+        found = F.try_element_at(F.get(tables, slot), value.col)
+        failed = F.coalesce(found["failed"], F.lit(False)) if any(f for _, f in cells.values()) else None
+        return Typed(found["value"], dtype), failed
 
     # -- target tree -------------------------------------------------------------
 

@@ -19,7 +19,7 @@ def ends_with_any(path: Column, extensions: tuple[str, ...]) -> Column:
     return path.rlike(pattern)
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
+def list_files(spark: SparkSession, path: str, below: bool = True) -> DataFrame:
     """Every file below ``path`` as ``path, length, modificationTime``.
 
     File contents are never read: the listing source skips the content column when it is
@@ -28,16 +28,16 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], "path string, length bigint, modificationTime timestamp")
     reader = spark.read.format("binaryFile")
-    if not is_file(spark, path):
+    if below and not is_file(spark, path):
         reader = reader.option("recursiveFileLookup", "true")
     return reader.load(path).select("path", "length", "modificationTime")
 
 
 def discover_files(
-    spark: SparkSession, path: str, extensions: tuple[str, ...] = DATA_EXTENSIONS
+    spark: SparkSession, path: str, extensions: tuple[str, ...] = DATA_EXTENSIONS, *, below: bool = True
 ) -> DataFrame:
     """Supported data files at or below ``path``."""
-    return list_files(spark, path).where(ends_with_any(F.col("path"), extensions))
+    return list_files(spark, path, below).where(ends_with_any(F.col("path"), extensions))
 
 
 def dataset_parts(files: DataFrame, base: str) -> DataFrame:

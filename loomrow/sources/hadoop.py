@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 
 def _locate(spark: SparkSession, path: str):
@@ -28,18 +29,31 @@ def holds_files(spark: SparkSession, path: str) -> bool:
     return system.exists(target) and len(system.listStatus(target)) > 0
 
 
-def replace_folder(spark: SparkSession, new: str, current: str) -> None:
-    """Put folder ``new`` in the place of ``current``, by renames: never half-written.
-
-    The last replaced state stays next to it as ``<current>.previous`` for queries that are
-    still reading it.
-    """
-    system, source = _locate(spark, new)
-    _, target = _locate(spark, current)
-    _, previous = _locate(spark, f"{current.rstrip('/')}.previous")
-    if system.exists(target):
-        system.delete(previous, True)
-        if not system.rename(target, previous):
-            raise OSError(f"could not move {current} away")
-    if not system.rename(source, target):
-        raise OSError(f"could not move {new} to {current}")
+def qualified(spark: SparkSession, path: str) -> str:
+    """The whole name of a folder, with one slash after the scheme."""
+    system, target = _locate(spark, path)
+    name = system.makeQualified(target).toString()
+    scheme, _, rest = name.partition(":")
+    return f"{scheme}:/{rest.strip('/')}"
+
+
+def input_path() -> Column:
+    """The file a row is read from, as it is named: Spark gives it with blanks and the like encoded."""
+    # in paths a plus sign stands for itself
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def versions(spark: SparkSession, path: str, complete: bool = True) -> list[int]:
+    """The numbers of the versions ``v=<n>`` of a table, ascending: the complete ones, or all that were begun."""
+    system, pattern = _locate(spark, f"{path.rstrip('/')}/v=*" + "/_SUCCESS" * complete)
+    folders = [status.getPath().getParent() if complete else status.getPath() for status in system.globStatus(pattern) or ()]
+    return sorted(int(folder.getName()[2:]) for folder in folders)
+
+
+def version_folder(path: str, number: int) -> str:
+    return f"{path.rstrip('/')}/v={number:08d}"
+
+
+def drop_version(spark: SparkSession, path: str, number: int) -> None:
+    system, target = _locate(spark, version_folder(path, number))
+    system.delete(target, True)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..plans.paths import quote_name
 from .discovery import DATA_EXTENSIONS, SAMPLE_EXTENSIONS, discover_files
-from .hadoop import is_file
+from .hadoop import input_path, is_file, qualified
 
 #: holds the text of a line that is not valid JSON; null for good rows
 BAD_LINE = "_bad_line"
@@ -17,7 +17,7 @@ FILE_NAME = "_file_name"
 
 
 def _named(df: DataFrame, file_name: bool) -> DataFrame:
-    return df.withColumn(FILE_NAME, F.col("_metadata.file_path")) if file_name else df
+    return df.withColumn(FILE_NAME, input_path()) if file_name else df
 
 
 def _reader(spark: SparkSession, path: str, pattern: str | None):
@@ -108,13 +108,12 @@ def read_csv(
     *,
     schema: T.StructType | str | None = None,
     separator: str = ",",
-    multi_line: bool = True,
+    multi_line: bool = False,
     file_name: bool = False,
 ) -> DataFrame:
     """CSV with a header line. Types are found, by an extra pass, unless ``schema`` is given.
 
-    Quoted fields may span lines, which makes each file one task; ``multi_line=False``
-    splits large files that have no such fields.
+    Large files are split. Quoted fields that span lines need ``multi_line``, which makes each file one task.
     """
     reader = (
         _reader(spark, path, None)
@@ -184,18 +183,18 @@ def sample_rows(
     None where the folder holds no supported file. With ``order_by`` the rows are the
     smallest by those columns rather than the first of the file.
     """
-    files = discover_files(spark, folder, SAMPLE_EXTENSIONS)
-    name = folder.rstrip("/").rsplit("/", 1)[-1]
-    direct = files.where(F.element_at(F.split("path", "/"), -2) == name)
+    files = discover_files(spark, folder, SAMPLE_EXTENSIONS, below=False)
+    plain = F.regexp_replace(F.col("path"), "^([a-z0-9+.-]+:)/+", "$1/")
+    direct = files.where(F.regexp_replace(plain, "/[^/]*$", "") == qualified(spark, folder))
     first = direct.agg(F.min("path").alias("path")).first()["path"]
     if first is None:
         return None
     if first.endswith(".parquet"):
         df = read_parquet(spark, first)
     elif first.endswith(".csv"):
-        df = read_csv(spark, first)
+        df = read_csv(spark, first, multi_line=True)
     elif first.endswith(".tsv"):
-        df = read_tsv(spark, first)
+        df = read_tsv(spark, first, multi_line=True)
     else:
         df = quarantine(read_json_lines(spark, first))[0]
     return sample(df, k, order_by=order_by, max_len=max_len)

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.mapping import apply_mapping
 from ..plans.paths import MappingError
+from ..sources.hadoop import input_path
 from ..sources.readers import BAD_LINE, FILE_NAME, parse_json_lines
 
 
@@ -26,7 +27,7 @@ def stream_source(
     if file_format not in ("parquet", "json"):
         raise ValueError("file_format must be 'parquet' or 'json'")
     reader = spark.readStream.option("recursiveFileLookup", "true")
-    name = F.col("_metadata.file_path")
+    name = input_path()
     if file_format == "parquet":
         return reader.schema(schema).parquet(path).withColumn(FILE_NAME, name)
     lines = reader.format("text").load(path).withColumn(FILE_NAME, name)

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomrow.functions.casts import cast_constant, cast_to_schema, float_text
+from loomrow.functions.casts import cast_to_schema, coerced, float_text
+from loomrow.plans.paths import MappingError
 from loomrow.plans.typed import Typed
 
 
@@ -90,10 +91,12 @@ def test_float_text_of_special_values(spark):
     assert [r[0] for r in df.select(float_text(F.col("x"))).collect()] == ["nan", "inf", "-inf", None]
 
 
-@pytest.mark.parametrize(
-    ("value", "kind", "result"),
-    [("5", "integer", 5), (2.9, "integer", 2), ("x", "integer", "x"), ("1.5", "number", 1.5), ("Yes", "boolean", True),
-     (0, "boolean", False), (True, "string", "True"), (["a"], "string", ["a"]), (None, "string", None)],
-)
-def test_constants(value, kind, result):
-    assert cast_constant(value, {"type": kind}) == result
+def test_plain_values_are_coerced_as_columns_are(spark):
+    values = {"a": "5", "b": "-5", "c": 2.9, "d": "x", "e": True, "f": 2**70, "g": 7}
+    assert coerced(values, {"type": "integer"}) == {
+        "a": (5, False), "b": (None, True), "c": (2, False), "d": (None, True), "e": (1, False), "f": (None, True), "g": (7, False),
+    }
+    assert coerced({"a": "Yes", "b": 0}, {"type": "boolean"}) == {"a": (True, False), "b": (False, False)}
+    assert coerced({"a": True, "b": 1.5}, {"type": "string"}) == {"a": ("True", False), "b": ("1.5", False)}
+    with pytest.raises(MappingError):
+        coerced({"a": ["x"]}, {"type": "string"})

@@ -375,3 +375,24 @@ def test_preview_and_split(spark, rows):
     checked = map_and_validate(df, [entry("s", "x")], props(x={"type": "string", "enum": ["a"]}))
     good, bad = split_valid(checked)
     assert rows(good) == [{"x": "a"}] and bad.count() == 1
+
+
+@pytest.mark.parametrize("size", [3, 10, 64, 65, 5000])
+def test_dictionary_values_are_coerced_one_by_one_at_any_size(spark, size):
+    listed = {f"k{i}": str(i) for i in range(size)} | {"bad": "abc", "minus": "-5", "yes": True, "half": 2.5}
+    schema = {"type": "object", "properties": {"n": {"type": "integer"}}}
+    df = spark.createDataFrame([("k1",), ("bad",), ("minus",), ("yes",), ("half",), ("none",), (None,)], "k string")
+    mapped = apply_mapping(df, [{"src_field": "k", "target_field": "n", "transformation": listed}], schema, errors=True)
+    got = [(r.n, len(r._errors)) for r in mapped.collect()]
+    # "-5" is no whole number to these rules, wherever it stands
+    assert got == [(1, 0), (None, 1), (None, 1), (1, 0), (2, 0), (None, 0), (None, 0)]
+
+
+@pytest.mark.parametrize("size", [2, 100])
+def test_dictionary_of_objects(spark, size):
+    listed = {f"k{i}": {"x": i, "y": [str(i)]} for i in range(size)}
+    schema = {"type": "object", "properties": {"o": {
+        "type": "object", "properties": {"x": {"type": "integer"}, "y": {"type": "array", "items": {"type": "string"}}}}}}
+    df = spark.createDataFrame([("k1",), ("no",)], "k string")
+    mapped = apply_mapping(df, [{"src_field": "k", "target_field": "o", "transformation": listed}], schema)
+    assert [r.o and (r.o.x, r.o.y) for r in mapped.collect()][0] == (1, ["1"])
