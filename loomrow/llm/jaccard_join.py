@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import mixed, powers, quoted, slices, table, utf8_buffer, written
 from .components import components
-from .regions import Filter, may_link, metric_links
+from .regions import Filter, gathered, may_link, metric_links
 
 WORDS = 5
 #: linked when ``100 * intersection >= PERCENT * union``
@@ -224,6 +224,30 @@ def near_by_sketch(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def near_in_groups(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs of each group, between components, that their sketches let link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for node, n, component, sketches in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "component", "sketch"))):
+                bits = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH_BITS // 8)
+                node, n, component = np.array(node), np.array(n, dtype=np.int64), np.array(component)
+                for i in range(len(node) - 1):
+                    rest = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
+                    common = np.minimum(
+                        n[i] - np.bitwise_count(bits[i] & ~bits[rest]).sum(axis=1, dtype=np.int64),
+                        n[rest] - np.bitwise_count(bits[rest] & ~bits[i]).sum(axis=1, dtype=np.int64),
+                    )
+                    near = rest[100 * common >= PERCENT * (n[i] + n[rest] - common)]
+                    a.append(np.full(len(near), node[i]))
+                    b.append(node[near])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return gathered(groups, nodes, "sketch").mapInArrow(run, "a long, b long")
+
+
 def shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b`` with the sizes of their sets and of the intersection, counted exactly."""
 
@@ -266,7 +290,10 @@ def node_links(docs: DataFrame, nodes: DataFrame, text: str, key: str, frequent:
         wanted = written(nodes.join(ends, "node", "left_semi").select(F.xxhash64("rep").alias("key_hash")), "wanted")
         return written(shared(near, written(sets_of(docs, text, key, wanted), "sets")).distinct(), "measured")
 
-    return metric_links(written(members, "members"), measure, PERCENT, SMALL_REGION)
+    def screen(groups: DataFrame) -> DataFrame:
+        return near_in_groups(groups, nodes)
+
+    return metric_links(written(members, "members"), measure, screen, PERCENT, SMALL_REGION)
 
 
 def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

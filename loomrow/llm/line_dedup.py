@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import mixed, quoted, slices, table, whole_row, written
 from .components import components
-from .regions import Filter, metric_links
+from .regions import Filter, gathered, metric_links
 
 SHINGLE = 7
 #: lines link when 100 * intersection >= PERCENT * union of their shingles
@@ -165,6 +165,29 @@ def compared(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, na long, nb long, common long")
 
 
+def linked_in_groups(groups: DataFrame, lines: DataFrame) -> DataFrame:
+    """Links within each group, enough to unite the components that link there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for node, component, texts in zip(*(batch.column(c).to_pylist() for c in ("node", "component", "line"))):
+                sets, component = [shingles(t) for t in texts], np.array(component)
+                sizes = np.array([len(x) for x in sets])
+                for i in range(len(node) - 1):
+                    fits = 100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i])
+                    for j in np.flatnonzero(fits[i + 1 :]) + i + 1:
+                        if component[i] != component[j]:
+                            common = len(sets[i] & sets[j])
+                            if 100 * common >= PERCENT * (sizes[i] + sizes[j] - common):
+                                a.append(node[i])
+                                b.append(node[j])
+                                component[component == component[j]] = component[i]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return gathered(groups, lines, "line").mapInArrow(run, "a long, b long")
+
+
 def line_components(docs: DataFrame) -> DataFrame:
     """``node, component`` of the lines that link with another."""
     signed = written(signatures(docs), "signatures")
@@ -188,7 +211,10 @@ def line_components(docs: DataFrame) -> DataFrame:
     def measure(pairs: DataFrame, percent: int) -> DataFrame:
         return written(compared(pairs, lines), "measured")
 
-    return components(metric_links(members, measure, PERCENT, SMALL_REGION))
+    def screen(groups: DataFrame) -> DataFrame:
+        return linked_in_groups(groups, lines)
+
+    return components(metric_links(members, measure, screen, PERCENT, SMALL_REGION))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", counts: bool = True) -> DataFrame:

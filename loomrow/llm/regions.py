@@ -55,12 +55,17 @@ def may_link(a: str, b: str, percent: int):
 
 
 def metric_links(
-    members: DataFrame, measure: Callable[[DataFrame, int], DataFrame], percent: int, small_region: int
+    members: DataFrame,
+    measure: Callable[[DataFrame, int], DataFrame],
+    screen: Callable[[DataFrame], DataFrame],
+    percent: int,
+    small_region: int,
 ) -> DataFrame:
     """Links ``a, b`` among nodes of common regions, enough that their components are those of all links.
 
     ``members`` has ``region, node, n`` (the node's size). ``measure(pairs, percent)`` gives ``a, b, na, nb, common`` of
-    pairs ``a, b``; it may leave out pairs that share less than ``percent`` of their union. With ``r`` the distance that links:
+    pairs ``a, b``; it may leave out pairs that share less than ``percent`` of their union. ``screen(groups)`` gives the pairs
+    ``a, b`` that may link among the members ``group, node, n, component`` of each group, between components. With ``r`` the distance that links:
     the least node of a region is its pivot, nodes within ``r`` its ball. Nodes outside the ball go on as a region;
     a node of the ball can link only with nodes within ``2 r`` of the pivot. Regions of at most ``small_region`` nodes end
     in all their pairs. Pairs of one component are not compared again, and regions within one component are done.
@@ -118,14 +123,17 @@ def metric_links(
         F.sort_array(F.collect_list(F.struct("node", "n", "component"))).alias("nodes"),
         F.min("component").alias("low"), F.max("component").alias("high"),
     ).where("low <> high").select("nodes").distinct()
-    ahead = groups.select(F.posexplode("nodes").alias("at", "x"), "nodes")
-    others = ahead.select(
-        "x.node", F.filter(F.slice("nodes", F.col("at") + 2, F.size("nodes")), lambda y: (y["component"] != F.col("x.component"))
-                           & may_link(y["n"], F.col("x.n"), percent)).alias("ys")
-    )
-    others = others.select(F.col("node").alias("a"), F.explode("ys.node").alias("b"))
+    inside = groups.select(F.xxhash64("nodes").alias("group"), F.explode("nodes").alias("x")).select("group", "x.*")
+    others = screen(written(inside, "groups")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     last = crossing.union(others).distinct().join(measured.select("a", "b"), ["a", "b"], "left_anti")
     last = last.join(measured.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     return links.union(measure(last, percent).where(shares(percent)).select("a", "b"))
 
 
+
+
+def gathered(groups: DataFrame, payload: DataFrame, column: str) -> DataFrame:
+    """``node, n, component`` and a payload of all members of each group, in lists; groups are small, so each is one row."""
+    members = groups.join(payload.select("node", column), "node")
+    lists = members.groupBy("group").agg(F.collect_list(F.struct("node", "n", "component", column)).alias("m"))
+    return lists.select(*[F.col("m")[c].alias(c) for c in ("node", "n", "component", column)])
