@@ -52,7 +52,7 @@ def scan_jsonl_gz(spark, folder):
 def scan_csv(spark, folder):
     target = work_folder(spark, "csv")
     sinks.export_csv(table(spark, folder, "conversations"), target)
-    return readers.read_csv(spark, target, schema=TALK_COLUMNS)
+    return readers.read_csv(spark, target, schema=TALK_COLUMNS, multi_line=True)
 
 
 @query("scan_tsv", ORDERS)
@@ -62,19 +62,26 @@ def scan_tsv(spark, folder):
     return readers.read_tsv(spark, target, schema=ORDER_COLUMNS)
 
 
-@query("discover_files")
+@query(
+    "discover_files",
+    """SELECT DISTINCT 'a' AS folder, 'parquet' AS kind FROM orders
+       UNION ALL SELECT DISTINCT 'b/c' AS folder, 'json' AS kind FROM orders""",
+)
 def discover_files(spark, folder):
     target = work_folder(spark, "mixed")
     orders(spark, folder).write.parquet(f"{target}/a")
     orders(spark, folder).write.json(f"{target}/b/c")
     orders(spark, folder).write.csv(f"{target}/d")
-    return discovery.discover_files(spark, target)
+    # the files' own names and number are the writers' choice: what is compared is where which kind was found
+    name = "/mixed-[^/]+/(.+)/[^/]+[.]([a-z]+)$"
+    parts = [F.regexp_extract("path", name, i).alias(n) for i, n in ((1, "folder"), (2, "kind"))]
+    return discovery.discover_files(spark, target).select(*parts).distinct()
 
 
 @query(
     "discover_datasets",
     """SELECT DISTINCT 'v1' AS version, 'l_lang=' || lang AS dataset, 's_source=' || source AS subpath
-       FROM documents WHERE lang IN ('de', 'en') AND source LIKE '%rc1%'""",
+       FROM documents WHERE lang LIKE '%e%' AND source LIKE '%rc1%'""",
 )
 def discover_datasets(spark, folder):
     base = work_folder(spark, "datasets")
@@ -83,8 +90,7 @@ def discover_datasets(spark, folder):
     )
     docs.write.partitionBy("l_lang", "s_source").parquet(f"{base}/v1")
     found = discovery.discover_datasets(spark, base, version="V", dataset="E", subpath="RC1")
-    # the search text matches any part of a name: keep the languages the check names
-    return found.where(F.col("dataset").isin("l_lang=de", "l_lang=en")).select("version", "dataset", "subpath")
+    return found.select("version", "dataset", "subpath")
 
 
 @query("sample_rows", f"SELECT doc_id, lang, {short('text')} AS text FROM documents ORDER BY doc_id LIMIT 20")

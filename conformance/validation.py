@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from loomrow.operators.inference import field_presence, json_field_types
 from loomrow.operators.mapping import map_and_validate as mapped_and_checked
-from loomrow.operators.query import describe
 from loomrow.operators.validation import dataset_eligible as eligible
 from loomrow.operators.validation import error_rows
 from loomrow.operators.validation import validate_rows as checked_rows
@@ -169,8 +168,3 @@ def event_json(spark, folder):
 )
 def infer_schema_json(spark, folder):
     return json_field_types(event_json(spark, folder), "doc", max_depth=4).select("path", "type", "n")
-
-
-@query("describe_dataset")
-def describe_dataset(spark, folder):
-    return describe(table(spark, folder, "conversations"))

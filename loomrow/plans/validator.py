@@ -22,11 +22,17 @@ from ..functions.casts import variant_kind
 from .json_schema import is_object
 from .mapper import error, join_errors, no_errors, nullable_type
 from .paths import EACH_SEGMENT
-from .typed import Typed, is_integral, literal, read_path
+from .typed import Typed, is_complex, is_integral, literal, read_path
 
 _VARIANT_MAP = T.MapType(T.StringType(), T.VariantType())
 _VARIANT_ARRAY = T.ArrayType(T.VariantType())
 
+#: keywords that would restrict values in a way this compiler does not check: refused rather than passed over
+UNSUPPORTED = (
+    "$ref", "contains", "patternProperties", "propertyNames", "dependencies", "dependentRequired", "dependentSchemas", "if",
+    "additionalItems", "prefixItems", "unevaluatedProperties", "unevaluatedItems",
+)
+
 
 class Nulls:
     """What a null at a given place means: True = a null value, False = a missing key."""
@@ -74,6 +80,9 @@ class _Checks:
             schema = {"not": {}}
         if not isinstance(schema, dict) or not schema:
             return single, lists
+        refused = [k for k in UNSUPPORTED if k in schema] + ["items"] * (not isinstance(schema.get("items", {}), dict))
+        if refused:
+            raise ValueError(f"schema keywords that are not supported: {', '.join(refused)}")
         path = self.path(prefix)
 
         def report(bad: Column | None, keyword: str, message: str) -> None:
@@ -190,12 +199,16 @@ class _Checks:
                 return isinstance(item, bool)
             if isinstance(dtype, T.NumericType):
                 return isinstance(item, (int, float)) and not isinstance(item, bool)
+            if isinstance(dtype, (T.StructType, T.MapType)):
+                return isinstance(item, dict)
+            if isinstance(dtype, T.ArrayType):
+                return isinstance(item, list)
             return isinstance(dtype, T.VariantType) and item is not None
 
         kept = [item for item in values if fits(item)]
         if not kept:
             ok: bool | Column = False
-        elif isinstance(dtype, T.VariantType):
+        elif isinstance(dtype, T.VariantType) or is_complex(dtype):
             ok = F.to_json(value.col).isin([F.to_json(literal(item, dtype).col) for item in kept])
         else:
             ok = value.col.isin(kept)
@@ -205,18 +218,25 @@ class _Checks:
     def bounds(value: Typed, schema: dict):
         """Limits on numbers, texts and array sizes as (keyword, violated, message)."""
         dtype, col = value.dtype, value.col
-        number = text = size = None
+        number = text = size = keys = repeated = None
         if isinstance(dtype, T.NumericType):
             number = col
         elif isinstance(dtype, T.StringType):
             text = col
         elif isinstance(dtype, T.ArrayType):
             size = F.size(col)
+            texts = F.transform(col, lambda x: F.to_json(F.struct(x.alias("x"))))
+            repeated = size - F.size(F.array_distinct(texts))
+        elif isinstance(dtype, T.MapType):
+            keys = F.size(col)
         elif isinstance(dtype, T.VariantType):
             kind = variant_kind(col)
             number = F.when(kind.isin("integer", "number"), col.try_cast("double"))
             text = F.when(kind == "string", col.try_cast("string"))
-            size = F.size(col.try_cast(_VARIANT_ARRAY))
+            items = col.try_cast(_VARIANT_ARRAY)
+            size = F.size(items)
+            repeated = size - F.size(F.array_distinct(F.transform(items, lambda x: F.to_json(x))))
+            keys = F.when(kind == "object", F.size(col.try_cast(_VARIANT_MAP)))
         length = None if text is None else F.length(text)
         rules = [
             ("minimum", number, lambda c, v: c < v, "is less than"),
@@ -228,7 +248,12 @@ class _Checks:
             ("pattern", text, lambda c, v: ~c.rlike(v), "does not match"),
             ("minItems", size, lambda c, v: c < v, "has fewer items than"),
             ("maxItems", size, lambda c, v: c > v, "has more items than"),
+            ("minProperties", keys, lambda c, v: c < v, "has fewer properties than"),
+            ("maxProperties", keys, lambda c, v: c > v, "has more properties than"),
+            ("multipleOf", number, lambda c, v: F.abs(c / v - F.round(c / v)) > 1e-9, "is not a multiple of"),
         ]
+        if schema.get("uniqueItems") is True and repeated is not None:
+            yield "uniqueItems", F.coalesce(repeated > 0, F.lit(False)), "has items that repeat"
         for keyword, subject, broken, words in rules:
             limit = schema.get(keyword)
             if limit is None or isinstance(limit, bool) or subject is None:

@@ -138,3 +138,39 @@ def test_stored_catalog(spark, docs, tmp_path, rows):
     assert rows(catalog.map_from_catalog(df, store.documents(), NAME, None)) == [{"x": "v"}]
     with pytest.raises(MappingError):
         catalog.map_from_catalog(df, docs, NAME, None)
+
+
+def test_a_batch_with_two_documents_of_one_dataset(spark, docs, tmp_path):
+    store = Catalog(spark, str(tmp_path / "batch"))
+    twice = docs.where("doc_id = 'old'")
+    store.add(twice.unionByName(twice.withColumn("mapping", F.lit("[2]"))), datetime(2025, 1, 1))
+    assert store.master().count() == store.current().count() == 1
+    assert store.master().first()["mapping"] == store.current().first()["mapping"]
+
+
+def test_interrupted_writes_lose_nothing(spark, docs, tmp_path):
+    store = Catalog(spark, str(tmp_path / "cut"))
+    for month in range(1, 6):
+        store.add(docs.where("doc_id = 'old'").withColumn("doc_id", F.lit(f"d{month}")).withColumn("dataset", F.lit(f"e{month}")), datetime(2025, month, 1))
+    assert sorted(r["doc_id"] for r in store.master().collect()) == ["d1", "d2", "d3", "d4", "d5"]
+    kept = sorted(p.name for p in (tmp_path / "cut" / "master").glob("v=*"))
+    assert kept == ["v=00000003", "v=00000004", "v=00000005"]
+    (tmp_path / "cut" / "master" / "v=00000006" / "_temporary").mkdir(parents=True)  # what a killed job leaves
+    assert store.master().count() == 5
+    store.add(docs.where("doc_id = 'new'"), datetime(2025, 7, 1))
+    assert store.master().count() == 6
+
+
+def test_names_with_blanks_and_broken_documents(spark, tmp_path):
+    (tmp_path / "v1__my data+x__sub__202501010000.json").write_text('{"doc_id": "i"}')
+    assert catalog.read_documents(spark, str(tmp_path)).first()["dataset"] == "my data+x"
+    (tmp_path / "v1__d__sub__202501010000.json").write_text('{"doc_id": ')
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        catalog.read_documents(spark, str(tmp_path)).collect()
+    assert catalog.read_documents(spark, str(tmp_path), skip_broken=True).count() == 1
+
+
+def test_null_parts_of_a_key_match(docs):
+    nulled = docs.withColumn("dataset", F.lit(None).cast("string")).withColumn("version", F.lit("v")).withColumn("subpath", F.lit("s"))
+    newest = max(r["ts"] for r in nulled.collect())
+    assert all(r["ts"] < newest for r in catalog.obsolete(nulled).collect())

@@ -8,7 +8,7 @@ from conformance import ORACLES, QUERIES
 from conformance.check import compare, duck
 
 #: queries whose result SQL cannot give
-ROWS_ONLY = {"describe_dataset", "discover_files", "extract_tags_html"}
+ROWS_ONLY = {"extract_tags_html"}
 
 
 @pytest.fixture(scope="module")

@@ -62,7 +62,7 @@ def test_json_variant(spark, base):
 
 def test_csv_and_tsv(spark, base, rows):
     folder = f"{base}/v1/beta/more/deep"
-    assert rows(readers.read_csv(spark, f"{folder}/c.csv"), "q") == [{"p": "a\nb", "q": 1}, {"p": 'say "hi"', "q": 2}]
+    assert rows(readers.read_csv(spark, f"{folder}/c.csv", multi_line=True), "q") == [{"p": "a\nb", "q": 1}, {"p": 'say "hi"', "q": 2}]
     assert rows(readers.read_tsv(spark, f"{folder}/d.tsv")) == [{"p": "x", "q": 1}]
 
 

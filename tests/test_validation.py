@@ -111,3 +111,14 @@ def test_eligibility(spark, answers, rows):
     assert rows(dataset_eligible(answers, good, first_rows=1)) == [{"eligible": True, "checked_rows": 1}]
     assert rows(dataset_eligible(answers, None)) == [{"eligible": False, "checked_rows": 0}]
     assert rows(dataset_eligible(answers.limit(0), good)) == [{"eligible": False, "checked_rows": 0}]
+
+
+def test_more_keywords_and_refused_ones(spark):
+    df = spark.createDataFrame([([1, 1], 3, [1, 2]), ([1, 2], 4, [2, 1])], "a array<int>, n int, e array<int>")
+    schema = {"type": "object", "properties": {
+        "a": {"type": "array", "uniqueItems": True}, "n": {"type": "integer", "multipleOf": 2}, "e": {"enum": [[1, 2]]}}}
+    errors = [sorted(e["keyword"] for e in r["_errors"]) for r in validate_rows(df, schema).orderBy("n").collect()]
+    assert errors == [["multipleOf", "uniqueItems"], ["enum"]]
+    for refused in ({"$ref": "#/x"}, {"contains": {}}, {"items": [{}]}, {"if": {}}):
+        with pytest.raises(ValueError):
+            validate_rows(df, {"type": "object", "properties": {"a": refused}})
