@@ -132,7 +132,7 @@ def test_saved_results(spark, tmp_path):
 def test_exports(spark, tmp_path, rows):
     df = spark.createDataFrame([(1, ("x",), ' a "b"\n'), (2, None, None)], "id int, o struct<k:string>, s string")
     files.export_csv(df.orderBy("id"), str(tmp_path / "csv"), 1)
-    assert rows(readers.read_csv(spark, str(tmp_path / "csv"))) == [{"id": 1, "o": '{"k":"x"}', "s": ' a "b"\n'}]
+    assert rows(readers.read_csv(spark, str(tmp_path / "csv"), multi_line=True)) == [{"id": 1, "o": '{"k":"x"}', "s": ' a "b"\n'}]
     for kind in ("json", "parquet"):
         files.extract_sample(df, str(tmp_path / kind), order_by=["id"], n=1, file_format=kind)
         assert spark.read.format(kind).load(str(tmp_path / kind)).count() == 1
