@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -55,7 +56,7 @@ def tag_pattern(tags: Sequence[str] | None = None) -> str:
     """Pattern of a tag pair: any tag, or only the named ones."""
     if tags is None:
         return TAG_PAIR
-    return TAG_PAIR.replace("[a-zA-Z0-9_]+", "|".join(tags))
+    return TAG_PAIR.replace("[a-zA-Z0-9_]+", "|".join(map(re.escape, tags)))
 
 
 def text_without_tags(
