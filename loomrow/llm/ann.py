@@ -50,24 +50,33 @@ class Lines:
         projected = (points @ self.directions).T
         order = np.argsort(projected, axis=1, kind="stable")
         self.sorted = np.take_along_axis(projected, order, axis=1)
-        self.ranks = np.empty(order.shape, dtype=np.int32)
-        np.put_along_axis(self.ranks, order, np.arange(order.shape[1], dtype=np.int32)[None, :], axis=1)
         self.count = order.shape[1]
-
-    def candidates(self, query: np.ndarray, wanted: int) -> np.ndarray:
-        """Places of the vectors that collide often enough, at the first width that gives enough of them."""
-        centre = np.append(query / np.linalg.norm(query), 0.0) @ self.directions
+        kind = np.uint16 if self.count < 1 << 16 else np.uint32
+        self.ranks = np.empty(order.shape, dtype=kind)
+        np.put_along_axis(self.ranks, order, np.arange(self.count, dtype=kind)[None, :], axis=1)
+
+    def candidates(self, queries: np.ndarray, wanted: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For each query the places of the vectors that collide often enough, at the first width that gives enough of them."""
+        units = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+        centres = units @ self.directions[:-1]
         enough = min(self.count, max(LEAST_FACTOR * wanted, int(VERIFIED * self.count)))
         least, width = int(np.ceil(THRESHOLD * LINES)), WIDTH
-        while True:
-            collisions = np.zeros(self.count, dtype=np.uint8)
-            for line, middle, ranks in zip(self.sorted, centre, self.ranks):
-                low, high = np.searchsorted(line, (middle - width, middle + width))
-                # one comparison: ranks before the window wrap around to large values
-                collisions += (ranks - np.int32(low)).view(np.uint32) < np.uint32(high - low)
-            found = np.flatnonzero(collisions >= least)
-            if len(found) >= enough:
-                return found
+        open_ = np.arange(len(queries))
+        while len(open_):
+            # where the windows of all open queries begin and how far they reach, line by line
+            edges = [np.searchsorted(line, (c - width, c + width)) for line, c in zip(self.sorted, centres[open_].T)]
+            low, high = (np.array([e[side] for e in edges]).T for side in (0, 1))
+            low, size = low.astype(self.ranks.dtype), (high - low).astype(self.ranks.dtype)
+            waiting = []
+            for q, start, length in zip(open_, low, size):
+                # one comparison: ranks before a window wrap around to large values
+                inside = (self.ranks - start[:, None]) < length[:, None]
+                found = np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8) >= least)
+                if len(found) >= enough:
+                    yield q, found
+                else:
+                    waiting.append(q)
+            open_ = np.array(waiting, dtype=np.int64)
             width *= GROWTH
 
 
@@ -94,15 +103,17 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vect
         parts = []
         if len(left) and len(right):
             vectors = np.array(left["v"].tolist(), dtype=np.float64)
-            ids = left["id"].to_numpy()
-            lines = Lines(vectors)
-            for query, values in zip(right["id"], right["v"]):
-                values = np.asarray(values, dtype=np.float64)
-                found = lines.candidates(values, k + 1)
-                found = found[ids[found] != query]
-                scores = vectors[found] @ values
+            values = np.array(right["v"].tolist(), dtype=np.float64)
+            ids, asked_ids = left["id"].to_numpy(), right["id"].to_numpy()
+            for q, found in Lines(vectors).candidates(values, k + 1):
+                found = found[ids[found] != asked_ids[q]]
+                scores = vectors[found] @ values[q]
+                # all that reach the k-th score are ordered, ties by id
+                if len(found) > k:
+                    top = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+                    found, scores = found[top], scores[top]
                 best = np.lexsort((ids[found], -scores))[:k]
-                parts.append(pd.DataFrame({"query_id": query, "id": ids[found][best], "score": scores[best]}))
+                parts.append(pd.DataFrame({"query_id": asked_ids[q], "id": ids[found][best], "score": scores[best]}))
         columns = {"query_id": "int64", "id": "int64", "score": "float64"}
         return pd.concat(parts) if parts else pd.DataFrame({n: pd.Series(dtype=t) for n, t in columns.items()})
 
