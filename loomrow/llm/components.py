@@ -25,7 +25,7 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     """
     pairs = links.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    labels, parents = None, []
+    parents: list[DataFrame] = []
     while not pairs.isEmpty():
         turn = len(parents)
 
