@@ -5,6 +5,9 @@ which learns after each step. The model mixes three predictions: the id that fol
 that followed the last one, and the frequencies of all ids so far. How much the first two count depends on how often they
 have been right before, at their present confidence. The mixture drives a carry-free range coder of 64 bits in each lane.
 
+No id is ever without code space: the two contexts leave at least ``room`` parts of the unit, and the frequencies are scaled down,
+to one at least, when they sum up to more. Blocks of version 1, which lack this, are still read.
+
 Layout: ``TIDB``, version (1 byte), ids (8), vocabulary (4), lanes (4), CRC-32 of the ids as little-endian 32-bit integers (4),
 words of each lane (4 each), then the lanes' 16-bit words.
 """
@@ -16,7 +19,7 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION = b"TIDB", 1
+MAGIC, VERSION = b"TIDB", 2
 HEADER = "<4sBQIII"
 #: lanes at most, and ids of a lane at least
 MOST_LANES, LEAST_STEPS = 4096, 256
@@ -37,7 +40,12 @@ def u64(x: int) -> np.uint64:
 class Model:
     """What both sides know after each step."""
 
-    def __init__(self, vocabulary: int, lanes: int):
+    def __init__(self, vocabulary: int, lanes: int, version: int = VERSION):
+        if not 0 < vocabulary <= UNIT // 4:
+            raise ValueError(f"a vocabulary of {vocabulary} ids has no place in the unit")
+        # what the contexts divide, and the least that they leave
+        self.divided = UNIT - 2 * vocabulary if version > 1 else UNIT
+        self.room = UNIT - self.divided + self.divided // 256 if version > 1 else None
         self.frequency = np.ones(vocabulary, dtype=np.int64)
         self.next_one = np.zeros(vocabulary, dtype=np.int64)
         self.sure_one = np.zeros(vocabulary, dtype=np.int64)
@@ -53,12 +61,15 @@ class Model:
         """The two predicted ids of each lane, their shares of the unit, and the cumulated frequencies."""
         self.one, self.two = self.next_one[self.last], self.next_two[self.pair]
         self.c1, self.c2 = self.sure_one[self.last], self.sure_two[self.pair]
-        shares = (UNIT * 15 // 16) * self.right // self.tried
+        shares = (self.divided * 15 // 16) * self.right // self.tried
         shares[:, 0] = 0
         self.w2 = shares[1][self.c2]
-        self.w1 = shares[0][self.c1] * (UNIT - self.w2) >> UNIT_BITS
+        self.w1 = shares[0][self.c1] * (self.divided - self.w2) // self.divided
         self.rest = UNIT - self.w2 - self.w1
-        self.cumulated = np.concatenate([[0], np.cumsum(self.frequency)])
+        frequency, total = self.frequency, int(self.frequency.sum())
+        if self.room is not None and total > self.room:
+            frequency = 1 + frequency * (self.room - len(frequency)) // total
+        self.cumulated = np.concatenate([[0], np.cumsum(frequency)])
         self.total = int(self.cumulated[-1])
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +79,11 @@ class Model:
         first = (ids == self.two) & (self.w2 > 0)
         second = (ids == self.one) & (self.w1 > 0) & ~first
         start = np.where(first, 0, np.where(second, self.w2, self.w2 + self.w1 + low))
-        return start, np.where(first, self.w2, np.where(second, self.w1, high - low))
+        size = np.where(first, self.w2, np.where(second, self.w1, high - low))
+        if not size.all():
+            # such a lane would count as settled for ever
+            raise ValueError("an id has no code space")
+        return start, size
 
     def found(self, place: np.ndarray) -> np.ndarray:
         """The id whose interval holds a place of the unit."""
@@ -148,7 +163,7 @@ def decode(block: bytes) -> np.ndarray:
     if len(block) < struct.calcsize(HEADER):
         raise ValueError("a block is cut off")
     magic, version, count, vocabulary, lanes, checksum = struct.unpack_from(HEADER, block)
-    if magic != MAGIC or version != VERSION:
+    if magic != MAGIC or not 1 <= version <= VERSION:
         raise ValueError(f"no token block begins with {block[:5]!r}")
     if not count:
         return np.zeros(0, dtype=np.int64)
@@ -164,7 +179,7 @@ def decode(block: bytes) -> np.ndarray:
     at += 4
     steps = -(-count // lanes)
     rows = np.empty((steps, lanes), dtype=np.int64)
-    model = Model(vocabulary, lanes)
+    model = Model(vocabulary, lanes, version)
     low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
     for step in range(steps):
         model.predict()

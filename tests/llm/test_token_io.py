@@ -31,6 +31,36 @@ def test_coder_learns_and_refuses_damage():
             token_coder.decode(damaged)
 
 
+@pytest.mark.parametrize("copies", [1.0, 0.34])
+def test_rare_ids_among_copies_have_code_space(copies):
+    rng = np.random.default_rng(11)
+    text, lanes, count = rng.integers(0, 20_000, 300), 4096, 1 << 21
+    ids = np.tile(text, count // len(text) + 1)[:count]
+    documents = np.repeat(rng.random(count // 300 + 1) < copies, 300)[:count]
+    ids[~documents] = np.minimum(rng.zipf(1.3, count), 20_000)[~documents]
+    late = rng.random(count) < 0.01 * (np.arange(count) % (count // lanes) > 100)
+    ids[late] = rng.integers(20_000, 50_257, late.sum())
+    block = token_coder.encode(ids, 50_257)
+    assert (token_coder.decode(block) == ids).all()
+
+
+def test_every_id_has_code_space_at_the_surest():
+    model = token_coder.Model(50_257, 2)
+    model.right[:], model.tried[:] = 1 << 30, (1 << 30) + 1
+    model.sure_one[0] = model.sure_two[0] = token_coder.CONFIDENCES - 1
+    model.frequency[7] = 1 << 25
+    model.predict()
+    starts, sizes = zip(*(model.interval(np.full(2, i)) for i in range(1, 50_257)))
+    assert np.min(sizes) > 0
+    for start, size, i in zip(starts, sizes, range(1, 50_257)):
+        assert (model.found(start) == i).all() and (model.found(start + size - 1) == i).all()
+
+
+def test_blocks_of_the_first_version_are_read():
+    block = bytes.fromhex("544944420190010000000000000500000001000000bae6d247090000001931412185e25d02dc750000000000000000")
+    assert block[4] == 1 and (token_coder.decode(block) == np.arange(400) % 5).all()
+
+
 def test_blocks_hold_whole_documents():
     keys, ids = [None, -5, 2**40], [np.array([1, 0]), np.array([0]), np.array([], dtype=int)]
     found = unpacked_block(packed(keys, ids, 10))
