@@ -10,21 +10,24 @@ marginal; their sum and maximum give the document's score, and tokens above one
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import quoted, slices, table, unpacked, whole_row
 
-#: at most so many labelled documents of each class are learnt from, and so many characters in all
+#: at most so many labelled documents of each class are learnt from, and so many characters in all, a third of them toxic
 SAMPLE_TOXIC = 1000
 SAMPLE_CLEAN = 2000
 SAMPLE_CHARACTERS = 10_000_000
+#: longer texts are learnt from only if their class has no others
+LONG_TEXT = 100_000
 #: a document with this score or more is toxic
 THRESHOLD = 0.3
 #: features are hashed to so many weights
@@ -223,19 +226,37 @@ def held_out(key: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
-    """``text, toxic`` of a bounded sample: those of smallest hash, as many of each class as the bounds allow."""
+    """``text, toxic`` of a bounded sample: those of smallest hash, as many of each class as its bounds allow.
+
+    A class has bounds of its own, and a text that does not fit leaves its place to the next. Of a repeated key the shortest text counts.
+    A class whose texts are all longer than its bound is refused.
+    """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("order", F.xxhash64("doc_id"))
-    chosen = [
-        known.where(F.col("toxic") == label).orderBy("order", "doc_id").limit(most)
-        for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))
+    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null").withColumn("length", F.length("text"))
+    known = known.join(texts.groupBy("doc_id").agg(F.min("length").alias("length")), "doc_id")
+    bounds = {1: (SAMPLE_TOXIC, SAMPLE_CHARACTERS // 3), 0: (SAMPLE_CLEAN, SAMPLE_CHARACTERS - SAMPLE_CHARACTERS // 3)}
+    first = [
+        known.where(F.col("toxic") == label).orderBy(F.col("length") > LONG_TEXT, "order", "doc_id").limit(most)
+        for label, (most, _) in bounds.items()
     ]
-    chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most the two bounds' rows
-    rows = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id")
+    listed = first[0].union(first[1]).collect()  # at most the two bounds' rows, without texts
+    chosen = []
+    for label, (_, left) in bounds.items():
+        own = sorted((r for r in listed if r.toxic == label), key=lambda r: r.order)
+        fitting = [r for r in own if r.length <= LONG_TEXT] or own
+        before = len(chosen)
+        for r in fitting:
+            if r.length <= left:
+                chosen.append(r)
+                left -= r.length
+        if own and len(chosen) == before:
+            raise ValueError(f"no text labelled {label} is short enough to learn from")
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(chosen, known.schema))
+    rows = texts.join(chosen, ["doc_id", "length"])
     # repeated rows would add to the bound: one text for each key
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("order").alias("order"))
-    so_far = F.sum(F.length("text")).over(Window.orderBy("order", "doc_id"))
-    return rows.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_CHARACTERS).select("text", "toxic").toPandas()
+    return rows.toPandas().sort_values(["order", "doc_id"])[["text", "toxic"]]
 
 
 class Odds(dict):
@@ -326,7 +347,11 @@ def toxic_spans(text: str, marginal: np.ndarray) -> list[dict]:
 
 def learnt(docs: DataFrame, labels: DataFrame) -> Field | None:
     sample = labelled_sample(docs, labels)
-    return trained(sample["text"].tolist(), sample["toxic"].to_numpy() == 1)
+    toxic = sample["toxic"].to_numpy() == 1
+    field = trained(sample["text"].tolist(), toxic)
+    if field is None and toxic.any() and not toxic.all():
+        warnings.warn("nothing tells toxic and clean documents apart: all scores are 0", stacklevel=2)
+    return field
 
 
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:

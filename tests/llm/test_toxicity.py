@@ -5,9 +5,11 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from loomrow.llm.toxicity import Field, held_out, learnt, op5_toxicity, scored, trained
+from loomrow.llm import toxicity
+from loomrow.llm.toxicity import Field, held_out, labelled_sample, learnt, op5_toxicity, scored, trained
 
 
 def test_marginals_are_those_of_all_labellings():
@@ -77,3 +79,38 @@ def test_query(spark, data):
     df = op5_toxicity(spark, data)
     assert df.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
     assert df.where("score between 0 and 1 and predicted = int(score >= 0.3)").count() == df.count() > 0
+
+
+def first_by_hash(spark, keys):
+    rows = spark.createDataFrame([(k,) for k in keys], "doc_id long").where(~held_out(F.col("doc_id")))
+    return rows.orderBy(F.xxhash64("doc_id")).first().doc_id
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_one_very_long_text_takes_no_place(spark, label):
+    rows = corpus()
+    longest = first_by_hash(spark, [i for i, _, toxic in rows if toxic == label])
+    rows = [(i, "word1 " * 1_700_000 if i == longest else text, toxic) for i, text, toxic in rows]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    sample = labelled_sample(docs, labels)
+    learnable = [r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2 and r[0] != longest]
+    assert sorted(sample["toxic"]) == sorted(learnable) and learnt(docs, labels) is not None
+
+
+def test_long_texts_only_where_a_class_has_no_others(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x " * (20 if i < 4 else 40)) for i in range(9)] + [(0, "y" * 90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 4)) for i in range(9)], "doc_id long, toxic int")
+    learnable = [i for i in range(9) if zlib.crc32(str(i).encode()) % 4 != 2]
+    monkeypatch.setattr(toxicity, "LONG_TEXT", 50)
+    assert sorted(labelled_sample(docs, labels)["toxic"]) == sorted(int(i >= 4) for i in learnable)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARACTERS", 200)
+    with pytest.raises(ValueError):
+        labelled_sample(docs, labels)
+
+
+def test_classes_that_nothing_tells_apart_are_reported(spark):
+    docs = spark.createDataFrame([(i, "same words") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    with pytest.warns(UserWarning, match="apart"):
+        assert learnt(docs, labels) is None
