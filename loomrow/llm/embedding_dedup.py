@@ -2,8 +2,10 @@
 
 A filter is a direction made of one random code word for each half of the vector's components; a vector belongs to all filters
 whose direction it meets at more than a fixed height. These are found by list decoding: only code words that can still reach
-the height with the best of the other half are combined. Two similar vectors share a filter with high probability. Vectors
-meet in their common filters, and every pair is verified exactly there, in the first filter that both have.
+the height with the best of the other half are combined. The halves are those of randomly rotated vectors, so that it makes no
+difference in which components a vector has its weight. Two similar vectors share a filter with high probability. Vectors
+meet in their common filters, and every pair is verified exactly there, in the first filter that both have. Vectors of few components
+meet in cells of a grid instead, in which no similar pair is missed.
 
 Equal vectors of a label are one node, with the number of its copies. A filter with many vectors is cut into chunks whose pairs
 are verified in different tasks. Tasks give the number of links of each vector and a spanning forest, never the pairs themselves.
@@ -25,17 +27,20 @@ from .vectors import matrix, usable
 SIMILARITY = 0.93
 #: independent codes, and code words for each half in each of them
 CODES, WORDS = 5, 24
-#: height of the caps, in standard deviations of a random direction's product with a unit vector
-HEIGHT = 2.3
+#: height of the caps, in standard deviations of a random direction's product with a unit vector, from so many components on
+HEIGHTS = {24: 2.3, 12: 2.2, 8: 2.0, 6: 1.9}
+#: sides of the cells where vectors have fewer components; at most four side by side
+CELL = 0.5
 #: vectors of one filter that meet in one task at most, twice
 CHUNK = 500
 SEED = 7
 
 
 def code(dimension: int) -> list[list[np.ndarray]]:
-    """For each code the unit words of the two halves, weighted by the halves' lengths."""
+    """For each code the unit words of the two halves, weighted by the halves' lengths and rotated."""
     rng = np.random.default_rng([SEED, dimension])
     codes = []
+    rotation = np.linalg.qr(np.random.default_rng([SEED, dimension, 1]).normal(size=(dimension, dimension)))[0]
     for _ in range(CODES):
         shuffled, halves = rng.permutation(dimension), []
         for places in (shuffled[: (dimension + 1) // 2], shuffled[(dimension + 1) // 2 :]):
@@ -43,14 +48,16 @@ def code(dimension: int) -> list[list[np.ndarray]]:
             words /= np.linalg.norm(words, axis=1, keepdims=True)
             whole = np.zeros((WORDS, dimension))
             whole[:, places] = words[:, : len(places)] * np.sqrt(len(places) / dimension)
-            halves.append(whole)
+            halves.append(whole @ rotation)
         codes.append(halves)
     return codes
 
 
 def decoded(unit: np.ndarray, codes: list[list[np.ndarray]]) -> np.ndarray:
     """All filters of a unit vector, ascending."""
-    height, found = HEIGHT / np.sqrt(len(unit)), []
+    if len(unit) < min(HEIGHTS):
+        return cells(unit)
+    height, found = next(h for least, h in HEIGHTS.items() if len(unit) >= least) / np.sqrt(len(unit)), []
     for number, halves in enumerate(codes):
         first, second = halves[0] @ unit, halves[1] @ unit
         left = np.flatnonzero(first + second.max() >= height)
@@ -60,6 +67,16 @@ def decoded(unit: np.ndarray, codes: list[list[np.ndarray]]) -> np.ndarray:
     return np.concatenate(found).astype(np.int32)
 
 
+def cells(unit: np.ndarray) -> np.ndarray:
+    """All cells that the point midway to a similar unit vector can lie in, ascending."""
+    reach = np.sqrt(2 - 2 * SIMILARITY) / 2 + 1e-6
+    low, high = (np.clip(np.floor((unit + r) / CELL), -2, 1).astype(int) + 2 for r in (-reach, reach))
+    places = [0]
+    for first, last in zip(low, high):
+        places = [4 * place + c for place in places for c in range(first, last + 1)]
+    return np.array(places, dtype=np.int32)
+
+
 def listed(nodes: DataFrame) -> DataFrame:
     """``node`` with its ``filters``."""
 
@@ -70,7 +87,9 @@ def listed(nodes: DataFrame) -> DataFrame:
             for values in batch.column("v"):
                 vector = np.asarray(values.as_py(), dtype=np.float64)
                 vector /= np.linalg.norm(vector)
-                found.append(decoded(vector, codes.setdefault(len(vector), code(len(vector)))))
+                if len(vector) not in codes:
+                    codes[len(vector)] = code(len(vector))
+                found.append(decoded(vector, codes[len(vector)]))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int32()))], names=["node", "filters"])
 
     return nodes.select("node", "v").mapInArrow(run, "node long, filters array<int>")
