@@ -6,17 +6,19 @@ are, all windows widen by a factor (virtual rehashing: no line is built anew). A
 verified, however many share one place, so equal vectors are never cut off.
 
 For inner products the vectors are first scaled to the unit ball and lifted to the unit sphere, where the nearest vector by
-distance is the one of largest inner product. Vectors are dealt out in shards by a hash of their id; each shard has lines of its own
-and answers every query, block by block of queries, so no task holds more than a shard and a block.
+distance is the one of largest inner product. One long vector would squeeze all others towards one pole, so vectors are first parted in
+bands of nearly the same length, and each band is scaled by its own. The vectors of a band are dealt out in shards by a hash of their id;
+each shard has lines of its own and answers every query, block by block of queries, so no task holds more than a shard and a block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import quoted, table
@@ -30,6 +32,8 @@ WIDTH, GROWTH = 1.0, 1.08
 #: windows widen until this share of a shard has been verified, and at least so many vectors for each neighbour asked for
 VERIFIED, LEAST_FACTOR = 0.25, 10
 SHARD_ROWS, BLOCK_ROWS = 4096, 4096
+#: the longest vector of a band is at most so many times as long as the shortest
+BAND = 1.1
 SEED = 20
 
 
@@ -80,6 +84,13 @@ class Lines:
             width *= GROWTH
 
 
+def band(vector: str) -> Column:
+    """The number of a vector's band of lengths; length 1 is in the middle of its band."""
+    largest = F.array_max(F.transform(vector, F.abs))
+    squares = F.aggregate(F.transform(vector, lambda x: x / largest), F.lit(0.0), lambda total, x: total + x * x)
+    return F.round((F.log(largest) + F.log(squares) / 2) / math.log(BAND)).cast("int")
+
+
 def nearest(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, <key>, score``: for each query its ``k`` nearest found, by inner product, ties to the smaller key.
 
@@ -92,12 +103,16 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vect
         return good.select(quoted(key).cast("long").alias("id"), quoted(vector).cast("array<double>").alias("v"), F.size(quoted(vector)).alias("d"))
 
     data, asked = prepared(df), prepared(queries)
-    shards = max(1, -(-data.count() // SHARD_ROWS))
+    data = data.withColumn("band", band("v"))
+    # one row for each band and number of components
+    bands = data.groupBy("d", "band").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("shards"))
     blocks = max(1, -(-asked.count() // BLOCK_ROWS))
-    of_shard = data.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    of_shard = data.join(F.broadcast(bands), ["d", "band"])
+    of_shard = of_shard.withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int")).drop("shards")
     of_shard = of_shard.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     of_block = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
-    of_block = of_block.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    of_block = of_block.join(F.broadcast(bands.select("d", F.col("band").alias("number"), "shards")), "d").withColumnRenamed("number", "band")
+    of_block = of_block.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -117,7 +132,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vect
         columns = {"query_id": "int64", "id": "int64", "score": "float64"}
         return pd.concat(parts) if parts else pd.DataFrame({n: pd.Series(dtype=t) for n, t in columns.items()})
 
-    keys = ["shard", "block", "d"]
+    keys = ["shard", "block", "d", "band"]
     local = of_shard.groupBy(*keys).cogroup(of_block.groupBy(*keys)).applyInPandas(search, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
