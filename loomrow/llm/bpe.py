@@ -27,7 +27,7 @@ from .common import kept, quoted, slices, table, unpacked, whole_row
 TOKENIZER = "word_bpe_49k.json"
 #: words whose tokens each Python process remembers; a full memory is emptied
 MEMORY_WORDS = 800_000
-#: words of more letters are streamed letter by letter
+#: words of more letters are not remembered
 LONG_WORD = 64
 #: bytes of text handled at a time
 SLICE_BYTES = 4 << 20
@@ -225,8 +225,6 @@ class Tokenizer:
         symbols = list(word) if word.isascii() and word.isprintable() else [letters[b] for b in word.encode()]
         if self.merges.mark:
             symbols[-1] += self.merges.mark
-        if len(symbols) <= LONG_WORD:
-            return tuple(map(vocab.__getitem__, self.merges.merged(symbols)))
         out: list[int] = []
         for symbol in symbols:
             out.extend(map(vocab.__getitem__, self.encoder.push(symbol)))

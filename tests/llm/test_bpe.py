@@ -6,6 +6,7 @@ from hashlib import sha256
 import pytest
 from tokenizers import Tokenizer as Library
 
+from loomrow.llm import bpe
 from loomrow.llm.bpe import Encoder, Tokenizer, default_tokenizer, encoded, op9_bpe
 
 
@@ -71,3 +72,13 @@ def test_query(spark, data, library):
         decoded = library.decode(ids, skip_special_tokens=False)
         assert r.n_tokens == len(ids) and r.ids_sha256 == sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == sha256(decoded.encode()).hexdigest()
+
+
+def test_words_of_any_length_go_through_the_transducer(monkeypatch):
+    tokenizer, pushed, push = Tokenizer(open(default_tokenizer(), encoding="utf-8").read()), [], bpe.Encoder.push
+    monkeypatch.setattr(bpe.Encoder, "push", lambda self, symbol: pushed.append(symbol) or push(self, symbol))
+    for word in ("a", "word", "x" * 64, "y" * 65):
+        pushed.clear()
+        ids = tokenizer.word_ids(word)
+        assert pushed == [*word[:-1], word[-1] + tokenizer.merges.mark]
+        assert [tokenizer.pieces[i] for i in ids] == tokenizer.merges.merged(list(pushed))
