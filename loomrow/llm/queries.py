@@ -1,6 +1,6 @@
 """The queries of this package, and the SQL of those that SQL can express."""
 
-from . import ann, bpe, embedding_dedup, jaccard_join, line_dedup, mixing, pii, token_io, toxicity, warc
+from . import ann, bpe, embedding_dedup, jaccard_join, line_dedup, mixing, pii, token_io, toxicity, warc, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_token_io": token_io.op7_token_io,
     "op9_bpe": bpe.op9_bpe,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_whitening": whitening.op11_whitening,
 }
 
 ORACLES = {
