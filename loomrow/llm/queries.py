@@ -1,6 +1,6 @@
 """The queries of this package, and the SQL of those that SQL can express."""
 
-from . import ann, bpe, conversation_repair, embedding_dedup, jaccard_join, line_dedup, mixing, pii, token_io, toxicity, warc, whitening
+from . import ann, bpe, conversation_repair, embedding_dedup, jaccard_join, language, line_dedup, mixing, pii, token_io, toxicity, warc, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op11_whitening": whitening.op11_whitening,
+    "op12_language": language.op12_language,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
