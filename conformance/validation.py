@@ -72,6 +72,21 @@ def validation_report(spark, folder):
     return report(checked_turns(spark, folder)).select("path", "keyword", "n")
 
 
+@query(
+    "validation_summary",
+    f"""SELECT regexp_replace(path, '^conversations[.][0-9]+', 'conversations[]') AS path, keyword, CAST(count(*) AS BIGINT) AS n,
+               any_value(CASE WHEN path = 'role' THEN 'is not one of [''user'', ''assistant'']'
+                              WHEN keyword = 'enum' THEN 'is not one of [''human'', ''gpt'']'
+                              WHEN keyword = 'maxItems' THEN 'has more items than 8'
+                              WHEN keyword = 'minLength' THEN 'is shorter than 20'
+                              WHEN keyword = 'pattern' THEN 'does not match [a-z]'
+                              ELSE '''think'' is a required property' END) AS example
+        FROM ({TURN_ERRORS}) GROUP BY 1, 2""",
+)
+def validation_summary(spark, folder):
+    return report(checked_turns(spark, folder), positions=False)
+
+
 @query(
     "map_and_validate",
     """SELECT conv_id, turn, role <> 'system' AS valid, CASE WHEN role = 'system' THEN 'messages.0' END AS path,
@@ -94,6 +109,13 @@ def dataset_eligible(spark, folder):
     return eligible(table(spark, folder, "orders"), schema)
 
 
+@query("dataset_eligible_all", "SELECT true AS eligible, CAST(count(*) AS BIGINT) AS checked_rows FROM orders")
+def dataset_eligible_all(spark, folder):
+    """The same where every row satisfies the schema."""
+    schema = props(o_orderstatus={"enum": ["F", "O", "P"]}, o_orderkey={"type": "integer", "minimum": 0})
+    return eligible(table(spark, folder, "orders"), schema)
+
+
 @query(
     "validate_source",
     """SELECT o_orderkey, 'o_orderstatus' AS path, 'enum' AS keyword FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
@@ -113,6 +135,117 @@ def validate_source(spark, folder):
     return error_rows(found, ["o_orderkey"]).drop("message")
 
 
+#: a tree without a bound: a node has a name, children that are nodes, and next another node or null
+TREE_SCHEMA = {
+    "type": "object",
+    "properties": {"tree": {"$ref": "#/definitions/node"}},
+    "definitions": {
+        "node": {
+            "type": "object",
+            "required": ["name"],
+            "properties": {
+                "name": {"type": "string", "enum": ["F", "O", "x"]},
+                "children": {"type": "array", "items": {"$ref": "#/definitions/node"}},
+                "next": {"anyOf": [{"type": "null"}, {"$ref": "#/definitions/node"}]},
+            },
+        }
+    },
+}
+
+#: orders as trees: the deeper the larger the key modulo 9, a leaf beside each level, a chain of two nodes at the end
+TREES = """
+    SELECT o_orderkey, o_orderkey % 9 AS depth, o_orderstatus, o_orderpriority LIKE '1%' AS urgent, o_custkey % 3 = 0 AS unnamed
+    FROM orders
+"""
+
+
+@query(
+    "validate_recursive",
+    f"""WITH t AS ({TREES}), l AS (SELECT *, unnest(range(depth)) AS i FROM t)
+        SELECT o_orderkey, 'tree.' || repeat('children.1.', depth::INT) || 'name' AS path, 'enum' AS keyword
+        FROM t WHERE o_orderstatus = 'P'
+        UNION ALL SELECT o_orderkey, 'tree.' || repeat('children.1.', i::INT) || 'children.0.name', 'type' FROM l WHERE urgent
+        UNION ALL SELECT o_orderkey, 'tree.' || repeat('children.1.', i::INT) || 'children.0.name', 'enum' FROM l WHERE urgent
+        UNION ALL SELECT o_orderkey, 'tree.' || repeat('children.1.', depth::INT) || 'next', 'anyOf' FROM t WHERE unnamed""",
+)
+def validate_recursive(spark, folder):
+    """Every order as a tree of up to ten levels, checked in one pass without a shuffle."""
+    depth = (F.col("o_orderkey") % 9).cast("int")
+    side = F.when(F.col("o_orderpriority").startswith("1"), '{"name":1}').otherwise('{"name":"x"}')
+    last = F.when(F.col("o_custkey") % 3 == 0, '{"next":null}').otherwise('{"name":"x"}')
+    leaf = F.concat(F.lit('{"name":"'), "o_orderstatus", F.lit('","next":{"name":"x","next":'), last, F.lit("}}"))
+    text = F.concat(
+        F.repeat(F.concat(F.lit('{"name":"x","children":['), side, F.lit(",")), depth), leaf, F.repeat(F.lit("]}"), depth)
+    )
+    trees = table(spark, folder, "orders").select("o_orderkey", F.parse_json(text).alias("tree"))
+    return error_rows(checked_rows(trees, TREE_SCHEMA), ["o_orderkey"]).drop("message")
+
+
+#: every keyword that looks at keys, or depends on another: on typed columns, and on an object whose keys differ by row
+KEYED_SCHEMA = props(
+    o_orderkey={"if": {"multipleOf": 2}, "then": {"maximum": 2000}, "else": {"minimum": 100}},
+    parts={"items": [{"enum": ["F", "O"]}, {"minLength": 6}], "additionalItems": {"maxLength": 4}, "contains": {"pattern": "^[12]"}},
+    short={"items": [{}], "additionalItems": False},
+    doc={
+        "patternProperties": {"^n_": {"type": "integer"}},
+        "properties": {"status": {"const": "F"}},
+        "additionalProperties": {"minLength": 8},
+        "propertyNames": {"maxLength": 8},
+        "dependencies": {"n_cust": ["n_order"], "status": {"required": ["priority"]}},
+    },
+    pair={"patternProperties": {"^a": {"maximum": 500}}, "additionalProperties": {"const": "F"}, "dependencies": {"a": ["z"]}},
+)
+
+
+@query(
+    "validate_keyed",
+    """WITH o AS (SELECT *, (o_orderkey % 7)::VARCHAR AS digit FROM orders)
+       SELECT o_orderkey, 'o_orderkey' AS path, 'maximum' AS keyword FROM o WHERE o_orderkey % 2 = 0 AND o_orderkey > 2000
+       UNION ALL SELECT o_orderkey, 'o_orderkey', 'minimum' FROM o WHERE o_orderkey % 2 = 1 AND o_orderkey < 100
+       UNION ALL SELECT o_orderkey, 'parts.0', 'enum' FROM o WHERE o_orderstatus = 'P'
+       UNION ALL SELECT o_orderkey, 'parts.1', 'minLength' FROM o WHERE length(o_orderpriority) < 6
+       UNION ALL SELECT o_orderkey, 'parts.2', 'maxLength' FROM o WHERE length('c ' || o_custkey) > 4
+       UNION ALL SELECT o_orderkey, 'parts', 'contains' FROM o
+       WHERE NOT (regexp_matches(o_orderpriority, '^[12]') OR regexp_matches(o_orderstatus, '^[12]'))
+       UNION ALL SELECT o_orderkey, 'short', 'additionalItems' FROM o WHERE o_orderkey % 7 > 1
+       UNION ALL SELECT o_orderkey, 'doc.n_' || digit, 'type' FROM o WHERE o_orderkey % 7 >= 4
+       UNION ALL SELECT o_orderkey, 'doc.status', 'const' FROM o WHERE o_orderstatus <> 'F' AND o_orderkey % 3 = 0
+       UNION ALL SELECT o_orderkey, 'doc', 'required' FROM o WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0
+       UNION ALL SELECT o_orderkey, 'doc.priority', 'minLength' FROM o WHERE length(o_orderpriority) < 8 AND o_orderkey % 5 = 0
+       UNION ALL SELECT o_orderkey, 'doc', 'maxLength' FROM o WHERE o_orderkey % 11 = 0
+       UNION ALL SELECT o_orderkey, 'doc.too_long_a_key', 'minLength' FROM o WHERE o_orderkey % 11 = 0
+       UNION ALL SELECT o_orderkey, 'doc', 'dependencies' FROM o WHERE o_orderkey % 2 = 0
+       UNION ALL SELECT o_orderkey, 'pair.a', 'maximum' FROM o WHERE o_custkey > 500
+       UNION ALL SELECT o_orderkey, 'pair.b', 'const' FROM o WHERE o_orderstatus <> 'F'
+       UNION ALL SELECT o_orderkey, 'pair', 'dependencies' FROM o""",
+)
+def validate_keyed(spark, folder):
+    key = F.col("o_orderkey")
+
+    def member(condition, name, value):
+        return F.when(condition, F.concat(F.lit('"'), name, F.lit('":'), value))
+
+    def text(value):
+        return F.concat(F.lit('"'), value, F.lit('"'))
+
+    digit = (key % 7).cast("string")
+    members = F.array_compact(F.array(
+        member(F.lit(True), F.concat(F.lit("n_"), digit), F.when(key % 7 >= 4, '"x"').otherwise(digit)),
+        member(key % 2 == 0, F.lit("n_cust"), F.lit("1")),
+        member(key % 3 == 0, F.lit("status"), text(F.col("o_orderstatus"))),
+        member(key % 5 == 0, F.lit("priority"), text(F.col("o_orderpriority"))),
+        member(key % 11 == 0, F.lit("too_long_a_key"), F.lit('"s"')),
+    ))
+    rows = table(spark, folder, "orders").select(
+        "o_orderkey",
+        F.array("o_orderstatus", "o_orderpriority", F.concat(F.lit("c "), F.col("o_custkey").cast("string"))).alias("parts"),
+        F.slice(F.array(F.lit(1), F.lit(2), F.lit(3)), 1, F.least(key % 7, F.lit(3)).cast("int")).alias("short"),
+        F.parse_json(F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))).alias("doc"),
+        F.struct(F.col("o_custkey").alias("a"), F.col("o_orderstatus").alias("b")).alias("pair"),
+    )
+    return error_rows(checked_rows(rows, KEYED_SCHEMA), ["o_orderkey"]).drop("message")
+
+
 def seen(path: str, kind: str, column: str, source: str) -> str:
     return f"""SELECT '{path}' AS path, '{kind}' AS type, coalesce(bool_or({column} IS NULL), false) AS null_seen,
                       coalesce(bool_or({column} IS NOT NULL), false) AS value_seen FROM {source}"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.validator import Nulls, compile_validation
@@ -36,15 +36,25 @@ def error_rows(checked: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return unfolded.where(F.col("_error").isNotNull()).select(*keep, "_error.*")
 
 
-def validation_report(checked: DataFrame) -> DataFrame:
-    """Errors of a checked dataset by path and keyword: count and smallest message.
+#: array positions within an error's path
+_POSITION = r"(^|\.)\d+(?=\.|$)"
 
-    Partial counts are made before the shuffle, so one error repeated in most rows moves
-    as one record per task.
+
+def field_path(path: Column) -> Column:
+    """The path of a field without array positions: ``messages.2.role`` becomes ``messages[].role``."""
+    return F.regexp_replace(F.regexp_replace(path, _POSITION, "$1[]"), r"\.\[\]", "[]")
+
+
+def validation_report(checked: DataFrame, positions: bool = True) -> DataFrame:
+    """Errors of a checked dataset by path and keyword: ``n`` and an ``example``, the smallest message.
+
+    With ``positions=False`` elements of an array share one path (``messages[].role``; so do keys of an object that are
+    numbers), and the report is no longer than the schema, however long arrays are. Errors are counted by message first,
+    within the tasks: what moves is one record per task and kind of error, and only these few messages are compared.
     """
-    return error_rows(checked).groupBy("path", "keyword").agg(
-        F.count("*").alias("n"), F.min("message").alias("example")
-    )
+    path = F.col("path") if positions else field_path(F.col("path"))
+    counted = error_rows(checked).groupBy(path.alias("path"), "keyword", "message").agg(F.count("*").alias("n"))
+    return counted.groupBy("path", "keyword").agg(F.sum("n").alias("n"), F.min("message").alias("example"))
 
 
 def dataset_eligible(
