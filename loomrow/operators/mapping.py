@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +13,9 @@ from pyspark.sql import types as T
 
 from ..functions.casts import cast_to_schema
 from ..plans.json_schema import is_object, struct_of
-from ..plans.mapper import CompiledMapping, compile_mapping
+from ..plans.mapper import CompiledMapping, compile_mapping, error, nullable_type
 from ..plans.paths import MappingError, quote_name
-from ..plans.typed import Typed, convert, null_of
+from ..plans.typed import Typed, convert, null_of, unify
 from ..plans.validator import Nulls, compile_validation
 
 ERRORS = "_errors"
@@ -127,15 +129,63 @@ def _fit(value: Typed, schema: dict, dtype: T.DataType) -> Typed:
     return convert(cast_to_schema(value, schema)[0], dtype)
 
 
+#: what became of a row or line
+OUTCOME = "_outcome"
+#: text of a line that could not be read
+LINE = "_line"
+RUN = "_run_id"
+MAPPED, FLAWED, REFUSED = "mapped", "flawed", "refused"
+
+
 @dataclass(frozen=True)
 class MappingRun:
-    """Counts of one mapping job, and the rows per input file as a DataFrame."""
+    """Counts of one mapping job, and the rows per input file as a DataFrame.
+
+    ``flawed_rows`` are mapped rows in which a value could not be read or coerced; they count as processed, too.
+    ``problems`` is the folder that holds refused lines and the errors of flawed rows, None if there are none.
+    """
 
     total_files: int
     successful_files: int
     total_processed_samples: int
     rejected_lines: int
     per_file: DataFrame
+    flawed_rows: int = 0
+    run_id: str = ""
+    problems: str | None = None
+
+
+def with_outcomes(
+    source: DataFrame, mapping: list[dict], target_schema: dict | None = None, *, run_id: str = "", **options
+) -> DataFrame:
+    """Every row and refused line of ``source`` with its outcome: nothing is left out.
+
+    Columns are ``_run_id``, ``_file_name``, ``_outcome`` (``mapped``; ``flawed``: mapped, but a value could not be read or coerced;
+    ``refused``: a line that is no JSON object), ``_line`` (its text), ``_errors``, and the target fields, null in refused
+    lines. One projection, no shuffle; it runs on streams, too.
+    """
+    from ..sources.json_lines import BAD_FIELDS, BAD_LINE
+    from ..sources.readers import FILE_NAME
+
+    has = {name: name in source.columns for name in (BAD_LINE, BAD_FIELDS, FILE_NAME)}
+    compiled = compile_mapping(source.schema, mapping, target_schema, **options)
+    none = F.lit(None).cast("string")
+    line = F.col(BAD_LINE) if has[BAD_LINE] else none
+    unread = F.transform(
+        F.col(BAD_FIELDS), lambda name: error(name, "type", "could not be read as the type its field has")
+    ) if has[BAD_FIELDS] else None
+    errors = compiled.cast_errors if unread is None else F.concat(unread, compiled.cast_errors)
+    # a refused line has no fields to coerce
+    flat = source.select(
+        F.lit(run_id).alias(RUN),
+        (F.col(FILE_NAME) if has[FILE_NAME] else none).alias(FILE_NAME),
+        line.alias(LINE),
+        F.when(line.isNull(), errors).alias(ERRORS),
+        *[F.when(line.isNull(), column).alias(name) if has[BAD_LINE] else column
+          for column, name in zip(compiled.columns, compiled.schema.names)],
+    )
+    outcome = F.when(F.col(LINE).isNotNull(), REFUSED).when(F.size(ERRORS) > 0, FLAWED).otherwise(MAPPED)
+    return flat.withColumn(OUTCOME, outcome).select(RUN, FILE_NAME, OUTCOME, LINE, ERRORS, *map(quote_name, compiled.schema.names))
 
 
 def map_dataset(
@@ -148,38 +198,83 @@ def map_dataset(
     source_schema: T.StructType | None = None,
     single_pass: bool = False,
     mode: str = "errorifexists",
+    by_outcome: bool = False,
+    problems_path: str | None = None,
     **options,
 ) -> MappingRun:
     """Map every supported file below ``input_path`` and write parquet to ``output_path``.
 
-    Rows keep the name of their input file in ``_file_name``. Lines that are not valid JSON
-    are left out and counted. The counts per file come from the single column ``_file_name``
-    of the output. With ``source_schema`` the data is read once. ``single_pass`` does
-    without one for folders of JSON Lines: lines are mapped as semi-structured values, and
-    target fields the schema gives no type stay VARIANT.
+    Rows keep the name of their input file in ``_file_name`` and the job's in ``_run_id``; counts are observed while the job
+    runs, so a job that appends reports its own rows. JSON Lines are mapped as semi-structured values: no pass looks for
+    their columns, and no key or value can stop the job. Target fields that the schema gives no type, or without a schema all,
+    get the type of their values by one more pass; with ``single_pass`` they stay VARIANT. With
+    ``source_schema`` fields are read as its types first.
+
+    Nothing is dropped. Refused lines, and the errors of rows in which values could not be coerced, are written to
+    ``problems_path`` (``<output_path>_problems``) by a second pass, if there are any. With ``by_outcome`` there is one pass:
+    it writes the folders ``_outcome=mapped``, ``_outcome=flawed`` and ``_outcome=refused`` below ``output_path``.
     """
     from ..sinks.files import write_mapped
-    from ..sources.readers import BAD_LINE, FILE_NAME, file_kinds, read_dataset, read_json_variant
+    from ..sources.json_lines import settled
+    from ..sources.readers import FILE_NAME, file_kinds, read_json_variant, read_parquet, typed_json_lines
 
     if not mapping:
         raise MappingError("the mapping is empty")
     kinds = file_kinds(spark, input_path)
-    if single_pass and set(kinds) == {"json"}:
-        source = read_json_variant(spark, input_path, file_name=True)
-        options["root"] = "value"
+    if not kinds:
+        raise FileNotFoundError(f"no supported data file at {input_path}")
+    run_id = uuid.uuid4().hex
+    parts = []
+    if "parquet" in kinds:
+        rows = read_parquet(spark, input_path, schema=source_schema, merge_schema=source_schema is None, file_name=True)
+        parts.append(with_outcomes(rows, mapping, target_schema, run_id=run_id, **options))
+    if "json" in kinds and source_schema is not None:
+        lines = typed_json_lines(spark, input_path, source_schema)
+        parts.append(with_outcomes(lines, mapping, target_schema, run_id=run_id, **options))
+    elif "json" in kinds:
+        lines = read_json_variant(spark, input_path, file_name=True)
+        parts.append(with_outcomes(lines, mapping, target_schema, run_id=run_id, root="value", **options))
+    found = reduce(together, parts)
+    fields = [name for name in found.columns if name not in (RUN, FILE_NAME, OUTCOME, LINE, ERRORS)]
+    if not single_pass and "json" in kinds and source_schema is None:
+        found = settled(found, fields)
+    counts = Observation("outcomes")
+    seen = found.observe(counts, *[F.count_if(F.col(OUTCOME) == kind).alias(kind) for kind in (MAPPED, FLAWED, REFUSED)])
+    if by_outcome:
+        seen.write.mode(mode).partitionBy(OUTCOME).parquet(output_path)
     else:
-        source = read_dataset(spark, input_path, schema=source_schema, kinds=kinds, file_name=True)
-    rejected = Observation("rejected")
-    if BAD_LINE in source.columns:
-        is_bad = F.col(BAD_LINE).isNotNull()
-        source = source.observe(rejected, F.count_if(is_bad).alias("lines")).where(~is_bad).drop(BAD_LINE)
-    else:
-        source = source.observe(rejected, F.lit(0).cast("long").alias("lines"))
-    mapped = apply_mapping(source, mapping, target_schema, keep=[FILE_NAME], **options)
-    write_mapped(mapped, output_path, mode=mode)
-    per_file = map_dataset_stats(spark.read.parquet(output_path))
-    totals = per_file.agg(F.count("*").alias("files"), F.sum("rows").alias("rows")).first()
-    return MappingRun(sum(kinds.values()), totals["files"], totals["rows"] or 0, rejected.get["lines"], per_file)
+        kept = [quote_name(name) for name in (FILE_NAME, *fields, RUN)]
+        write_mapped(seen.where(F.col(OUTCOME) != REFUSED).select(*kept), output_path, mode=mode)
+    counted = counts.get
+    problems = None
+    if by_outcome:
+        problems = output_path
+    elif counted[FLAWED] + counted[REFUSED]:
+        problems = problems_path or output_path.rstrip("/") + "_problems"
+        odd = found.where(F.col(OUTCOME) != MAPPED).select(RUN, FILE_NAME, OUTCOME, LINE, ERRORS)
+        odd.write.mode("append" if mode == "append" else mode).parquet(problems)
+    stored = spark.read.parquet(output_path).where(F.col(RUN) == run_id)
+    per_file = map_dataset_stats(stored.where(F.col(OUTCOME) != REFUSED) if by_outcome else stored)
+    return MappingRun(
+        sum(kinds.values()), per_file.count(), counted[MAPPED] + counted[FLAWED], counted[REFUSED], per_file,
+        counted[FLAWED], run_id, problems,
+    )
+
+
+def together(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of both; a column that both have in different types gets one that holds both."""
+    columns = {name: left.schema[name].dataType for name in left.columns}
+    for field in right.schema:
+        columns[field.name] = unify(columns.get(field.name, T.NullType()), nullable_type(field.dataType))
+
+    def shaped(df: DataFrame) -> DataFrame:
+        return df.select(*[
+            (convert(Typed(F.col(quote_name(name)), nullable_type(df.schema[name].dataType)), dtype).col
+             if name in df.columns else null_of(dtype).col).alias(name)
+            for name, dtype in columns.items()
+        ])
+
+    return shaped(left).unionByName(shaped(right))
 
 
 def map_dataset_stats(mapped: DataFrame) -> DataFrame:
@@ -199,4 +294,5 @@ __all__ = [
     "map_dataset_stats",
     "preview_mapping",
     "split_valid",
+    "with_outcomes",
 ]

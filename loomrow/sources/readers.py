@@ -9,9 +9,8 @@ from pyspark.sql import types as T
 from ..plans.paths import quote_name
 from .discovery import DATA_EXTENSIONS, SAMPLE_EXTENSIONS, discover_files
 from .hadoop import input_path, is_file, qualified
+from .json_lines import BAD_LINE, checked_objects, found_schema, typed_objects
 
-#: holds the text of a line that is not valid JSON; null for good rows
-BAD_LINE = "_bad_line"
 #: name of the input file a row came from
 FILE_NAME = "_file_name"
 
@@ -57,33 +56,31 @@ def read_json_lines(
 ) -> DataFrame:
     """One JSON object per line; gzipped files are recognised by their name.
 
-    Lines that are not JSON objects of the schema are kept with their text in
-    ``_bad_line``; with ``fail_fast`` the job stops at the first one. Blank lines are
-    skipped. Giving ``schema`` saves the extra pass over the data that finding the columns
-    takes.
+    Lines that are not one JSON object are kept with their text in ``_bad_line``; with ``fail_fast`` the job stops at the
+    first one. Blank lines are skipped. A value that is not of its field's type is null, its line a good one (see
+    :func:`json_lines.typed_objects`). Giving ``schema`` saves the extra pass over the data that finding the columns takes.
     """
     reader = _reader(spark, path, pattern)
     if fail_fast:
         reader = reader.option("mode", "FAILFAST")
         return _named((reader.schema(schema) if schema else reader).json(path), file_name)
-    found = schema or reader.option("columnNameOfCorruptRecord", BAD_LINE).json(path).schema
-    return parse_json_lines(_named(reader.text(path), file_name), found)
+    return parse_json_lines(_named(reader.text(path), file_name), schema)
 
 
-def parse_json_lines(lines: DataFrame, schema: T.StructType | str) -> DataFrame:
-    """Rows of ``schema`` and ``_bad_line`` out of the text column ``value``; other columns stay.
-
-    Parsed from text because the JSON reader refuses to count bad lines on their own, and as
-    a generator because a filter on ``_bad_line`` would otherwise be pushed below the parser
-    and parse every line twice.
-    """
+def parse_json_lines(
+    lines: DataFrame, schema: T.StructType | str | None = None, *, bad_fields: bool = False
+) -> DataFrame:
+    """Rows of ``schema`` and ``_bad_line`` out of the text column ``value``; other columns stay."""
+    objects = checked_objects(lines)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    full = T.StructType([*[f for f in schema.fields if f.name != BAD_LINE], T.StructField(BAD_LINE, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
-    kept = [name for name in lines.columns if name != "value"]
-    row = F.from_json("value", full, options)
-    return lines.where(F.trim("value") != "").select(F.inline(F.array(row)), *kept)
+    return typed_objects(objects, found_schema(objects) if schema is None else schema, bad_fields=bad_fields)
+
+
+def typed_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON Lines as ``schema``, ``_bad_line``, ``_bad_fields`` (names of fields that do not fit) and ``_file_name``."""
+    lines = _named(_reader(spark, path, "*.{json,jsonl,jsonl.gz}").text(path), True)
+    return parse_json_lines(lines, schema, bad_fields=True)
 
 
 def read_json_variant(
@@ -91,15 +88,11 @@ def read_json_variant(
 ) -> DataFrame:
     """JSON Lines as one VARIANT column, keeping missing keys apart from nulls.
 
-    Needs no schema, so no pass to find one. Lines that are not valid JSON have a null
-    ``value`` and their text in ``_bad_line``; blank lines are skipped.
+    Needs no schema, so no pass to find one. Lines that are not one JSON object have a null ``value`` and their text in
+    ``_bad_line``; blank lines are skipped.
     """
     lines = _named(_reader(spark, path, "*.{json,jsonl,jsonl.gz,json.gz}").text(path), file_name)
-    kept = [FILE_NAME] if file_name else []
-    row = F.struct(F.try_parse_json("value").alias(column), F.col("value").alias("_text"))
-    parsed = lines.where(F.trim("value") != "").select(F.inline(F.array(row)), *kept)
-    bad = F.when(F.col(quote_name(column)).isNull(), F.col("_text")).alias(BAD_LINE)
-    return parsed.select(column, bad, *kept)
+    return checked_objects(lines, column)
 
 
 def read_csv(
