@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
-from loomrow.operators.inference import field_presence, json_field_types
+from loomrow.operators.inference import field_presence, inspect_json, json_field_types
 from loomrow.operators.mapping import map_and_validate as mapped_and_checked
 from loomrow.operators.validation import dataset_eligible as eligible
 from loomrow.operators.validation import error_rows
@@ -300,4 +302,30 @@ def event_json(spark, folder):
        UNION ALL SELECT '$.users[].id', 'integer', count(*) FROM e""",
 )
 def infer_schema_json(spark, folder):
-    return json_field_types(event_json(spark, folder), "doc", max_depth=4).select("path", "type", "n")
+    return json_field_types(event_json(spark, folder), "doc").select("path", "type", "n")
+
+
+@query(
+    "infer_schema_document",
+    """WITH k AS (SELECT bool_or(event_type = 'error') AS texts, bool_or(event_type <> 'error') AS numbers,
+                         bool_or(event_type = 'click') AS clicks, count(*) AS n FROM events)
+       SELECT '{"$schema": "http://json-schema.org/schema#", "properties": {'
+              || CASE WHEN clicks THEN '"click": {"properties": {"user_id": {"type": "integer"}, "value": {"type": "number"}}, '
+                                       || '"required": ["user_id", "value"], "type": "object"}, ' ELSE '' END
+              || '"event_id": {"type": ' || CASE WHEN texts AND numbers THEN '["integer", "string"]'
+                                                 WHEN texts THEN '"string"' ELSE '"integer"' END || '}, '
+              || '"event_type": {"type": "string"}, "users": {"items": {"properties": {"id": {"type": "integer"}}, '
+              || '"required": ["id"], "type": "object"}, "type": "array"}}, '
+              || '"required": ["event_id", "event_type", "users"], "type": "object"}' AS document,
+              CAST(n AS BIGINT) AS n_values, CAST((SELECT count(*) FROM events WHERE event_id % 10 = 0) AS BIGINT) AS skipped
+       FROM k""",
+)
+def infer_schema_document(spark, folder):
+    """The whole document, of texts of which some are cut short or repeat a key."""
+    good = event_json(spark, folder)
+    broken = table(spark, folder, "events").where("event_id % 10 = 0").select(
+        F.when(F.col("event_id") % 20 == 0, F.concat(F.lit('{"event_id":'), "event_id")).otherwise('{"a":1,"a":2}').alias("doc")
+    )
+    found = inspect_json(good.unionByName(broken), "doc")
+    document = json.dumps(found.schema, sort_keys=True)
+    return spark.createDataFrame([(document, found.values, found.skipped)], "document string, n_values long, skipped long")

@@ -7,14 +7,16 @@ together on the driver from one record per field.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.casts import variant_kind
-from ..functions.text import evaluated_once
+from ..functions.text import evaluated_once, nesting
 from ..plans.mapper import nullable_type
 from ..plans.paths import quote_name
 from .normalize import normalize as normalize_rows
@@ -23,6 +25,10 @@ from .normalize import normalize as normalize_rows
 DIALECT = "http://json-schema.org/schema#"
 
 ROOT = "$"
+#: stands in place of a type for texts that are no JSON
+SKIPPED = "skipped"
+#: levels a value is unfolded by before its depth is measured
+FEW_LEVELS = 4
 #: most distinct fields a schema document is built for; more raise an error
 MAX_FIELDS = 100_000
 
@@ -127,75 +133,111 @@ def infer_schema(
 # -- JSON data --------------------------------------------------------------------------
 
 
-def json_field_types(df: DataFrame, column: str, max_depth: int = 8) -> DataFrame:
+def json_field_types(df: DataFrame, column: str, max_depth: int | None = None) -> DataFrame:
     """``path, type, n, open`` for every field of the VARIANT (or JSON text) ``column``.
 
-    Each value is unfolded inside its row, in one pass over the data, and the fields are
-    counted before the shuffle. ``open`` marks values nested deeper than ``max_depth``.
+    Each value is unfolded inside its row, level by level, in one pass over the data whatever its depth, and the fields are
+    counted before the shuffle. With ``max_depth`` deeper levels are left out and ``open`` marks the values that have them.
+    Texts that are no JSON give one row without a path: type ``skipped``, ``n`` their number.
     """
     value = F.col(quote_name(column))
-    if isinstance(df.schema[column].dataType, T.StringType):
-        value = F.try_parse_json(value)
-    values = df.select(value.alias("v"))
-    # texts that do not parse give no fields; a filter on them would parse every text twice
-    found = F.when(F.col("v").isNotNull(), _fields(F.col("v"), F.lit(ROOT), max_depth))
+    text = isinstance(df.schema[column].dataType, T.StringType)
+    parsed = F.try_parse_json(value) if text else value
+    # in a generator, so that no filter or second use parses a text again
+    values = df.where(value.isNotNull()).select(F.inline(F.array(F.struct(parsed.alias("v"), (value if text else F.to_json(value)).alias("t")))))
+    skipped = F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit(SKIPPED).alias("type"), F.lit(False).alias("open")))
+    found = F.when(F.col("v").isNull(), skipped).otherwise(_fields(F.col("v"), F.col("t"), max_depth))
     fields = values.select(F.inline(found))
     return fields.groupBy("path", "type").agg(F.count("*").alias("n"), F.bool_or("open").alias("open"))
 
 
-def _fields(value: Column, path: Column, depth: int) -> Column:
-    """``array<struct<path, type, open>>`` of a value and all values inside it."""
+def _fields(value: Column, text: Column, max_depth: int | None) -> Column:
+    """``array<struct<path, type, open>>`` of a value and all values inside it.
 
-    def unfold(parts: Column) -> Column:
-        keyed, listed = parts["keyed"], parts["listed"]
-        kind = (
-            F.when(keyed.isNotNull(), "object")
-            .when(listed.isNotNull(), "array")
-            .otherwise(variant_kind(value))
+    A loop over levels, so the plan has one size for any depth: the values of one level are taken apart together, their
+    parts are the next level.
+    """
+    empty = F.array().cast("array<struct<path: string, value: variant>>")
+
+    def inner(here: Column) -> Column:
+        keyed, listed = here["value"].try_cast(_VARIANT_MAP), here["value"].try_cast(_VARIANT_ARRAY)
+        return F.coalesce(
+            F.transform(F.map_entries(keyed), lambda e: _node(F.concat(here["path"], F.lit("."), escaped(e["key"])), e["value"])),
+            F.transform(listed, lambda x: _node(F.concat(here["path"], F.lit("[]")), x)),
+            empty,
         )
-        filled = (F.size(keyed) > 0) | (F.size(listed) > 0)
-        left = F.coalesce(filled, F.lit(False)) if depth == 0 else F.lit(False)
-        itself = F.array(F.struct(path.alias("path"), kind.alias("type"), left.alias("open")))
-        if depth == 0:
-            return itself
-        inner = F.coalesce(
-            F.transform(F.map_entries(keyed), lambda e: _child(F.concat(F.lit("."), escaped(e["key"])), e["value"])),
-            F.transform(listed, lambda x: _child(F.lit("[]"), x)),
+
+    def itself(here: Column, depth: Column) -> Column:
+        last = F.lit(False)
+        if max_depth is not None:
+            last = F.when(depth > max_depth, F.size(inner(here)) > 0).otherwise(last)
+        return F.struct(here["path"].alias("path"), variant_kind(here["value"]).alias("type"), last.alias("open"))
+
+    # named twice rather than bound once: every binding copies all values of the level
+    def level(state: Column, depth: Column) -> Column:
+        return F.struct(
+            F.flatten(F.transform(state["open"], inner)).alias("open"),
+            F.concat(state["done"], F.transform(state["open"], lambda here: itself(here, depth))).alias("done"),
         )
-        below = F.transform(inner, lambda c: _fields(c["value"], F.concat(path, c["step"]), depth - 1))
-        nested = keyed.isNotNull() | listed.isNotNull()
-        return F.when(nested, F.concat(itself, F.flatten(below))).otherwise(itself)
 
-    casts = F.struct(
-        value.try_cast(_VARIANT_MAP).alias("keyed"), value.try_cast(_VARIANT_ARRAY).alias("listed")
+    start = F.struct(
+        F.array(_node(F.lit(ROOT), value)).alias("open"),
+        F.array().cast("array<struct<path: string, type: string, open: boolean>>").alias("done"),
     )
-    return evaluated_once(casts, unfold)
+    if max_depth is not None:
+        return F.aggregate(F.sequence(F.lit(1), F.least(nesting(text), F.lit(max_depth)) + 1), start, level)["done"]
+    # most values end within a few levels: only deeper ones are asked for their depth
+    few = F.aggregate(F.sequence(F.lit(1), F.lit(FEW_LEVELS)), start, level)
+
+    def deeper(state: Column) -> Column:
+        more = F.when(F.size(state["open"]) > 0, F.sequence(F.lit(1), nesting(text))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(more, state, level)["done"]
+
+    return evaluated_once(few, deeper)
 
 
-def _child(step: Column, value: Column) -> Column:
-    return F.struct(step.alias("step"), value.alias("value"))
+def _node(path: Column, value: Column) -> Column:
+    return F.struct(path.alias("path"), value.alias("value"))
 
 
-def infer_schema_json(
+@dataclass(frozen=True)
+class JsonInference:
+    """A schema, from how many values it was made, and how many texts were no JSON."""
+
+    schema: dict
+    values: int
+    skipped: int
+
+
+def inspect_json(
     df: DataFrame,
     column: str,
     *,
     sample_fraction: float | None = None,
     limit: int | None = None,
-    max_depth: int = 8,
-) -> dict:
-    """JSON Schema of a column of JSON text or VARIANT values; texts that do not parse are skipped.
+    max_depth: int | None = None,
+) -> JsonInference:
+    """The JSON Schema of a column of JSON text or VARIANT values, in one pass, and what it rests on.
 
-    Data nested deeper than ``max_depth`` makes a second pass with twice the depth.
+    Values deeper than ``max_depth`` make a second pass over all levels.
     """
     source = _chosen(df, sample_fraction, limit, False)
-    while True:
-        rows = json_field_types(source, column, max_depth).limit(MAX_FIELDS + 1).collect()
-        if len(rows) > MAX_FIELDS:
-            raise TooManyFields(f"more than {MAX_FIELDS} different fields")
-        if not any(row["open"] for row in rows):
-            return build_schema([(row["path"], row["type"], row["n"]) for row in rows])
-        max_depth *= 2
+    rows = json_field_types(source, column, max_depth).limit(MAX_FIELDS + 1).collect()
+    if any(row["open"] for row in rows):
+        rows = json_field_types(source, column).limit(MAX_FIELDS + 1).collect()
+    if len(rows) > MAX_FIELDS:
+        raise TooManyFields(f"more than {MAX_FIELDS} different fields")
+    counts = [(row["path"], row["type"], row["n"]) for row in rows if row["path"] is not None]
+    skipped = sum(row["n"] for row in rows if row["path"] is None)
+    return JsonInference(build_schema(counts), sum(n for path, _, n in counts if path == ROOT), skipped)
+
+
+def infer_schema_json(df: DataFrame, column: str, **options) -> dict:
+    """The schema that :func:`inspect_json` finds; a warning tells how many texts were no JSON and are not in it."""
+    found = inspect_json(df, column, **options)
+    if found.skipped:
+        warnings.warn(f"{found.skipped} texts of {column!r} are no JSON and were skipped", stacklevel=2)
+    return found.schema
 
 
 # -- paths and the document --------------------------------------------------------------

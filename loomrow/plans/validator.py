@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.casts import variant_kind
-from ..functions.text import evaluated_once
+from ..functions.text import evaluated_once, nesting
 from .json_schema import is_object
 from .mapper import ERROR_TYPE, error, nullable_type
 from .paths import EACH_SEGMENT
@@ -57,18 +57,6 @@ _ENTRY = T.StructType(
 )
 
 
-def nesting(json: Column) -> Column:
-    """How deep the brackets of a JSON text are nested."""
-    brackets = F.regexp_replace(F.regexp_replace(json, r"\\.", ""), r'"[^"]*"|[^\[\]{}"]', "")
-
-    def step(so_far: Column, bracket: Column) -> Column:
-        now = so_far["now"] + F.when(bracket.isin("{", "["), 1).otherwise(-1)
-        return F.struct(now.alias("now"), F.greatest(so_far["most"], now).alias("most"))
-
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    return F.when(brackets == "", 0).otherwise(F.aggregate(F.split(brackets, ""), start, step)["most"])
-
-
 def _entry(**given: Column) -> Column:
     return F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in _ENTRY])
 

@@ -77,3 +77,25 @@ def test_values_used_as_keys_are_refused(spark, monkeypatch):
     df = spark.range(10).selectExpr("to_json(map(concat('k', id), 1)) AS t")
     with pytest.raises(inference.TooManyFields):
         infer_schema_json(df, "t")
+
+
+def test_depth_costs_no_time_and_skipped_texts_are_counted(spark):
+    deep = "1"
+    for _ in range(50):
+        deep = '{"k":[' + deep + "]}"
+    texts = [deep, "not json", '{"k":1,"k":2}', None, "", "[1]x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = inference.inspect_json(df, "t")
+    assert (found.values, found.skipped) == (2, 3)  # a value and the array before the x
+    node = found.schema["anyOf"][1]
+    for _ in range(50):
+        node = node["properties"]["k"]["items"]
+    assert node == {"type": "integer"}
+    with pytest.warns(UserWarning, match="3 texts"):
+        infer_schema_json(df, "t", max_depth=2)
+
+
+def test_plan_is_as_large_for_any_depth(spark):
+    df = spark.createDataFrame([("{}",)], "t string")
+    sizes = {len(inference.json_field_types(df, "t", d)._jdf.queryExecution().optimizedPlan().toString()) for d in (4, 40)}
+    assert max(sizes) - min(sizes) < 100
