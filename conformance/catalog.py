@@ -202,7 +202,7 @@ def map_from_catalog(spark, folder):
     "catalog_init_missing",
     """SELECT DISTINCT 'v1' AS version, 'd' || c_custkey AS dataset, 'data' AS subpath, '203001020304' AS ts,
               '/base/v1/d' || c_custkey || '/data' AS doc_id, '{}' AS src_schema, '' AS dst_schema_id, '[]' AS mapping
-       FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
+       FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
 )
 def catalog_init_missing(spark, folder):
     key = F.concat(F.lit("d"), F.col("c_custkey").cast("string")).alias("dataset")
@@ -210,6 +210,7 @@ def catalog_init_missing(spark, folder):
         F.lit("v1").alias("version"), key, F.lit("data").alias("subpath")
     )
     now = F.lit("2030-01-02 03:04:05").cast("timestamp")
-    return catalog.init_missing(datasets, documents(spark, folder), "/base/", now).drop("metadata")
+    known = documents(spark, folder).where(F.col("metadata")["_priority"] == "1-URGENT")
+    return catalog.init_missing(datasets, known, "/base/", now).drop("metadata")
 
 

@@ -410,6 +410,63 @@ def map_dataset_stats_query(spark, folder):
     return run.per_file.agg(F.sum("rows").alias("rows"))
 
 
+#: an event as a line of text: good, with a key in two spellings, with a value that is no number, or not one object
+ODD_LINES = """
+    SELECT event_id, event_type, event_id % 7 AS kind,
+           CASE event_id % 7
+               WHEN 0 THEN '{"id":' || event_id || '} junk'
+               WHEN 1 THEN '[{"id":' || event_id || '}]'
+               WHEN 2 THEN '{"id":' || event_id || ',"id":0}'
+               WHEN 3 THEN '{"id":"e' || event_id || '","Type":"' || event_type || '"}'
+               WHEN 4 THEN '{"id":' || event_id || ',"type":"lower","Type":"' || event_type || '"}'
+               WHEN 5 THEN '{"id":' || event_id || '},{"id":1}'
+               ELSE '{"id":' || event_id || '}' END AS line
+    FROM events
+"""
+
+
+def name_as_lines(spark, folder):
+    """Files of the text writer end as files of JSON Lines do."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*")
+    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.globStatus(pattern):
+        files.rename(found.getPath(), found.getPath().suffix(".jsonl"))
+
+
+@query(
+    "map_odd_lines",
+    f"""SELECT CASE WHEN kind IN (0, 1, 2, 5) THEN 'refused' WHEN kind = 3 THEN 'flawed' ELSE 'mapped' END AS outcome,
+               CASE WHEN kind IN (4, 6) THEN event_id END AS key, CASE WHEN kind IN (3, 4) THEN event_type END AS upper_type,
+               CASE WHEN kind = 4 THEN 'lower' END AS lower_type,
+               CASE WHEN kind IN (0, 1, 2, 5) THEN line END AS line, CASE WHEN kind = 3 THEN 'key' END AS flaw
+        FROM ({ODD_LINES})""",
+)
+def map_odd_lines(spark, folder):
+    """A whole job over lines of which most are odd: all of them come out, in one pass; keys differ by case alone."""
+    source, target = work_folder(spark, "odd-lines"), work_folder(spark, "odd-mapped")
+    key, kind = F.col("event_id").cast("string"), F.col("event_id") % 7
+
+    def around(*parts):
+        return F.concat(*[F.lit(part) if isinstance(part, str) else part for part in parts])
+
+    named = F.col("event_type")
+    line = (
+        F.when(kind == 0, around('{"id":', key, "} junk")).when(kind == 1, around('[{"id":', key, "}]"))
+        .when(kind == 2, around('{"id":', key, ',"id":0}')).when(kind == 3, around('{"id":"e', key, '","Type":"', named, '"}'))
+        .when(kind == 4, around('{"id":', key, ',"type":"lower","Type":"', named, '"}'))
+        .when(kind == 5, around('{"id":', key, '},{"id":1}')).otherwise(around('{"id":', key, "}"))
+    )
+    table(spark, folder, "events").select(line.alias("value")).write.text(source)
+    name_as_lines(spark, source)
+    schema = props(key={"type": "integer"}, upper_type=TEXT, lower_type=TEXT)
+    mapping = [entry("id", "key"), entry("Type", "upper_type"), entry("type", "lower_type")]
+    map_dataset(spark, source, target, mapping, schema, by_outcome=True)
+    flaw = F.get("_errors", 0)["path"]
+    return spark.read.parquet(target).select(
+        F.col("_outcome").alias("outcome"), "key", "upper_type", "lower_type", F.col("_line").alias("line"), flaw.alias("flaw")
+    )
+
+
 @query(
     "map_preview",
     """SELECT doc_id, source AS before, source AS after, 'chat' AS template FROM documents ORDER BY doc_id LIMIT 5""",

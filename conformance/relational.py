@@ -102,7 +102,7 @@ sql_query(
 )
 sql_query(
     "sql_except",
-    "SELECT DISTINCT c_custkey AS k FROM customer EXCEPT SELECT DISTINCT o_custkey FROM orders",
+    "SELECT DISTINCT c_custkey AS k FROM customer EXCEPT SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'",
     "customer", "orders",
 )
 

@@ -95,8 +95,9 @@ def discover_datasets(spark, folder):
 
 @query("sample_rows", f"SELECT doc_id, lang, {short('text')} AS text FROM documents ORDER BY doc_id LIMIT 20")
 def sample_rows(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", "lang", "text")
-    return readers.sample(rows, 20, order_by=("doc_id",)).drop("_tags")
+    target = work_folder(spark, "samples")
+    table(spark, folder, "documents").select("doc_id", "lang", "text").orderBy("doc_id").write.json(target)
+    return readers.sample_rows(spark, target, 20).select("doc_id", "lang", "text")
 
 
 @query(

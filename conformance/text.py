@@ -8,7 +8,7 @@ from loomrow.functions.text import dataset_key as key_of
 from loomrow.functions.text import extract_tags as tags_of
 from loomrow.functions.text import text_without_tags
 from loomrow.functions.text import truncate_text as shortened
-from loomrow.operators.normalize import normalize
+from loomrow.operators.normalize import lift_tags, normalize
 from loomrow.operators.query import json_fallback as as_json
 
 from .registry import query, table
@@ -72,6 +72,22 @@ def normalize_sample(spark, folder):
     )
 
 
+@query(
+    "lift_tags",
+    f"""SELECT '{{' || CASE WHEN role = 'assistant' THEN '"assistant":"v",' ELSE '' END
+               || '"b":"x<think>t</think>y","conv_id":' || conv_id || ',"list":["p",{{"k":"q","value":"r"}},{{"k":"last"}}],"role":"' || role || '"'
+               || CASE WHEN role = 'system' THEN ',"system":"v"' ELSE '' END || ',"turn":' || turn
+               || CASE WHEN role = 'user' THEN ',"user":"v"' ELSE '' END || ',"value":"rest"}}' AS sample
+        FROM conversations""",
+)
+def lift_all_tags(spark, folder):
+    """Tags of names that differ by row, outer pairs first, in objects and in arrays."""
+    text = F.concat(F.lit("<b>x<think>t</think>y</b>rest<"), "role", F.lit("> v </"), "role", F.lit(">"))
+    items = F.array(F.lit("p"), F.lit("<k>q</k>r"), F.lit("<k>first</k><k>last</k>"))
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", F.struct(text.alias("note")).alias("inner"), items.alias("list"))
+    return lift_tags(rows).select(F.to_json("sample").alias("sample"))
+
+
 @query(
     "json_fallback",
     """SELECT o_orderkey, '{"c":' || o_custkey || ',"s":"' || o_orderstatus || '"}' AS customer,

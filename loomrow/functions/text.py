@@ -64,11 +64,10 @@ def may_hold_tags(text: Column) -> Column:
     return F.contains(text, F.lit("</"))
 
 
-def tag_pattern(tags: Sequence[str] | None = None) -> str:
-    """Pattern of a tag pair: any tag, or only the named ones."""
-    if tags is None:
-        return TAG_PAIR
-    return TAG_PAIR.replace("[a-zA-Z0-9_]+", "|".join(map(re.escape, tags)))
+def other_pairs(tags: Sequence[str]) -> str:
+    """Pattern of a pair of one of ``tags``, or of any other pair as the third group: outer pairs are met first."""
+    named = "|".join(map(re.escape, tags)) or "(?!)"
+    return rf"(?s)<({named})>(.*?)</\1>|(<([a-zA-Z0-9_]+)>.*?</\4>)"
 
 
 def text_without_tags(
@@ -80,9 +79,11 @@ def text_without_tags(
 ) -> Column:
     """Text with its paired tags cut out, stripped, and shortened if ``max_len`` is given.
 
+    Of ``tags`` only those pairs go that stand in no other pair; pairs of other tags stay as they are.
     ``inside_array`` is for use within a higher-order function.
     """
-    bare = F.when(may_hold_tags(text), F.regexp_replace(text, tag_pattern(tags), "")).otherwise(text)
+    cut = F.regexp_replace(text, TAG_PAIR, "") if tags is None else F.regexp_replace(text, other_pairs(tags), "$3")
+    bare = F.when(may_hold_tags(text), cut).otherwise(text)
     if max_len is None:
         return strip(bare)
     if inside_array:
@@ -91,11 +92,11 @@ def text_without_tags(
 
 
 def tag_entries(text: Column, tags: Sequence[str] | None = None) -> Column:
-    """``array<struct<tag, content>>`` of the paired tags, in order.
+    """``array<struct<tag, content>>`` of the paired tags, in order: outer pairs, of ``tags`` if these are given.
 
     One pattern search finds whole pairs; name and content are then cut out by position.
     """
-    found = F.regexp_extract_all(text, F.lit(tag_pattern(tags)), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(TAG_PAIR), F.lit(0))
     pairs = F.when(may_hold_tags(text), found)
 
     def parts(pair: Column) -> Column:
@@ -104,7 +105,8 @@ def tag_entries(text: Column, tags: Sequence[str] | None = None) -> Column:
         content = pair.substr(width + 3, F.length(pair) - width * 2 - 5)
         return F.struct(name.alias("tag"), content.alias("content"))
 
-    return F.transform(pairs, parts)
+    entries = F.transform(pairs, parts)
+    return entries if tags is None else F.filter(entries, lambda e: e["tag"].isin(list(tags)))
 
 
 def tags_by_name(entries: Column, max_len: int | None = MAX_TEXT) -> Column:

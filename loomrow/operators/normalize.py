@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import MAX_TEXT, extract_tags, tag_entries, tags_by_name, text_without_tags
+from ..functions.text import (
+    MAX_TEXT, evaluated_once, extract_tags, shorten, strip, tag_entries, tags_by_name, text_without_tags,
+)
 from ..plans.mapper import nullable_type
 from ..plans.paths import quote_name
-from ..plans.typed import Typed, choose
+from ..plans.typed import Typed, choose, to_variant
 
 TAGS = "_tags"
 VALUE = "value"
@@ -32,7 +34,8 @@ def normalize(
     """Normalise every row.
 
     With ``tags`` those tags become fields of their own: a text holding some is replaced by
-    one field per tag and, if text is left, by ``value``; fields written later win. Without
+    one field per tag and, if text is left, by ``value``; fields written later win. Pairs of other tags stay in the text with
+    all they hold; :func:`lift_tags` lifts tags of any name. Without
     ``tags`` each text stays in its field and all tags of an object are collected in its
     ``_tags`` map. ``max_len=None`` leaves texts at full length. One projection pair, no
     shuffle.
@@ -54,6 +57,96 @@ def tag_names(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return named.groupBy("tag").agg(F.count("*").alias("n"))
 
 
+# -- every tag, whatever its name ---------------------------------------------------------
+
+_PAIRS = "array<struct<key: string, value: variant>>"
+
+
+def lift_tags(df: DataFrame, *, column: str = "sample", keep: Sequence[str] = (), max_len: int | None = MAX_TEXT) -> DataFrame:
+    """Each row as one VARIANT object in ``column``, behind the ``keep`` columns, with all tags of its texts lifted.
+
+    A text with pairs of tags gives way to one field per tag, outer pairs first (what stands inside a pair is its content), and a
+    field ``value`` if text is left; nested objects are merged into the object around them, elements of arrays become
+    objects of their own. Names need not be known: they are found in one scan. Of equal names the last one counts.
+    VARIANT and map values pass unchanged. One projection, no shuffle.
+    """
+    fields = nullable_type(df.schema)
+    merged = _joined([_lifted(Typed(F.col(quote_name(f.name)), f.dataType), f.name, max_len) for f in fields])
+    return df.select(*[F.col(quote_name(name)) for name in keep], _as_object(merged).alias(column))
+
+
+def _pair(key: Column | str, value: Column) -> Column:
+    return F.struct((F.lit(key) if isinstance(key, str) else key).alias("key"), value.alias("value"))
+
+
+def _joined(parts: list[Column]) -> Column:
+    return F.concat(*parts) if parts else F.array().cast(_PAIRS)
+
+
+def _as_object(pairs: Column) -> Column:
+    """An object of the last value of each name."""
+
+    def last_ones(found: Column) -> Column:
+        names = F.array_distinct(F.transform(found, lambda e: e["key"]))
+        values = F.transform(names, lambda name: F.element_at(F.filter(found, lambda e: e["key"] == name), -1)["value"])
+        return F.to_variant_object(F.map_from_arrays(names, values))
+
+    return evaluated_once(pairs, last_ones)
+
+
+def _texts(text: Column, max_len: int | None, name: str) -> Column:
+    """The pairs that a text gives to the object around it: itself under ``name``, or its tags and what is left."""
+
+    def shown(value: Column) -> Column:
+        bare = strip(value)
+        return bare if max_len is None else evaluated_once(bare, lambda t: shorten(t, max_len))
+
+    def lifted(found: Column) -> Column:
+        tags = F.transform(found, lambda e: _pair(e["tag"], shown(e["content"]).cast("variant")))
+        rest = evaluated_once(
+            text_without_tags(text, max_len, inside_array=True),
+            lambda t: F.when(t == "", F.array().cast(_PAIRS)).otherwise(F.array(_pair(VALUE, t.cast("variant")))),
+        )
+        whole = F.array(_pair(name, shown(text).cast("variant")))
+        return F.when(F.size(found) > 0, F.concat(tags, rest)).otherwise(whole)
+
+    return evaluated_once(F.coalesce(tag_entries(text), F.array().cast(_ENTRIES)), lifted)
+
+
+def _lifted(value: Typed, name: str, max_len: int | None) -> Column:
+    """The pairs that a field gives to the object around it."""
+    dtype, col = value.dtype, value.col
+    null = F.array(_pair(name, F.parse_json(F.lit("null"))))
+    if isinstance(dtype, T.StructType):
+        inner = _joined([_lifted(Typed(col.getField(f.name), f.dataType), f.name, max_len) for f in dtype])
+    elif isinstance(dtype, T.StringType):
+        inner = _texts(col, max_len, name)
+    elif isinstance(dtype, T.ArrayType):
+        inner = F.array(_pair(name, F.to_variant_object(F.transform(col, lambda x: _element(Typed(x, dtype.elementType), max_len)))))
+    else:
+        inner = F.array(_pair(name, to_variant(value).col))
+    return F.when(col.isNull(), null).otherwise(inner)
+
+
+def _element(value: Typed, max_len: int | None) -> Column:
+    """An element of an array: a text without tags stays a text, all else with fields is an object."""
+    dtype, col = value.dtype, value.col
+    if isinstance(dtype, T.StructType):
+        made = _as_object(_joined([_lifted(Typed(col.getField(f.name), f.dataType), f.name, max_len) for f in dtype]))
+    elif isinstance(dtype, T.StringType):
+
+        def text_or_object(pairs: Column) -> Column:
+            plain = (F.size(pairs) == 1) & (F.get(pairs, 0)["key"] == "")  # no tag has an empty name
+            return F.when(plain, F.get(pairs, 0)["value"]).otherwise(_as_object(pairs))
+
+        made = evaluated_once(_texts(col, max_len, ""), text_or_object)
+    elif isinstance(dtype, T.ArrayType):
+        made = F.to_variant_object(F.transform(col, lambda x: _element(Typed(x, dtype.elementType), max_len)))
+    else:
+        made = to_variant(value).col
+    return F.when(col.isNull(), F.parse_json(F.lit("null"))).otherwise(made)
+
+
 class _Shape:
     def __init__(self, max_len: int | None, tags: Sequence[str] | None):
         self.max_len = max_len

@@ -415,6 +415,7 @@ class _Compiler:
             self.present[here] = self.present.get(here, True) and always
             fields.append((name, child))
 
+        refuse_clashes([name for name, _ in fields], where)
         dtype = T.StructType([T.StructField(n, c.dtype) for n, c in fields])
         if not where:
             self.root_columns = [c.col for _, c in fields]
@@ -645,5 +646,15 @@ class _Compiler:
         return [F.coalesce(flat, no_errors())]
 
 
+def refuse_clashes(names: list[str], where: tuple) -> None:
+    """Source keys are matched exactly, but files and tables hold no two fields that differ in case alone."""
+    seen: dict[str, str] = {}
+    for name in names:
+        other = seen.setdefault(name.lower(), name)
+        if other != name:
+            place = f" in {show(where)}" if where else ""
+            raise MappingError(f"target fields {other!r} and {name!r}{place} differ in case alone: no file can hold both")
+
+
 def show(where: tuple) -> str:
     return ".".join(str(segment) for segment in where).replace(".[]", "[]")

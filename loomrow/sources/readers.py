@@ -173,8 +173,8 @@ def sample_rows(
 ) -> DataFrame | None:
     """First ``k`` rows of the first supported file in ``folder``, texts shortened.
 
-    None where the folder holds no supported file. With ``order_by`` the rows are the
-    smallest by those columns rather than the first of the file.
+    None where the folder holds no supported file. Only as much of the file is read as the rows take, and types are found in
+    these rows alone. With ``order_by`` the rows are the smallest by those columns of the whole file instead.
     """
     files = discover_files(spark, folder, SAMPLE_EXTENSIONS, below=False)
     plain = F.regexp_replace(F.col("path"), "^([a-z0-9+.-]+:)/+", "$1/")
@@ -182,17 +182,52 @@ def sample_rows(
     first = direct.agg(F.min("path").alias("path")).first()["path"]
     if first is None:
         return None
+    whole = bool(order_by)
     if first.endswith(".parquet"):
         df = read_parquet(spark, first)
-    elif first.endswith(".csv"):
-        df = read_csv(spark, first, multi_line=True)
-    elif first.endswith(".tsv"):
-        df = read_tsv(spark, first, multi_line=True)
+        df = df if whole else _first(df, k)
+    elif first.endswith((".csv", ".tsv")):
+        separator = "\t" if first.endswith(".tsv") else ","
+        if whole:
+            df = read_csv(spark, first, separator=separator, multi_line=True)
+        else:
+            df = _with_types(_first(_csv_texts(spark, first, separator), k))
     else:
-        df = quarantine(read_json_lines(spark, first))[0]
+        objects = checked_objects(_reader(spark, first, None).text(first)).where(F.col(BAD_LINE).isNull())
+        if not whole:
+            # lines rather than values go through the driver: they are read again as what they are
+            lines = objects.select(F.to_json("value").alias("value")).take(k)
+            objects = checked_objects(spark.createDataFrame(lines, "value string"))
+        df = typed_objects(objects, found_schema(objects)).drop(BAD_LINE)
     return sample(df, k, order_by=order_by, max_len=max_len)
 
 
+def _first(df: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` rows, read split by split until there are enough; they are few, and pass through the driver."""
+    return df.sparkSession.createDataFrame(df.take(k), df.schema)
+
+
+def _csv_texts(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    reader = spark.read.option("header", "true").option("sep", separator).option("quote", '"').option("escape", '"')
+    return reader.option("multiLine", "true").csv(path)
+
+
+def _with_types(df: DataFrame) -> DataFrame:
+    """Text columns as the first type that all their values have."""
+    kinds = ("bigint", "double", "boolean", "timestamp")
+
+    def fits(name: str, kind: str):
+        col = F.col(quote_name(name))
+        return F.bool_and(col.isNull() | col.try_cast(kind).isNotNull()) & (F.count(col) > 0)
+
+    found = df.agg(*[fits(name, kind).alias(f"c{i}_{kind}") for i, name in enumerate(df.columns) for kind in kinds]).first()
+    columns = []
+    for i, name in enumerate(df.columns):
+        kind = next((kind for kind in kinds if found[f"c{i}_{kind}"]), "string")
+        columns.append(F.col(quote_name(name)).cast(kind).alias(name))
+    return df.select(*columns)
+
+
 def sample(df: DataFrame, k: int = 1, *, order_by: tuple[str, ...] = (), max_len: int = 120) -> DataFrame:
     """``k`` normalised rows, the smallest by ``order_by`` if given (kept per task, then merged)."""
     from ..operators.normalize import normalize

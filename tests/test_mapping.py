@@ -396,3 +396,15 @@ def test_dictionary_of_objects(spark, size):
     df = spark.createDataFrame([("k1",), ("no",)], "k string")
     mapped = apply_mapping(df, [{"src_field": "k", "target_field": "o", "transformation": listed}], schema)
     assert [r.o and (r.o.x, r.o.y) for r in mapped.collect()][0] == (1, ["1"])
+
+
+def test_names_that_differ_in_case_alone(spark):
+    """Both keys of a source are read, whatever the session says; two such targets are refused when the plan is made."""
+    df = spark.createDataFrame([('{"Text":"upper","text":"lower","o":{"K":1,"k":2}}',)], "t string").select(F.parse_json("t").alias("value"))
+    mapping = [entry("Text", "a"), entry("text", "b"), entry("o.K", "c"), entry("o.k", "d"), entry("TEXT", "e")]
+    schema = {"type": "object", "properties": {n: {"type": ["string", "null"]} for n in "abcde"}}
+    row = apply_mapping(df, mapping, schema, root="value").select(*[F.col(n).cast("string") for n in "abcde"]).first()
+    assert tuple(row) == ("upper", "lower", "1", "2", None)
+    for targets in (("Text", "text"), ("m[0].A", "m[0].a"), ("o.x", "o.X")):
+        with pytest.raises(MappingError, match="case alone"):
+            apply_mapping(df, [entry("Text", targets[0]), entry("text", targets[1])], root="value")

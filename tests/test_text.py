@@ -1,10 +1,12 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomrow.functions.text import (
     dataset_key, extract_tags, key_parts, text_without_tags, truncate_text, without_extension,
 )
-from loomrow.operators.normalize import normalize, tag_names
+from loomrow.operators.normalize import lift_tags, normalize, tag_names
 
 
 def one(spark, text, build):
@@ -88,3 +90,26 @@ def test_names(spark):
     )
     assert one(spark, "x.jsonl.gz", without_extension) == "x.jsonl"
     assert one(spark, "a/.hidden", without_extension) == "a/.hidden"
+
+
+def test_outer_pairs_come_first(spark, rows):
+    df = spark.createDataFrame([("<b>x<think>t</think>y</b>",), ("<b>1</b><think>2</think>3<c>4</c>",)], "s string")
+    assert rows(normalize(df, tags=["think"])) == [
+        {"s": "<b>x<think>t</think>y</b>", "think": None, "value": None}, {"s": None, "think": "2", "value": "<b>1</b>3<c>4</c>"}
+    ]
+    lifted = [json.loads(r[0]) for r in lift_tags(df).select(F.to_json("sample")).collect()]
+    assert lifted == [{"b": "x<think>t</think>y"}, {"b": "1", "think": "2", "c": "4", "value": "3"}]
+
+
+def test_lifted_objects(spark):
+    df = spark.createDataFrame(
+        [(1, "<t>q</t>rest", (1, "<t>later</t>"), [("<a>1</a>",), None], ["u", "<v>2</v>w", None], {"m": "<x>1</x>"}), (2, None, None, None, [], None)],
+        "k int, s string, o struct<z:int,y:string>, l array<struct<w:string>>, e array<string>, p map<string,string>",
+    )
+    first, second = [json.loads(r[0]) for r in lift_tags(df, keep=["k"]).orderBy("k").select(F.to_json("sample")).collect()]
+    assert first == {
+        "k": 1, "t": "later", "value": "rest", "z": 1, "l": [{"a": "1"}, None], "e": ["u", {"v": "2", "value": "w"}, None], "p": {"m": "<x>1</x>"},
+    }
+    assert second == {"k": 2, "s": None, "o": None, "l": None, "e": [], "p": None}
+    long = spark.createDataFrame([("<t>" + "x" * 130 + "</t>" + "y" * 125,)], "s string")
+    assert json.loads(lift_tags(long).select(F.to_json("sample")).first()[0]) == {"t": "x" * 120 + "...", "value": "y" * 120 + "..."}
