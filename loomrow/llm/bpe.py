@@ -17,6 +17,7 @@ import json
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 from itertools import chain
+from os.path import commonprefix
 
 import pyarrow as pa
 import regex
@@ -201,7 +202,9 @@ class Tokenizer:
     """A tokenizer file's normaliser and word pattern, with the transducer as its model."""
 
     def __init__(self, content: str):
+        from tokenizers import Regex
         from tokenizers import Tokenizer as Parts
+        from tokenizers.pre_tokenizers import Split
 
         described = json.loads(content)
         self.normalizer = Parts.from_str(content).normalizer
@@ -209,16 +212,45 @@ class Tokenizer:
         self.special: dict[str, int] = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.cut = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
         steps = described["pre_tokenizer"]["pretokenizers"]
-        self.words = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), regex.V0).findall
+        split = next(s for s in steps if s["type"] == "Split")
+        self.found = regex.compile(split["pattern"]["Regex"], regex.V0).findall
+        self.split = Split(Regex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"])
+        self.beyond = regex.compile(f"[{self.differing()}\U00010000-\U0010ffff]").search
+        self.lead = commonprefix(list(self.special))
+        own = described["normalizer"]
+        known = [s["type"] for s in own.get("normalizers", [own])] if own else []
+        self.lowers = bool(known) and set(known) <= {"NFC", "NFKC", "Replace", "Lowercase"} and known[-1] == "Lowercase"
         self.encoder = Encoder(self.merges)
         self.memory = Memory(self.word_ids)
         pieces = {i: token for token, i in self.merges.vocab.items()} | {i: text for text, i in self.special.items()}
         self.pieces = [pieces.get(i, "") for i in range(max(pieces) + 1)]
         self.numbers = [str(i) for i in range(len(self.pieces))]
 
+    def differing(self) -> str:
+        """Characters of the basic plane that the library's Unicode and ours class differently; beyond it the library cuts words."""
+        chars = [chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
+        out = set()
+        for first in ("a{}", "{0}{0}"):  # a letter joins a letter, a digit stands alone
+            pairs = [first.format(c) for c in chars]
+            theirs = [0] * len(pairs)
+            for _, (start, _) in self.split.pre_tokenize_str(" ".join(pairs)):
+                theirs[start // 3] += 1
+            out |= {c for c, pair, count in zip(chars, pairs, theirs) if len(self.found(pair)) != count}
+        return "".join(map(regex.escape, sorted(out)))
+
     def normalized(self, text: str) -> str:
-        """Lower case in composed form; white space only parts words, so that of plain ASCII may stay."""
-        return text.lower() if text.isascii() else self.normalizer.normalize_str(text)
+        """As the file's normaliser has it; where that is lower case in composed form, plain ASCII takes a short way."""
+        if self.normalizer is None:
+            return text
+        return text.lower() if self.lowers and text.isascii() else self.normalizer.normalize_str(text)
+
+    def words(self, text: str) -> list[str]:
+        if text.isascii() or not self.beyond(text):
+            return self.found(text)
+        return [word for word, _ in self.split.pre_tokenize_str(text)]
+
+    def may_hold_special(self, text: str) -> bool:
+        return bool(self.special) and self.lead in text
 
     def word_ids(self, word: str) -> tuple[int, ...]:
         letters, vocab = self.merges.letters, self.merges.vocab
@@ -234,14 +266,14 @@ class Tokenizer:
     def stream(self, text: str) -> Iterator[tuple[int, ...]]:
         """The ids of a text, word by word."""
         at = 0
-        for cut in self.cut.finditer(text) if "<|" in text else ():
+        for cut in self.cut.finditer(text) if self.may_hold_special(text) else ():
             yield from map(self.memory.__getitem__, self.words(self.normalized(text[at : cut.start()])))
             yield (self.special[cut.group()],)
             at = cut.end()
         yield from map(self.memory.__getitem__, self.words(self.normalized(text[at:] if at else text)))
 
     def encode(self, text: str) -> list[int]:
-        if "<|" in text:
+        if self.may_hold_special(text):
             return list(chain.from_iterable(self.stream(text)))
         return list(chain.from_iterable(map(self.memory.__getitem__, self.words(self.normalized(text)))))
 

@@ -1,5 +1,6 @@
 """The transducer against the library, letter by letter and text by text."""
 
+import json
 import random
 from hashlib import sha256
 
@@ -38,6 +39,26 @@ def test_ids_and_text_are_the_library_s(library, own):
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_letters_and_digits_of_any_unicode_version(library, own):
+    """Every code point once: classes that differ between versions of Unicode cut words like the library does."""
+    points = [c for c in range(0x80, 0x32000) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(points), 500):
+        text = "a" + "a".join(map(chr, points[start : start + 500])) + "1"
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(points[start])
+
+
+def test_rules_come_from_the_file(library):
+    described = json.loads(open(default_tokenizer(), encoding="utf-8").read())
+    for token, text in zip(described["added_tokens"], ("[BEGIN]", "@end@")):
+        token["content"] = text
+    described["normalizer"] = {"type": "NFC"}
+    content = json.dumps(described)
+    theirs, ours = Library.from_str(content), Tokenizer(content)
+    theirs.no_padding()
+    for text in ("a[BEGIN]b @end@", "<|endoftext|>", "lower case only, café"):
+        assert ours.encode(text) == theirs.encode(text, add_special_tokens=False).ids
+
+
 def test_tokens_leave_early_and_memory_stays_constant(own):
     merges, rng = own.merges, random.Random(2)
     symbols = [rng.choice("thein") for _ in range(3000)]
