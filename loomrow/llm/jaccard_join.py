@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, powers, quoted, slices, table, utf8_buffer, written
+from .common import mixed, quoted, slices, table, utf8_buffer, written
 from .components import components
 from .regions import Filter, gathered, may_link, metric_links
 
@@ -43,8 +43,6 @@ SMALL_REGION = 200
 #: bits of the sketch that bounds the intersection of two sets from above
 SKETCH_BITS = 4096
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -62,10 +60,15 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     last = np.zeros(len(data) + 1, dtype=bool)
     last[offsets[1:]] = True
     ends = np.flatnonzero(inside & (last[1:] | np.r_[space[1:], True])) + 1 if len(data) else np.zeros(0, np.int64)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.searchsorted(starts, offsets)
+    # each letter counts by its place in the word, both mixed together: a polynomial of the letters would give some words one value
+    begun = np.zeros(len(data), dtype=np.int64)
+    begun[starts] = starts
+    place = np.arange(len(data)) - np.maximum.accumulate(begun)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * powers(_INVERSE, len(data))[starts] if len(starts) else np.zeros(0, np.uint64)
-    return mixed(hashes), np.searchsorted(starts, offsets)
+    np.cumsum(mixed((place.astype(np.uint64) << np.uint64(8)) + lower.astype(np.uint64) + _STEP), out=sums[1:])
+    return mixed(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:

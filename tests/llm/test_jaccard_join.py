@@ -3,8 +3,10 @@
 import random
 import re
 
+import pyarrow as pa
+
 from loomrow.llm import jaccard_join
-from loomrow.llm.jaccard_join import jaccard_groups, op10_jaccard_join, without_copies
+from loomrow.llm.jaccard_join import jaccard_groups, op10_jaccard_join, without_copies, word_hashes
 
 
 def shingles(text):
@@ -97,3 +99,17 @@ def test_query(spark, data):
     want = brute([(k + 1, t) for k, t in rows])
     found = sorted((r[0] + 1, r[1], r[2] + 1) for r in op10_jaccard_join(spark, data).collect())
     assert found == want
+
+
+def test_words_that_any_polynomial_gives_one_value(spark):
+    """Thue-Morse words and their complements: equal modulo 2^64 for every base, but different words."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows, other = [], str.maketrans("ab", "ba")
+    for i, length in enumerate((1024, 2048, 4096)):
+        rows += [(2 * i, " ".join([word[:length]] * 1)), (2 * i + 1, word[:length].translate(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.component_id == r.doc_id for r in jaccard_groups(df).collect())
+    hashes, _ = word_hashes(pa.array(["ab ba aab", "a b", "abc", ""]))
+    assert len(set(hashes.tolist())) == 6
