@@ -25,7 +25,7 @@ from .common import quoted, slices, table, unpacked, whole_row
 #: at most so many labelled documents of each class are learnt from, and so many characters in all, a third of them toxic
 SAMPLE_TOXIC = 1000
 SAMPLE_CLEAN = 2000
-SAMPLE_CHARACTERS = 10_000_000
+SAMPLE_CHARACTERS = 4_000_000
 #: longer texts are learnt from only if their class has no others
 LONG_TEXT = 100_000
 #: a document with this score or more is toxic
@@ -225,17 +225,22 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, toxic: int | None = None, clean: int | None = None, characters: int | None = None
+) -> pd.DataFrame:
     """``text, toxic`` of a bounded sample: those of smallest hash, as many of each class as its bounds allow.
 
+    At most ``toxic`` and ``clean`` documents and ``characters`` in all (``SAMPLE_TOXIC``, ``SAMPLE_CLEAN``, ``SAMPLE_CHARACTERS``).
     A class has bounds of its own, and a text that does not fit leaves its place to the next. Of a repeated key the shortest text counts.
-    A class whose texts are all longer than its bound is refused.
+    A class whose texts are all longer than its bound teaches nothing, and a warning says so.
     """
+    characters = SAMPLE_CHARACTERS if characters is None else characters
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("order", F.xxhash64("doc_id"))
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null").withColumn("length", F.length("text"))
     known = known.join(texts.groupBy("doc_id").agg(F.min("length").alias("length")), "doc_id")
-    bounds = {1: (SAMPLE_TOXIC, SAMPLE_CHARACTERS // 3), 0: (SAMPLE_CLEAN, SAMPLE_CHARACTERS - SAMPLE_CHARACTERS // 3)}
+    most = {1: SAMPLE_TOXIC if toxic is None else toxic, 0: SAMPLE_CLEAN if clean is None else clean}
+    bounds = {1: (most[1], characters // 3), 0: (most[0], characters - characters // 3)}
     first = [
         known.where(F.col("toxic") == label).orderBy(F.col("length") > LONG_TEXT, "order", "doc_id").limit(most)
         for label, (most, _) in bounds.items()
@@ -251,7 +256,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
                 chosen.append(r)
                 left -= r.length
         if own and len(chosen) == before:
-            raise ValueError(f"no text labelled {label} is short enough to learn from")
+            warnings.warn(f"no text labelled {label} is short enough to learn from", stacklevel=2)
     chosen = F.broadcast(docs.sparkSession.createDataFrame(chosen, known.schema))
     rows = texts.join(chosen, ["doc_id", "length"])
     # repeated rows would add to the bound: one text for each key
@@ -345,8 +350,9 @@ def toxic_spans(text: str, marginal: np.ndarray) -> list[dict]:
     return spans
 
 
-def learnt(docs: DataFrame, labels: DataFrame) -> Field | None:
-    sample = labelled_sample(docs, labels)
+def learnt(docs: DataFrame, labels: DataFrame, **bounds: int) -> Field | None:
+    """A field from labelled documents, or none if a class is missing; ``bounds`` are those of :func:`labelled_sample`."""
+    sample = labelled_sample(docs, labels, **bounds)
     toxic = sample["toxic"].to_numpy() == 1
     field = trained(sample["text"].tolist(), toxic)
     if field is None and toxic.any() and not toxic.all():

@@ -105,8 +105,11 @@ def test_long_texts_only_where_a_class_has_no_others(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "LONG_TEXT", 50)
     assert sorted(labelled_sample(docs, labels)["toxic"]) == sorted(int(i >= 4) for i in learnable)
     monkeypatch.setattr(toxicity, "SAMPLE_CHARACTERS", 200)
-    with pytest.raises(ValueError):
-        labelled_sample(docs, labels)
+    with pytest.warns(UserWarning, match="short enough"):
+        assert labelled_sample(docs, labels)["toxic"].tolist() == [0, 0, 0]  # 134 characters: three texts of 40
+    with pytest.warns(UserWarning, match="short enough"):
+        assert learnt(docs, labels, characters=200) is None
+    assert len(labelled_sample(docs, labels, toxic=1, clean=2, characters=10_000)) == 3
 
 
 def test_classes_that_nothing_tells_apart_are_reported(spark):
