@@ -174,12 +174,12 @@ def near_copies(df: DataFrame, key: str = "vec_id", vector: str = "embedding", l
     """``<key>, n_links, component_id, kept`` for each row.
 
     Rows link if their labels are equal and not null and the cosine of their vectors is at least 0.93. Vectors that are null, zero, or
-    hold null or non-finite components link with nothing, as do rows without a label or key (these have no component). Vectors of
+    hold null or non-finite components link with nothing (labels are of any plain type, keys whole numbers), as do rows without a label or key (these have no component). Vectors of
     different lengths do not link. Rows that repeat a key are one vector with several places: they link one another's partners.
     An empty table gives an empty result.
     """
     rows = df.select(
-        quoted(key).cast("long").alias("id"), quoted(label).cast("long").alias("label"),
+        quoted(key).cast("long").alias("id"), quoted(label).cast("string").alias("label"),
         F.when(usable(quoted(vector)), quoted(vector)).alias("v"),
     )
     good = rows.where("id is not null and label is not null and v is not null")

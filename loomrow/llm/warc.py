@@ -176,7 +176,14 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
 
 
 def page_number(url: Column) -> Column:
-    return F.nullif(F.substring_index(url, MARK, -1), F.lit("")).cast("long")
+    """What follows the last mark of an address, if it is a number."""
+    return F.substring_index(url, MARK, -1).try_cast("long")
+
+
+def address(url: Column) -> Column:
+    """What stands before the last mark: an address may hold marks of its own."""
+    number = F.substring_index(url, MARK, -1)
+    return F.when(F.contains(url, F.lit(MARK)), F.left(url, F.length(url) - F.length(number) - len(MARK))).otherwise(url)
 
 
 def record_id(url: Column, date: Column, digest: Column) -> Column:
@@ -216,7 +223,7 @@ def convert(spark: SparkSession, arcs: str, warcs: str) -> None:
         line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", record_id(F.col("url"), F.col("date"), F.col("digest"))),
         line("WARC-Date", iso_date(F.col("date"))),
-        line("WARC-Target-URI", F.substring_index("url", MARK, 1)),
+        line("WARC-Target-URI", address(F.col("url"))),
         line("WARC-IP-Address", F.col("ip")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
         line("X-Page-ID", F.coalesce(F.col("page").cast("string"), F.lit(""))),

@@ -109,3 +109,10 @@ def test_clashing_columns_and_repeated_keys(spark):
     got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in near_copies(df).collect())
     assert got == [(0, 1, 1), (1, 1, 1), (1, 1, 1)] or got[1:] == [(1, 1, 1), (1, 1, 1)]
     assert near_copies(df.where(F.col("vec_id").isNull())).first().component_id is None
+
+
+def test_labels_of_any_plain_type(spark):
+    vectors = [[1.0, 0.0, 0.1], [1.0, 0.0, 0.11], [1.0, 0.0, 0.1]]
+    for kind, labels in (("string", ["x", "x", "y"]), ("boolean", [True, True, False]), ("double", [0.5, 0.5, 1.5])):
+        df = spark.createDataFrame([(i, v, l) for i, (v, l) in enumerate(zip(vectors, labels))], f"vec_id long, embedding array<double>, label {kind}")
+        assert sorted((r.vec_id, r.component_id, r.n_links) for r in near_copies(df).collect()) == [(0, 0, 1), (1, 0, 1), (2, 2, 0)]

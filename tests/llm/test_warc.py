@@ -54,3 +54,11 @@ def test_empty_table(spark, tmp_path):
     write_arc(df, str(tmp_path / "arc"))
     convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
     assert read_warc(spark, str(tmp_path / "warc")).count() == 0
+
+
+def test_addresses_that_hold_marks(spark, tmp_path):
+    rows = [(7, "http://x/#page_id=7/rest", "<a>"), (8, "http://y/", "<b>"), (9, "http://z/#page_id=", "<c>")]
+    arcs, warcs = str(tmp_path / "arc"), str(tmp_path / "warc")
+    write_arc(spark.createDataFrame(rows, "page_id long, url string, html string"), arcs)
+    convert(spark, arcs, warcs)
+    assert {r.page_id: r.url for r in read_warc(spark, warcs).collect()} == {p: url for p, url, _ in rows}
