@@ -34,6 +34,17 @@ def scan_parquet(spark, folder):
     return rows.select("o_orderkey", "o_totalprice", day("o_orderdate").alias("day"))
 
 
+@query(
+    "scan_glob",
+    "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O')",
+)
+def scan_glob(spark, folder):
+    """Some of the folders below one, by a pattern."""
+    target = work_folder(spark, "globbed")
+    table(spark, folder, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderstatus").alias("s"), "o_orderstatus").write.partitionBy("s").parquet(target)
+    return readers.read_parquet(spark, f"{target}/s=[FO]*/*.parquet")
+
+
 @query("scan_jsonl", TALK)
 def scan_jsonl(spark, folder):
     target = work_folder(spark, "jsonl")

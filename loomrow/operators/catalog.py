@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import key_parts
 from ..plans.paths import MappingError
-from ..sources.hadoop import drop_version, exists, input_path, version_folder, versions
+from ..sources.discovery import list_files
+from ..sources.hadoop import exists, input_path
 from .mapping import apply_mapping
 
 KEY = ["version", "dataset", "subpath"]
@@ -31,8 +32,6 @@ DOCUMENT = (
 )
 
 WRITTEN_AT = "written_at"
-#: versions of the master table that stay
-KEPT_VERSIONS = 3
 
 # fixed values: the metadata fields every dataset is offered
 DEFAULT_FIELDS = [
@@ -119,10 +118,10 @@ def upsert(
     return kept.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new)
 
 
-def master_rows(docs: DataFrame) -> DataFrame:
-    """The four columns of the master table, metadata as JSON text."""
+def master_rows(docs: DataFrame, *more: str) -> DataFrame:
+    """The four columns of the master table, metadata as JSON text; and ``more`` columns as they are."""
     return docs.select(
-        "doc_id", F.to_json("metadata").alias("metadata"), "src_schema", "mapping"
+        "doc_id", F.to_json("metadata").alias("metadata"), "src_schema", "mapping", *more
     )
 
 
@@ -210,10 +209,10 @@ def read_documents(spark: SparkSession, folder: str, *, skip_broken: bool = Fals
 
     The name ``version__dataset__subpath__stamp`` is that of the file or of a folder above. A document that is not
     valid JSON fails the read, rather than to stand as an empty newest version; ``skip_broken`` leaves it out.
+    Files without such a name are no documents: :func:`other_files` lists them.
     """
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
-    name = F.regexp_extract(input_path(), r"([^/=]+__[^/]+__[^/]+__[0-9]{12})(?:\.json)?(?:/|$)", 1)
-    named = files.select(name.alias("name"), "value").where(F.col("name") != "")
+    named = files.select(_document_name(input_path()).alias("name"), "value").where(F.col("name") != "")
     if skip_broken:
         named = named.where(F.try_parse_json("value").isNotNull())
     content = "doc_id string, metadata map<string,string>, src_schema string, dst_schema_id string, mapping string"
@@ -221,6 +220,16 @@ def read_documents(spark: SparkSession, folder: str, *, skip_broken: bool = Fals
     return parsed.select(*KEY, "ts", "doc.*")
 
 
+def _document_name(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/=]+__[^/]+__[^/]+__[0-9]{12})(?:\.json)?(?:/|$)", 1)
+
+
+def other_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``path`` of the JSON files below ``folder`` that no document's name leads to, so that none goes missing unseen."""
+    found = list_files(spark, folder).where(F.col("path").endswith(".json"))
+    return found.where(_document_name(F.col("path")) == "").select("path")
+
+
 def list_target_schemas(spark: SparkSession, folder: str) -> DataFrame:
     """Target schemas of a folder as ``name, schema`` (JSON text)."""
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json")
@@ -253,19 +262,22 @@ def map_from_catalog(
 
 
 class Catalog:
-    """The catalog of one folder: an append-only table of documents and the master table."""
+    """The catalog of one folder: an append-only table of documents, from which the master table is derived."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.documents_path = f"{folder.rstrip('/')}/documents"
-        self.master_path = f"{folder.rstrip('/')}/master"
 
-    def documents(self) -> DataFrame:
+    def _written(self) -> DataFrame:
+        """All documents that were ever written, with the time of writing."""
+        schema = f"{DOCUMENT}, {WRITTEN_AT} timestamp"
         if not exists(self.spark, self.documents_path):
-            return self.spark.createDataFrame([], DOCUMENT)
-        written = self.spark.read.schema(f"{DOCUMENT}, {WRITTEN_AT} timestamp").parquet(self.documents_path)
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.documents_path)
+
+    def documents(self) -> DataFrame:
         # a document written again within its minute replaces the earlier one
-        return latest(written, [*KEY, "ts"], WRITTEN_AT).drop(WRITTEN_AT)
+        return latest(self._written(), [*KEY, "ts"], WRITTEN_AT).drop(WRITTEN_AT)
 
     def current(self) -> DataFrame:
         return latest(self.documents())
@@ -274,7 +286,7 @@ class Catalog:
         return obsolete(self.documents())
 
     def add(self, new: DataFrame, now: datetime | None = None) -> None:
-        """Append new versions and bring the master table up to date."""
+        """Append new versions: one plain write, after which both tables hold them."""
         if now is None:
             now = datetime.now()
         names = [field.split(" ")[0] for field in DOCUMENT.split(", ")]
@@ -282,7 +294,6 @@ class Catalog:
         # of several documents of one dataset in a batch one stays, the same in both tables
         stamped = latest(stamped.withColumn("order", F.to_json(F.struct(*names))), KEY, "order").select(*names)
         stamped.withColumn(WRITTEN_AT, F.current_timestamp()).write.mode("append").parquet(self.documents_path)
-        self.refresh_master(stamped)
 
     def set_section(self, section: str, value: str, dataset: dict[str, str], now: datetime | None = None) -> None:
         rows = self.current()
@@ -291,35 +302,21 @@ class Catalog:
         self.add(set_section(rows, section, value, F.lit(True)), now)
 
     def master(self) -> DataFrame:
-        """The newest complete version of the master table."""
-        complete = versions(self.spark, self.master_path)
-        if not complete:
-            return self.spark.createDataFrame([], ", ".join(f"{c} string" for c in MASTER))
-        return self.spark.read.parquet(version_folder(self.master_path, complete[-1]))
-
-    def refresh_master(self, new: DataFrame) -> None:
-        """Upsert documents into the master table: a new version beside the old ones, which are never touched.
-
-        A version counts once it is complete, so an interrupted write leaves the table as it was. A writer that finds, when it is
-        done, that another version was completed meanwhile takes its own back and begins again from that one. The last
-        KEPT_VERSIONS stay for queries that still read them.
+        """The master table: of each document id the row that was written last, derived from the documents as they are read.
+
+        Documents are reduced within the tasks, so what moves is one row for each id and task.
         """
-        rows = latest(master_rows(new).withColumn("order", F.struct(*MASTER)), ["doc_id"], "order").select(*MASTER)
-        while True:
-            complete = versions(self.spark, self.master_path)
-            number = max([0, *versions(self.spark, self.master_path, complete=False)]) + 1
-            upsert(self.master(), rows).write.parquet(version_folder(self.master_path, number))
-            done = versions(self.spark, self.master_path)
-            if not set(done) - set(complete) - {number}:
-                break
-            drop_version(self.spark, self.master_path, number)
-        for old in done[:-KEPT_VERSIONS]:
-            drop_version(self.spark, self.master_path, old)
+        rows = master_rows(self._written(), WRITTEN_AT).withColumn("order", F.struct(WRITTEN_AT, *MASTER))
+        return latest(rows, ["doc_id"], "order").select(*MASTER)
+
+    def export_master(self, path: str) -> None:
+        """The master table as it is now, as parquet in a new folder: for readers that would else derive it again and again."""
+        self.master().write.parquet(path)
 
 
 __all__ = [
     "Catalog", "add_fields", "all_fields", "append_version", "default_registry", "fill_keys", "init_missing",
     "latest", "list_target_schemas", "load_target_schema", "map_from_catalog", "master_rows", "metadata_remove",
-    "metadata_set", "obsolete", "read_documents", "remove_fields", "restore", "set_section",
+    "metadata_set", "obsolete", "other_files", "read_documents", "remove_fields", "restore", "set_section",
     "upsert",
 ]

@@ -41,19 +41,3 @@ def input_path() -> Column:
     """The file a row is read from, as it is named: Spark gives it with blanks and the like encoded."""
     # in paths a plus sign stands for itself
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-
-
-def versions(spark: SparkSession, path: str, complete: bool = True) -> list[int]:
-    """The numbers of the versions ``v=<n>`` of a table, ascending: the complete ones, or all that were begun."""
-    system, pattern = _locate(spark, f"{path.rstrip('/')}/v=*" + "/_SUCCESS" * complete)
-    folders = [status.getPath().getParent() if complete else status.getPath() for status in system.globStatus(pattern) or ()]
-    return sorted(int(folder.getName()[2:]) for folder in folders)
-
-
-def version_folder(path: str, number: int) -> str:
-    return f"{path.rstrip('/')}/v={number:08d}"
-
-
-def drop_version(spark: SparkSession, path: str, number: int) -> None:
-    system, target = _locate(spark, version_folder(path, number))
-    system.delete(target, True)

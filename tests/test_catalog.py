@@ -115,6 +115,7 @@ def test_document_files_and_schemas(spark, tmp_path, rows):
         "metadata": {"_a": "1"}, "src_schema": '{"type":"object"}', "dst_schema_id": None,
         "mapping": '[{"src_field":"a"}]',
     }]
+    assert [r["path"].rsplit("/", 1)[-1] for r in catalog.other_files(spark, str(tmp_path)).collect()] == ["notes.json"]
     assert catalog.list_target_schemas(spark, str(tmp_path)).count() == 2
     assert catalog.load_target_schema(spark, str(tmp_path), "notes.json") == {}
     with pytest.raises(FileNotFoundError):
@@ -153,12 +154,22 @@ def test_interrupted_writes_lose_nothing(spark, docs, tmp_path):
     for month in range(1, 6):
         store.add(docs.where("doc_id = 'old'").withColumn("doc_id", F.lit(f"d{month}")).withColumn("dataset", F.lit(f"e{month}")), datetime(2025, month, 1))
     assert sorted(r["doc_id"] for r in store.master().collect()) == ["d1", "d2", "d3", "d4", "d5"]
-    kept = sorted(p.name for p in (tmp_path / "cut" / "master").glob("v=*"))
-    assert kept == ["v=00000003", "v=00000004", "v=00000005"]
-    (tmp_path / "cut" / "master" / "v=00000006" / "_temporary").mkdir(parents=True)  # what a killed job leaves
+    left = tmp_path / "cut" / "documents" / "_temporary" / "0" / "_temporary" / "attempt_1"  # what a killed job leaves
+    left.mkdir(parents=True)
+    (left / "part-0.parquet").write_text("half")
     assert store.master().count() == 5
     store.add(docs.where("doc_id = 'new'"), datetime(2025, 7, 1))
     assert store.master().count() == 6
+    store.export_master(str(tmp_path / "master"))
+    assert spark.read.parquet(str(tmp_path / "master")).count() == 6
+
+
+def test_writers_that_meet_lose_nothing(spark, docs, tmp_path):
+    """Two catalogs of one folder, as two jobs would hold them: each write is an append of its own."""
+    one, other = Catalog(spark, str(tmp_path / "met")), Catalog(spark, str(tmp_path / "met"))
+    one.add(docs.where("doc_id = 'old'"), datetime(2025, 1, 1))
+    other.add(docs.where("doc_id = 'new'"), datetime(2025, 1, 1))
+    assert sorted(r["doc_id"] for r in one.master().collect()) == ["new", "old"] == sorted(r["doc_id"] for r in other.master().collect())
 
 
 def test_names_with_blanks_and_broken_documents(spark, tmp_path):
