@@ -30,7 +30,6 @@ from pyspark.sql import types as T
 
 from ..functions.casts import variant_kind
 from ..functions.text import evaluated_once, nesting
-from .json_schema import is_object
 from .mapper import ERROR_TYPE, error, nullable_type
 from .paths import EACH_SEGMENT
 from .references import References, is_schema
