@@ -425,7 +425,7 @@ def digests(repaired: DataFrame) -> DataFrame:
 class Repair:
     """The faults, cheapest edits and repaired rows of conversations.
 
-    Rows are taken by conversation and turn, null turns first; rows of one turn by role, then by the SHA-256 of their texts. A null
+    Rows are taken by conversation and turn (whole numbers), null turns first; rows of one turn by role, then by the SHA-256 of their texts. A null
     role or text counts as one space, a null conversation is one of its own. Only a role's first letter matters to the pattern; rows
     that are alike are copies. Conversations and rows may be of any number and length: no step holds a conversation but the digest,
     which a hash must read in order, and that streams. Columns beyond the four named are left out; an empty table gives empty results.
