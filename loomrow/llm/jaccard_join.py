@@ -39,7 +39,7 @@ FREQUENT, CHUNK_SHINGLES = 3, 4_000_000
 #: so many frequent shingles at most stand last in the order: 8 bytes each; which ones does not change the result
 MOST_FREQUENT = 1_000_000
 #: all pairs of a region of so many nodes are compared; larger ones take a pivot each round
-SMALL_REGION = 200
+SMALL_REGION = 2000
 #: bits of the sketch that bounds the intersection of two sets from above
 SKETCH_BITS = 4096
 
