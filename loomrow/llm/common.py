@@ -97,3 +97,8 @@ def kept(key: object, make: Callable[[], Any]) -> Any:
     if key not in state:
         state[key] = make()
     return state[key]
+
+
+def forget() -> None:
+    """Let go of what other operators keep in this process, which may run their tasks no more."""
+    sys.__dict__.pop("_loomrow_kept", None)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import quoted, slices, table, unpacked, whole_row
+from .common import forget, quoted, slices, table, unpacked, whole_row
 
 #: at most so many labelled documents of each class are learnt from, and so many characters in all, a third of them toxic
 SAMPLE_TOXIC = 1000
@@ -289,6 +289,7 @@ def scored_rows(docs: DataFrame, field: Field | None, text: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(field)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         field = shared.value
         odds = Odds(field) if field else None
         for batch in batches:
