@@ -24,7 +24,7 @@ SHINGLE = 7
 #: lines link when 100 * intersection >= PERCENT * union of their shingles
 PERCENT = 80
 BANDS, ROWS = 12, 4
-SMALL_REGION = 100
+SMALL_REGION = 1000
 SLICE_BYTES = 2 << 20
 #: characters whose signatures are made at a time
 PART = 1 << 19
