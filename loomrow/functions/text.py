@@ -27,9 +27,9 @@ def evaluated_once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` for a costly ``value`` that ``use`` names several times.
 
     Expressions inside higher-order functions are not shared by the optimiser; the variable
-    of a one-element ``transform`` is.
+    that ends an ``aggregate`` is, and nothing is copied on the way.
     """
-    return F.get(F.transform(F.array(value), use), 0)
+    return F.aggregate(F.array().cast("array<int>"), value, lambda only, _: only, use)
 
 
 def nesting(json: Column) -> Column:
@@ -44,6 +44,11 @@ def nesting(json: Column) -> Column:
     return F.when(brackets == "", 0).otherwise(F.aggregate(F.split(brackets, ""), start, step)["most"])
 
 
+def openings(json: Column) -> Column:
+    """How many opening brackets a JSON text has: it is nested no deeper than that."""
+    return F.length(json) - F.length(F.translate(json, "[{", ""))
+
+
 def strip(text: Column) -> Column:
     """Remove blanks of any kind at both ends."""
     return F.btrim(text, F.lit(BLANKS))

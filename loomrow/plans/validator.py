@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.casts import variant_kind
-from ..functions.text import evaluated_once, nesting
+from ..functions.text import evaluated_once, openings
 from .mapper import ERROR_TYPE, error, nullable_type
 from .paths import EACH_SEGMENT
 from .references import References, is_schema
@@ -41,6 +41,9 @@ _VARIANT_ARRAY = T.ArrayType(T.VariantType())
 #: keywords of later drafts that would restrict values: refused rather than passed over
 UNSUPPORTED = ("dependentRequired", "dependentSchemas", "prefixItems", "unevaluatedProperties", "unevaluatedItems")
 
+#: so many levels of a value are checked before its depth is worked out
+SHALLOW = 16
+
 #: an entry of the working list: an error, an open part (``definition``, ``value``) or a choice between branches (``own``, ``count``);
 #: all may belong to branch number ``branch`` of the choice ``choice``
 _ENTRY = T.StructType(
@@ -203,26 +206,36 @@ class _Checks:
             rest = self.none()
             for number, body in bodies.items():
                 rest = F.when(part["definition"] == number, body).otherwise(rest)
-            return self.tagged(rest, part["choice"], part["branch"])
+            # where no choice stands above, there is nothing to tag
+            return evaluated_once(
+                rest, lambda r: F.when(part["choice"].isNull(), r).otherwise(self.tagged(r, part["choice"], part["branch"]))
+            )
 
         def level(state: Column, _: Column) -> Column:
             new = F.flatten(F.transform(state["open"], checked))
-            return evaluated_once(new, lambda entries: F.struct(
+            next_state = evaluated_once(new, lambda entries: F.struct(
                 F.filter(entries, is_open).alias("open"),
                 F.concat(state["done"], F.filter(entries, lambda e: ~is_open(e))).alias("done"),
             ))
+            return F.when(F.size(state["open"]) == 0, state).otherwise(next_state)
 
         def until_done(entries: Column) -> Column:
             start = F.struct(
                 F.filter(entries, is_open).alias("open"), F.filter(entries, lambda e: ~is_open(e)).alias("done")
             )
-            # each level of a value may pass through every open part
-            deepest = F.aggregate(
-                F.filter(entries, is_open), F.lit(0), lambda most, e: F.greatest(most, nesting(F.to_json(e["value"])))
-            )
-            levels = (deepest + 1) * len(self.references.open)
-            levels = F.when(F.exists(entries, is_open), F.sequence(F.lit(1), levels)).otherwise(F.array().cast("array<int>"))
-            return F.aggregate(levels, start, level)["done"]
+            parts = len(self.references.open)
+
+            def turns(state: Column, round_: Column) -> Column:
+                """Each level of a value may pass through every open part; turns after the last level cost next to nothing."""
+                deepest = F.aggregate(
+                    state["open"], F.lit(0), lambda most, e: F.greatest(most, openings(F.to_json(e["value"])))
+                )
+                left = F.when(round_ == 1, F.lit(SHALLOW)).otherwise(deepest + 1) * parts
+                return F.when(F.size(state["open"]) > 0, F.sequence(F.lit(1), left)).otherwise(F.array().cast("array<int>"))
+
+            # only values of more levels than are shallow are measured
+            rounds = F.array(F.lit(1), F.lit(2))
+            return F.aggregate(rounds, start, lambda state, round_: F.aggregate(turns(state, round_), state, level))["done"]
 
         done = evaluated_once(found, until_done)
         if self.choices:
@@ -529,7 +542,8 @@ class _Checks:
             child = read_path(value, (name,))
             here = (*where, name)
             present = F.map_contains_key(value.col, name) if keyed else self.nulls.present(here)
-            also(self.of(child, sub, [*prefix, name], here, present))
+            # a map without the key has nothing to check there
+            also(self.of(child, sub, [*prefix, name], here, present), present if keyed else there)
 
         if extra_rule is False:
             report(self.extras(value, properties, patterns, where, there), "additionalProperties",

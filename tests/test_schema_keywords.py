@@ -10,8 +10,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from loomrow.operators.validation import validate_rows
+from loomrow.operators.validation import error_rows, validate_rows
 from loomrow.plans.references import References
+from loomrow.plans.validator import SHALLOW
 
 
 def errors_of(spark, schema, documents):
@@ -233,3 +234,16 @@ def test_random_recursive_schemas(spark, seed):
     values = [some_value(r, 4) for _ in range(60)]
     got = errors_of(spark, schema, values)
     assert [not e for e in got] == [valid(v, schema, root) for v in values], json.dumps(schema)
+
+
+@pytest.mark.parametrize("depth", [1, SHALLOW - 1, SHALLOW, SHALLOW + 1, 3 * SHALLOW])
+def test_levels_beyond_the_shallow_ones(spark, depth):
+    """All levels are checked, and the depth of a value is not worked out bracket by bracket for those that are shallow."""
+    text = '{"next":' * depth + '{"name":1}' + "}" * depth
+    rows = spark.createDataFrame([(text,)], "text string").select(F.parse_json("text").alias("doc"))
+    node = {"properties": {"name": {"type": "string"}, "next": {"$ref": "#/definitions/node"}}}
+    schema = {"properties": {"doc": {"$ref": "#/definitions/node"}}, "definitions": {"node": node}}
+    found = error_rows(validate_rows(rows, schema))
+    assert [(r.path, r.keyword) for r in found.collect()] == [("doc." + "next." * depth + "name", "type")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "split" not in plan and "regexp_replace" not in plan
