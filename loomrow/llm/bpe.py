@@ -23,11 +23,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import kept, quoted, slices, table, unpacked, whole_row
+from .common import beyond_latin, kept, latin_pattern, quoted, slices, table, unpacked, whole_row
 
 TOKENIZER = "word_bpe_49k.json"
 #: words whose tokens each Python process remembers; a full memory is emptied
-MEMORY_WORDS = 800_000
+MEMORY_WORDS = 400_000
+#: pairs of tokens of which it remembers whether they may stand side by side, and as many strings that are a token or not
+MEMORY_PAIRS = 200_000
 #: words of more letters are not remembered
 LONG_WORD = 64
 #: bytes of text handled at a time
@@ -42,6 +44,21 @@ def byte_letters() -> dict[int, str]:
     return letters | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Known(dict):
+    """Answers that were worked out before; a full memory is emptied."""
+
+    def __init__(self, answer):
+        super().__init__()
+        self.answer = answer
+
+    def __missing__(self, asked):
+        found = self.answer(asked)
+        if len(self) >= MEMORY_PAIRS:
+            self.clear()
+        self[asked] = found
+        return found
+
+
 class MergeList:
     """The vocabulary and merges of a byte-level BPE model with an optional mark at the end of words."""
 
@@ -52,7 +69,8 @@ class MergeList:
         self.rank = {pair: i for i, pair in enumerate(pairs)}
         self.letters = byte_letters()
         self.longest = max(len(self.symbols(t)) for t in self.vocab)
-        self.known: dict[tuple[str, str], bool] = {}
+        self.known = Known(self.encodes)
+        self.whole = Known(lambda token: token in self.vocab and self.encodes(("", token)))
 
     def symbols(self, token: str) -> list[str]:
         """The letters of a token, the mark joined to the last one."""
@@ -79,16 +97,14 @@ class MergeList:
                 ranks[i] = rank((parts[i], parts[i + 1]), none)
         return parts
 
+    def encodes(self, pair: tuple[str, str]) -> bool:
+        left, right = pair
+        symbols = (self.symbols(left) if left else []) + self.symbols(right)
+        return self.merged(symbols) == ([left, right] if left else [right])
+
     def compatible(self, left: str, right: str) -> bool:
         """Whether two tokens (the left one may be empty) are the encoding of their joint text."""
-        found = self.known.get((left, right))
-        if found is None:
-            if len(self.known) > MEMORY_WORDS:
-                self.known.clear()
-            symbols = (self.symbols(left) if left else []) + self.symbols(right)
-            found = self.merged(symbols) == ([left, right] if left else [right])
-            self.known[left, right] = found
-        return found
+        return self.known[left, right]
 
     def lookahead(self) -> int:
         """Letters after a position that are enough to know whether a token boundary there stays.
@@ -129,20 +145,19 @@ class Encoder:
 
     def push(self, symbol: str) -> list[str]:
         """Take one letter; give the tokens that have become certain, often none."""
-        merges = self.merges
-        self.tail.append(symbol)
+        merges, tail, nodes = self.merges, self.tail, self.nodes
+        whole, known = merges.whole, merges.known
+        tail.append(symbol)
         self.seen += 1
         token, node = "", None
-        for back in range(1, min(len(self.tail), len(self.nodes)) + 1):
-            token = self.tail[-back] + token
-            before = self.nodes[-back]
-            if before is None or token not in merges.vocab or not merges.compatible("", token):
-                continue
-            if not before[0] or merges.compatible(before[0], token):
+        for letter, before in zip(reversed(tail), reversed(nodes)):
+            token = letter + token
+            if before is not None and whole[token] and (not before[0] or known[before[0], token]):
                 node = (token, before)
                 break
-        self.nodes.append(node)
-        del self.nodes[: -merges.longest], self.tail[: -merges.longest]
+        nodes.append(node)
+        if len(nodes) > merges.longest:
+            del nodes[: -merges.longest], tail[: -merges.longest]
         return self.certain() if self.seen % self.EVERY == 0 else []
 
     def certain(self) -> list[str]:
@@ -216,6 +231,9 @@ class Tokenizer:
         self.found = regex.compile(split["pattern"]["Regex"], regex.V0).findall
         self.split = Split(Regex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"])
         self.beyond = regex.compile(f"[{self.differing()}\U00010000-\U0010ffff]").search
+        plain = latin_pattern(split["pattern"]["Regex"])
+        same = plain and not any(map(self.beyond, map(chr, range(0x80, 0x250))))
+        self.plain = plain.findall if same else None
         self.lead = commonprefix(list(self.special))
         own = described["normalizer"]
         known = [s["type"] for s in own.get("normalizers", [own])] if own else []
@@ -245,6 +263,8 @@ class Tokenizer:
         return text.lower() if self.lowers and text.isascii() else self.normalizer.normalize_str(text)
 
     def words(self, text: str) -> list[str]:
+        if self.plain and not beyond_latin(text):
+            return self.plain(text)
         if text.isascii() or not self.beyond(text):
             return self.found(text)
         return [word for word, _ in self.split.pre_tokenize_str(text)]
@@ -258,8 +278,10 @@ class Tokenizer:
         if self.merges.mark:
             symbols[-1] += self.merges.mark
         out: list[int] = []
+        push = self.encoder.push
         for symbol in symbols:
-            out.extend(map(vocab.__getitem__, self.encoder.push(symbol)))
+            if certain := push(symbol):
+                out.extend(map(vocab.__getitem__, certain))
         out.extend(map(vocab.__getitem__, self.encoder.finish()))
         return tuple(out)
 
