@@ -47,6 +47,8 @@ class Model:
         self.divided = UNIT - 2 * vocabulary if version > 1 else UNIT
         self.room = UNIT - self.divided + self.divided // 256 if version > 1 else None
         self.frequency = np.ones(vocabulary, dtype=np.int64)
+        self.scaled = np.empty(vocabulary, dtype=np.int64)
+        self.cumulated = np.zeros(vocabulary + 1, dtype=np.int64)
         self.next_one = np.zeros(vocabulary, dtype=np.int64)
         self.sure_one = np.zeros(vocabulary, dtype=np.int64)
         self.next_two = np.zeros(1 << PAIR_BITS, dtype=np.int64)
@@ -68,8 +70,10 @@ class Model:
         self.rest = UNIT - self.w2 - self.w1
         frequency, total = self.frequency, int(self.frequency.sum())
         if self.room is not None and total > self.room:
-            frequency = 1 + frequency * (self.room - len(frequency)) // total
-        self.cumulated = np.concatenate([[0], np.cumsum(frequency)])
+            np.multiply(frequency, self.room - len(frequency), out=self.scaled)
+            frequency = np.floor_divide(self.scaled, total, out=self.scaled)
+            frequency += 1
+        np.cumsum(frequency, out=self.cumulated[1:])
         self.total = int(self.cumulated[-1])
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +109,7 @@ class Model:
             # of lanes in one context the last decides
             table[at] = np.where(replaced, ids, guess)
             certain[at] = np.where(replaced, 1, renewed)
-        self.frequency += GAIN * np.bincount(ids, minlength=len(self.frequency))
+        np.add.at(self.frequency, ids, GAIN)
         self.pair = (self.last * 0x9E3779B1 + ids * 0x85EBCA77) >> 7 & ((1 << PAIR_BITS) - 1)
         self.last = ids
 

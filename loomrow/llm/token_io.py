@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import work_folder
 from . import token_coder
-from .common import kept, quoted, slices, table
+from .common import beyond_latin, kept, latin_pattern, quoted, slices, table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: a block is closed when it has so many ids
@@ -32,6 +32,7 @@ SLICE_BYTES = 4 << 20
 MEMORY_WORDS = 600_000
 #: how byte-level tokenizers part a text before they merge
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PLAIN_WORDS = latin_pattern(WORDS.pattern)
 #: magic, documents, bytes of the header's arrays, their checksum
 HEADER = "<4sQQI"
 MAGIC = b"TIDF"
@@ -55,7 +56,7 @@ class Encoder:
         """The ids of each text; a null text has none."""
         # a special token in a text is one token, and may join words that the pattern parts
         whole = [bool(t) and any(s in t for s in self.special) for t in texts]
-        words = [[] if w or not t else WORDS.findall(t) for t, w in zip(texts, whole)]
+        words = [[] if w or not t else (WORDS if beyond_latin(t) else PLAIN_WORDS).findall(t) for t, w in zip(texts, whole)]
         if len(self.known) > MEMORY_WORDS:
             self.known.clear()
         new = list(set(chain.from_iterable(words)).difference(self.known))
