@@ -10,8 +10,9 @@ Two documents link when their distance is at most ``r = 1/4``. The join goes thr
 3. In each region the least node is the pivot. The exact distances to it are measured. Nodes within ``r`` are its
    ball and linked. Two nodes ``x, y`` link only if ``|d(x, p) - d(y, p)| <= r``, so that a node of the ball meets only nodes
    within ``2 r`` of the pivot.
-4. The nodes outside the ball are a region again, with a pivot of its own, until none is left. Pairs of a ball and its window
-   are compared only where they are not in one component yet: no link between different components is lost.
+4. Pairs of a ball and its window, and pairs outside the ball, are compared only where they are not in one component yet: no
+   link between different components is lost. Large regions are cut into blocks, and two blocks meet in one task. Sketches
+   name the pairs that may link; the nearest that would unite a region are measured first, then what is still apart.
 
 Document pivots alone do not part a corpus: nearly all pairs of documents share nothing, at distance 1 from one another,
 hence the first level of shingles.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import mixed, quoted, slices, table, utf8_buffer, written
 from .components import components
-from .regions import Filter, gathered, may_link, metric_links
+from .regions import Filter, gathered, may_link, metric_links, near_by_bits, others, rare_first, shares
 
 WORDS = 5
 #: linked when ``100 * intersection >= PERCENT * union``
@@ -38,8 +39,8 @@ SLICE_BYTES = 2 << 20
 FREQUENT, CHUNK_SHINGLES = 3, 4_000_000
 #: so many frequent shingles at most stand last in the order: 8 bytes each; which ones does not change the result
 MOST_FREQUENT = 1_000_000
-#: all pairs of a region of so many nodes are compared; larger ones take a pivot each round
-SMALL_REGION = 2000
+#: nodes of a block of a region; all pairs of two blocks are compared in one task
+SMALL_REGION = 1000
 #: bits of the sketch that bounds the intersection of two sets from above
 SKETCH_BITS = 4096
 
@@ -227,28 +228,52 @@ def near_by_sketch(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_in_groups(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs of each group, between components, that their sketches let link."""
+def forest(a: np.ndarray, b: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Those of the pairs, in their order, that unite components which the pairs before leave apart."""
+    parent = {c: c for c in component.tolist()}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip(component[a].tolist(), component[b].tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[x] = y
+            kept.append(k)
+    return np.array(kept, dtype=np.int64)
+
+
+def near_in_groups(groups: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
+    """The pairs of each group, between components, that their sketches let link; if ``few`` only the nearest that unite its components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for node, n, component, sketches in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "component", "sketch"))):
-                bits = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH_BITS // 8)
-                node, n, component = np.array(node), np.array(n, dtype=np.int64), np.array(component)
+            for node, n, component, zone, bits in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "component", "zone", "sketch"))):
+                order = rare_first(np.array(component))
+                node, n, component, zone = (np.array(x, dtype=np.int64)[order] for x in (node, n, component, zone))
+                bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(node), -1)[order]
+                left, right, share = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
                 for i in range(len(node) - 1):
-                    rest = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
-                    common = np.minimum(
-                        n[i] - np.bitwise_count(bits[i] & ~bits[rest]).sum(axis=1, dtype=np.int64),
-                        n[rest] - np.bitwise_count(bits[rest] & ~bits[i]).sum(axis=1, dtype=np.int64),
-                    )
-                    near = rest[100 * common >= PERCENT * (n[i] + n[rest] - common)]
-                    a.append(np.full(len(near), node[i]))
-                    b.append(node[near])
+                    near, common = near_by_bits(i, others(i, component, zone), n, bits, PERCENT)
+                    left.append(np.full(len(near), i))
+                    right.append(near)
+                    share.append(common / (n[i] + n[near] - common))
+                left, right, share = (np.concatenate(x) for x in (left, right, share))
+                if few:
+                    best = np.argsort(-share, kind="stable")
+                    best = best[forest(left[best], right[best], component)]
+                    left, right = left[best], right[best]
+                a.append(node[left])
+                b.append(node[right])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return gathered(groups, nodes, "sketch").mapInArrow(run, "a long, b long")
+    found = gathered(groups, nodes, "sketch").mapInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -286,17 +311,28 @@ def node_links(docs: DataFrame, nodes: DataFrame, text: str, key: str, frequent:
     members = windows(docs, text, frequent, Filter(regions, "shingle"))
     members = members.join(regions, "shingle", "left_semi").distinct().withColumnRenamed("shingle", "region")
 
-    def measure(pairs: DataFrame, percent: int) -> DataFrame:
-        """The exact intersections of those pairs that may share so much, from one document of each node."""
-        near = written(near_by_sketch(pairs, nodes, percent), "near")
+    def exact(near: DataFrame) -> DataFrame:
         ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
         wanted = written(nodes.join(ends, "node", "left_semi").select(F.xxhash64("rep").alias("key_hash")), "wanted")
         return written(shared(near, written(sets_of(docs, text, key, wanted), "sets")).distinct(), "measured")
 
-    def screen(groups: DataFrame) -> DataFrame:
-        return near_in_groups(groups, nodes)
-
-    return metric_links(written(members, "members"), measure, screen, PERCENT, SMALL_REGION)
+    def measure(pairs: DataFrame, percent: int) -> DataFrame:
+        """The exact intersections of those pairs that may share so much, from one document of each node."""
+        return exact(written(near_by_sketch(pairs, nodes, percent), "near"))
+
+    def within(groups: DataFrame) -> DataFrame:
+        """First the nearest pairs that would unite each group, then what may still link between components."""
+        groups = written(groups, "groups")
+        first = exact(written(near_in_groups(groups, nodes, few=True), "near"))
+        links = first.where(shares(PERCENT)).select("a", "b")
+        labels = components(links.union(groups.select("node", "component").distinct()))
+        named = groups.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = written(named.select("group", "region", "node", "n", "component", "zone"), "groups")
+        open_ = named.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("group")
+        last = near_in_groups(named.join(open_, "group", "left_semi"), nodes, few=False).join(first.select("a", "b"), ["a", "b"], "left_anti")
+        return links.union(exact(written(last, "near")).where(shares(PERCENT)).select("a", "b"))
+
+    return metric_links(written(members, "members"), measure, within, PERCENT, SMALL_REGION)
 
 
 def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

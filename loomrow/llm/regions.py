@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,8 +13,6 @@ from .components import components
 
 #: bits for each member of a broadcast filter, and at most in all (16 MB)
 FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 27
-#: about so many pivots at a time in regions that are still large after the first
-PIVOTS = 16
 
 
 class Filter:
@@ -57,83 +54,92 @@ def may_link(a: str, b: str, percent: int):
 def metric_links(
     members: DataFrame,
     measure: Callable[[DataFrame, int], DataFrame],
-    screen: Callable[[DataFrame], DataFrame],
+    within: Callable[[DataFrame], DataFrame],
     percent: int,
-    small_region: int,
+    block: int,
 ) -> DataFrame:
     """Links ``a, b`` among nodes of common regions, enough that their components are those of all links.
 
     ``members`` has ``region, node, n`` (the node's size). ``measure(pairs, percent)`` gives ``a, b, na, nb, common`` of
-    pairs ``a, b``; it may leave out pairs that share less than ``percent`` of their union. ``screen(groups)`` gives the pairs
-    ``a, b`` that may link among the members ``group, node, n, component`` of each group, between components. With ``r`` the distance that links:
-    the least node of a region is its pivot, nodes within ``r`` its ball. Nodes outside the ball go on as a region;
-    a node of the ball can link only with nodes within ``2 r`` of the pivot. Regions of at most ``small_region`` nodes end
-    in all their pairs. Pairs of one component are not compared again, and regions within one component are done.
+    pairs ``a, b``; it may leave out pairs that share less than ``percent`` of their union. ``within(groups)`` gives the links
+    ``a, b`` among the members ``group, region, node, n, component, zone`` of each group that unite its components. With ``r`` the
+    distance that links: the least node of a region is its pivot, nodes within ``r`` its ball (zone 0), those within ``2 r``
+    its window (zone 1), the rest lie beyond (zone 2); a node of the ball links with none beyond. What links with pivots forms
+    components. Regions within one component are done, regions of the same nodes count once, the others are compared
+    between components, in tiles of at most two blocks of ``block`` nodes (see :func:`tiles`). The number of steps does not
+    depend on the regions.
     """
     wide = max(100 - 2 * (100 - percent), 1)
-    kind = "a long, b long, na long, nb long, common long"
-    measured = members.sparkSession.createDataFrame([], kind)
-
-    rest, small, turn = members, [], 0
-    while True:
-        if turn == 0:
-            pivots = rest.groupBy("region").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("np"))
-        else:  # what is still large takes several at a time
-            sizes = written(rest.groupBy("region").agg(F.min("node").alias("least"), F.count("*").alias("count")), "sizes")
-            drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.greatest(F.floor(F.col("count") / PIVOTS), F.lit(1))) == 0
-            chosen = rest.join(sizes, "region").where((F.col("node") == F.col("least")) | drawn)
-            pivots = chosen.select("region", F.col("node").alias("pivot"), F.col("n").alias("np"))
-        pivots = written(pivots, "pivots")
-        met = rest.join(pivots, "region").where("node <> pivot")
-        pairs = met.where(may_link("n", "np", wide)).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        if turn:
-            pairs = pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti")
-        measured = measured.union(measure(pairs, wide))
-        links = measured.where(shares(percent)).select("a", "b")
-        found = components(links)
-        # pivots and their balls have met all others of the region
-        ball = links.select(F.col("a").alias("node"), F.col("b").alias("pivot"))
-        gone = met.join(ball, ["node", "pivot"], "left_semi").select("region", "node")
-        gone = gone.union(pivots.select("region", F.col("pivot").alias("node")))
-        labels = found.select("node", "component")
-        rest = rest.select("region", "node", "n").join(gone, ["region", "node"], "left_anti").join(labels, "node", "left")
-        rest = written(rest.withColumn("component", F.coalesce("component", "node")), "rest")
-        open_ = rest.groupBy("region").agg(F.count("*").alias("count"), F.min("component").alias("low"), F.max("component").alias("high"))
-        open_ = written(open_.where("low <> high").select("region", "count"), "open")
-        small.append(rest.join(open_.where(F.col("count") <= small_region), "region", "left_semi").select("region", "node", "n"))
-        large = open_.where(F.col("count") > small_region)
-        if large.isEmpty():
-            break
-        rest = rest.join(large, "region", "left_semi")
-        turn += 1
-
-    def with_component(df: DataFrame, column: str, name: str) -> DataFrame:
-        labels = found.select(F.col("node").alias(column), F.col("component").alias("c"))
-        return df.join(labels, column, "left").withColumn(name, F.coalesce("c", column)).drop("c")
-
-    # a ball and its window, where they are not in one component yet
-    window = measured.where(~shares(percent) & shares(wide)).select(F.col("a").alias("z"), F.col("b").alias("pivot"), F.col("na").alias("nz"))
-    window = with_component(with_component(window, "z", "cz"), "pivot", "cp").where("cz <> cp").select("z", "nz", "pivot")
-    ball = measured.where(shares(percent)).select(F.col("a").alias("y"), F.col("b").alias("pivot"), F.col("na").alias("ny"))
-    crossing = window.join(ball, "pivot").where(may_link("ny", "nz", percent)).where("y <> z")
-    crossing = crossing.select(F.least("y", "z").alias("a"), F.greatest("y", "z").alias("b"))
-    # small regions: all pairs of different components; equal regions count once
-    remaining = with_component(reduce(DataFrame.union, small), "node", "component")
-    groups = remaining.groupBy("region").agg(
-        F.sort_array(F.collect_list(F.struct("node", "n", "component"))).alias("nodes"),
-        F.min("component").alias("low"), F.max("component").alias("high"),
-    ).where("low <> high").select("nodes").distinct()
-    inside = groups.select(F.xxhash64("nodes").alias("group"), F.explode("nodes").alias("x")).select("group", "x.*")
-    others = screen(written(inside, "groups")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = crossing.union(others).distinct().join(measured.select("a", "b"), ["a", "b"], "left_anti")
-    last = last.join(measured.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    return links.union(measure(last, percent).where(shares(percent)).select("a", "b"))
-
-
-
-
-def gathered(groups: DataFrame, payload: DataFrame, column: str) -> DataFrame:
-    """``node, n, component`` and a payload of all members of each group, in lists; groups are small, so each is one row."""
-    members = groups.join(payload.select("node", column), "node")
-    lists = members.groupBy("group").agg(F.collect_list(F.struct("node", "n", "component", column)).alias("m"))
-    return lists.select(*[F.col("m")[c].alias(c) for c in ("node", "n", "component", column)])
+    pivots = written(members.groupBy("region").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("np")), "pivots")
+    met = members.join(pivots, "region").where("node <> pivot").where(may_link("n", "np", wide))
+    measured = measure(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), wide)
+    links = measured.where(shares(percent)).select("a", "b")
+    labels = components(links)
+    labelled = members.join(labels, "node", "left").select("region", "node", "n", F.coalesce("component", "node").alias("component"))
+    labelled = written(labelled, "labelled")
+    sums = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"sum{i}") for i in range(2)]
+    facts = [F.count("*").alias("count"), F.min("component").alias("low"), F.max("component").alias("high")]
+    several = labelled.groupBy("region").agg(*facts, *sums).where("low <> high")
+    several = several.groupBy("count", "sum0", "sum1").agg(F.min("region").alias("region"))
+    inside = labelled.join(several.select("region", "count"), "region").join(pivots.select("region", "pivot"), "region")
+    near = measured.where(shares(wide)).select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.when(shares(percent), 0).otherwise(1).alias("z"))
+    zone = F.when(F.col("node") == F.col("pivot"), 0).otherwise(F.coalesce("z", F.lit(2))).alias("zone")
+    inside = inside.join(near, ["node", "pivot"], "left").select("region", "node", "n", "component", zone, "count")
+    return links.union(within(tiles(written(inside, "inside"), block)))
+
+
+def tiles(inside: DataFrame, block: int) -> DataFrame:
+    """``group, region, node, n, component, zone``: groups in which all nodes of a region that are not of one component meet.
+
+    A region of at most ``block`` nodes is a group. A larger one is cut into blocks: each component of ``block`` nodes has blocks of
+    its own, the smaller ones share theirs. Two blocks make a group, unless both belong to one component.
+    """
+    columns = ["region", "node", "n", "component", "zone"]
+    small = inside.where(F.col("count") <= block).select(F.col("region").alias("group"), *columns)
+    large = inside.where(F.col("count") > block)
+    parts = large.groupBy("region", "component").agg(F.count("*").alias("size"))
+    alone = F.col("size") >= block
+    parts = written(parts.withColumn("alone", alone).withColumn("of", F.when(alone, F.col("component")).otherwise(F.lit(0))), "parts")
+    sizes = parts.groupBy("region", "alone", "of").agg(F.ceil(F.sum("size") / block).cast("int").alias("blocks"))
+    place = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part")
+    dealt = large.join(parts.join(sizes, ["region", "alone", "of"]).drop("size"), ["region", "component"])
+    dealt = dealt.select(F.struct("alone", "of", place).alias("block"), *columns)
+    blocks = sizes.select("region", "alone", "of", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    blocks = blocks.select("region", F.struct("alone", "of", "part").alias("block"))
+    pairs = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "region").where("x <= y")
+    pairs = pairs.where("not (x.alone and y.alone and x.of = y.of)").withColumn("group", F.xxhash64("region", "x", "y"))
+    ends = pairs.select("region", F.col("x").alias("block"), "group").union(pairs.where("x <> y").select("region", "y", "group"))
+    return small.union(dealt.join(ends, ["region", "block"]).select("group", *columns))
+
+
+def rare_first(component: np.ndarray) -> np.ndarray:
+    """An order of nodes by component, the most frequent component last."""
+    _, at, count = np.unique(component, return_inverse=True, return_counts=True)
+    return np.lexsort((at, count[at]))
+
+
+def others(i: int, component: np.ndarray, zone: np.ndarray) -> np.ndarray:
+    """The places beyond ``i`` of nodes of other components that the zones let link with that at ``i``."""
+    return np.flatnonzero((component[i + 1 :] != component[i]) & (np.abs(zone[i + 1 :] - zone[i]) < 2)) + i + 1
+
+
+def near_by_bits(i: int, rest: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``rest`` that may share ``percent`` of the union with the set at ``i``, and how much at most is common.
+
+    A bit that only one of two sets has stands for a member that only it has.
+    """
+    rest = rest[100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])]
+    own = bits[rest]
+    common = np.minimum(
+        n[i] - np.bitwise_count(bits[i] & ~own).sum(axis=1, dtype=np.int64), n[rest] - np.bitwise_count(own & ~bits[i]).sum(axis=1, dtype=np.int64)
+    )
+    keep = 100 * common >= percent * (n[i] + n[rest] - common)
+    return rest[keep], common[keep]
+
+
+def gathered(groups: DataFrame, payload: DataFrame, *columns: str) -> DataFrame:
+    """``region, node, n, component, zone`` and a payload of all members of each group, in lists; groups are small, so each is one row."""
+    names = ["region", "node", "n", "component", "zone", *columns]
+    members = groups.join(payload.select("node", *columns), "node")
+    lists = members.groupBy("group").agg(F.collect_list(F.struct(*names)).alias("m"))
+    return lists.select(*[F.col("m")[c].alias(c) for c in names])

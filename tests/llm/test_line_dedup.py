@@ -2,7 +2,8 @@
 
 import random
 
-from loomrow.llm import line_dedup
+from loomrow.llm import line_dedup, regions
+from loomrow.llm.components import components
 from loomrow.llm.line_dedup import bands, dedup_lines, normal, op1_line_dedup, shingles
 
 
@@ -102,3 +103,38 @@ def test_query(spark, data):
     df = op1_line_dedup(spark, data)
     assert df.count() == spark.read.parquet(f"{data}/documents.parquet").count()
     assert df.where("n_kept > n_lines").isEmpty()
+
+
+def test_steps_do_not_grow_with_regions(spark, monkeypatch):
+    rows = corpus(seed=4, count=40)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    calls = []
+
+    def counted(links):
+        calls.append(1)
+        return components(links)
+
+    monkeypatch.setattr(regions, "components", counted)
+    monkeypatch.setattr(line_dedup, "SMALL_REGION", 2)
+    monkeypatch.setattr(line_dedup, "FEW", 2)
+    want = brute(rows)
+    got = {r.doc_id: r.text for r in dedup_lines(df).collect()}
+    assert {k: got[k] for k in want} == want
+    assert len(calls) == 1
+
+
+def test_links_in_a_group_are_fewer_than_its_lines(spark):
+    rng = random.Random(6)
+    base = ["w%d" % rng.randrange(1000) for _ in range(80)]
+    texts = []
+    for i in range(40):
+        words = list(base)
+        words[rng.randrange(80)] = "x%d" % i
+        texts.append(" ".join(words))
+    lines = spark.createDataFrame(list(enumerate(texts)), "node long, line string")
+    for few in (0, 100):
+        groups = spark.createDataFrame([(1, 1, i, 1, i, 2) for i in range(40)], "group long, region long, node long, n int, component long, zone int")
+        line_dedup.FEW, before = few, line_dedup.FEW
+        found = line_dedup.linked_in_groups(groups, lines).collect()
+        line_dedup.FEW = before
+        assert len(found) == 39
