@@ -113,3 +113,13 @@ def test_words_that_any_polynomial_gives_one_value(spark):
     assert all(r.component_id == r.doc_id for r in jaccard_groups(df).collect())
     hashes, _ = word_hashes(pa.array(["ab ba aab", "a b", "abc", ""]))
     assert len(set(hashes.tolist())) == 6
+
+
+def test_pairs_of_a_group_to_unite_it_are_fewer_than_its_nodes(spark):
+    texts = ["w%d " % i + " ".join("c%d" % j for j in range(200)) for i in range(60)]
+    sets = list(jaccard_join.shingle_sets(pa.array(texts)))
+    nodes = spark.createDataFrame([(i, bytearray(jaccard_join.sketch(s))) for i, s in enumerate(sets)], "node long, sketch binary")
+    rows = [(1, 1, i, len(s), i, 2) for i, s in enumerate(sets)]
+    groups = spark.createDataFrame(rows, "group long, region long, node long, n long, component long, zone int")
+    assert jaccard_join.near_in_groups(groups, nodes, few=True).count() == 59
+    assert jaccard_join.near_in_groups(groups, nodes, few=False).count() == 60 * 59 // 2
