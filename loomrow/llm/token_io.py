@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,8 +29,10 @@ from .common import beyond_latin, kept, latin_pattern, quoted, slices, table
 TOKENIZER = "byte_bpe_50k.json"
 #: a block is closed when it has so many ids
 BLOCK_IDS = 1 << 21
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 MEMORY_WORDS = 600_000
+#: new words that the library encodes at a time
+BATCH_WORDS = 10_000
 #: how byte-level tokenizers part a text before they merge
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 PLAIN_WORDS = latin_pattern(WORDS.pattern)
@@ -50,7 +53,8 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, list[int]] = {}
+        #: ids as 32-bit integers, a fraction of what a list of them takes
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; a null text has none."""
@@ -60,14 +64,17 @@ class Encoder:
         if len(self.known) > MEMORY_WORDS:
             self.known.clear()
         new = list(set(chain.from_iterable(words)).difference(self.known))
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update(zip(new, (f.ids for f in found)))
+        # the library's results hold far more than the ids
+        for start in range(0, len(new), BATCH_WORDS):
+            some = new[start : start + BATCH_WORDS]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.known.update(zip(some, (array("I", f.ids).tobytes() for f in found)))
         ids = []
         for text, parts, special in zip(texts, words, whole):
-            own = self.tokenizer.encode(text, add_special_tokens=False).ids if special else list(
-                chain.from_iterable(map(self.known.__getitem__, parts))
-            )
-            ids.append(np.array(own, dtype=np.uint32))
+            if special:
+                ids.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32))
+            else:
+                ids.append(np.frombuffer(b"".join(map(self.known.__getitem__, parts)), dtype=np.uint32))
         return ids
 
 

@@ -115,3 +115,14 @@ def test_latin_texts_are_parted_by_a_plainer_pattern():
     library = Tokenizer.from_file(PATH)
     found = Encoder(open(PATH, encoding="utf-8").read()).encode(texts)
     assert all(list(f) == library.encode(t, add_special_tokens=False).ids for f, t in zip(found, texts))
+
+
+def test_words_are_remembered_as_few_bytes(monkeypatch):
+    monkeypatch.setattr(token_io, "BATCH_WORDS", 3)
+    path = public_tokenizers.path(token_io.TOKENIZER)
+    with open(path, encoding="utf-8") as file:
+        encoder = Encoder(file.read())
+    texts = ["plain words, and others that are plain words: 1234 tails", None, ""]
+    whole = Tokenizer.from_file(path)
+    assert [i.tolist() for i in encoder.encode(texts)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert all(isinstance(ids, bytes) and len(ids) % 4 == 0 for ids in encoder.known.values())
