@@ -30,7 +30,11 @@ UNIT = 1 << UNIT_BITS
 GAIN = 16
 CONFIDENCES = 8
 PAIR_BITS = 18
+#: by twice the confidence, and one more if the guess was right: the confidence from then on, and whether the id met takes the guess's place
+RENEWED = np.array([x for c in range(CONFIDENCES) for x in (max(c - 1, 1), min(c + 1, CONFIDENCES - 1))], dtype=np.int32)
+REPLACED = np.array([x for c in range(CONFIDENCES) for x in (c <= 1, False)])
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
+ONE, WORD_SHIFT, HIGH_SHIFT = np.uint64(1), np.uint64(16), np.uint64(48)
 
 
 def u64(x: int) -> np.uint64:
@@ -49,10 +53,9 @@ class Model:
         self.frequency = np.ones(vocabulary, dtype=np.int64)
         self.scaled = np.empty(vocabulary, dtype=np.int64)
         self.cumulated = np.zeros(vocabulary + 1, dtype=np.int64)
-        self.next_one = np.zeros(vocabulary, dtype=np.int64)
-        self.sure_one = np.zeros(vocabulary, dtype=np.int64)
-        self.next_two = np.zeros(1 << PAIR_BITS, dtype=np.int64)
-        self.sure_two = np.zeros(1 << PAIR_BITS, dtype=np.int64)
+        # the id that followed a context, and how sure it is: side by side, so that both are read and written at once
+        self.after_one, self.after_two = np.zeros(vocabulary, dtype=np.int64), np.zeros(1 << PAIR_BITS, dtype=np.int64)
+        (self.next_one, self.sure_one), (self.next_two, self.sure_two) = (x.view(np.int32).reshape(-1, 2).T for x in (self.after_one, self.after_two))
         # rights and trials at each confidence; none at confidence 0
         self.right = np.ones((2, CONFIDENCES), dtype=np.int64)
         self.tried = np.full((2, CONFIDENCES), 2, dtype=np.int64)
@@ -61,13 +64,17 @@ class Model:
 
     def predict(self) -> None:
         """The two predicted ids of each lane, their shares of the unit, and the cumulated frequencies."""
-        self.one, self.two = self.next_one[self.last], self.next_two[self.pair]
-        self.c1, self.c2 = self.sure_one[self.last], self.sure_two[self.pair]
+        (self.one, self.c1), (self.two, self.c2) = (
+            x.take(at).view(np.int32).reshape(-1, 2).T for x, at in ((self.after_one, self.last), (self.after_two, self.pair))
+        )
         shares = (self.divided * 15 // 16) * self.right // self.tried
         shares[:, 0] = 0
-        self.w2 = shares[1][self.c2]
-        self.w1 = shares[0][self.c1] * (self.divided - self.w2) // self.divided
-        self.rest = UNIT - self.w2 - self.w1
+        # what a lane's two confidences give: one of a few shares of the unit
+        both = self.c1 * CONFIDENCES + self.c2
+        w2 = np.tile(shares[1], CONFIDENCES)
+        w12 = w2 + np.repeat(shares[0], CONFIDENCES) * (self.divided - w2) // self.divided
+        self.w2, self.w12 = w2.take(both), w12.take(both)
+        self.rest = UNIT - self.w12
         frequency, total = self.frequency, int(self.frequency.sum())
         if self.room is not None and total > self.room:
             np.multiply(frequency, self.room - len(frequency), out=self.scaled)
@@ -78,12 +85,13 @@ class Model:
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each lane's id lies in the unit, and how wide."""
-        low = self.cumulated[ids] * self.rest // self.total
-        high = self.cumulated[ids + 1] * self.rest // self.total
+        low = self.cumulated.take(ids) * self.rest // self.total
+        high = self.cumulated[1:].take(ids) * self.rest // self.total
         first = (ids == self.two) & (self.w2 > 0)
-        second = (ids == self.one) & (self.w1 > 0) & ~first
-        start = np.where(first, 0, np.where(second, self.w2, self.w2 + self.w1 + low))
-        size = np.where(first, self.w2, np.where(second, self.w1, high - low))
+        second = (ids == self.one) & (self.w12 > self.w2) & ~first
+        start = np.where(second, self.w2, self.w12 + low)
+        start[first] = 0
+        size = np.where(first, self.w2, np.where(second, self.w12 - self.w2, high - low))
         if not size.all():
             # such a lane would count as settled for ever
             raise ValueError("an id has no code space")
@@ -91,24 +99,25 @@ class Model:
 
     def found(self, place: np.ndarray) -> np.ndarray:
         """The id whose interval holds a place of the unit."""
-        inner = np.maximum(place - self.w2 - self.w1, 0)
-        count = ((inner + 1) * self.total - 1) // self.rest
-        ids = np.searchsorted(self.cumulated, count, side="right") - 1
-        return np.where(place < self.w2, self.two, np.where(place < self.w2 + self.w1, self.one, ids))
+        ids = np.where(place < self.w2, self.two, self.one).astype(np.int64)
+        # only ids that neither context names are searched for
+        free = np.flatnonzero(place >= self.w12)
+        count = ((place[free] - self.w12[free] + 1) * self.total - 1) // self.rest[free]
+        order = np.argsort(count)
+        ids[free[order]] = np.searchsorted(self.cumulated, count[order], side="right") - 1
+        return ids
 
     def learn(self, ids: np.ndarray) -> None:
-        for row, guess, sure, table, certain, at in (
-            (0, self.one, self.c1, self.next_one, self.sure_one, self.last),
-            (1, self.two, self.c2, self.next_two, self.sure_two, self.pair),
-        ):
-            right = guess == ids
-            self.tried[row] += np.bincount(sure, minlength=CONFIDENCES)
-            self.right[row] += np.bincount(sure[right], minlength=CONFIDENCES)
-            renewed = np.where(right, np.minimum(sure + 1, CONFIDENCES - 1), np.maximum(sure - 1, 0))
-            replaced = ~right & (sure <= 1)
+        for row, guess, sure, table, at in ((0, self.one, self.c1, self.after_one, self.last), (1, self.two, self.c2, self.after_two, self.pair)):
+            case = sure * 2 + (guess == ids)
+            met = np.bincount(case, minlength=2 * CONFIDENCES)
+            self.tried[row] += met[::2] + met[1::2]
+            self.right[row] += met[1::2]
+            now = np.empty((len(ids), 2), dtype=np.int32)
+            now[:, 0] = np.where(REPLACED.take(case), ids, guess)
+            now[:, 1] = RENEWED.take(case)
             # of lanes in one context the last decides
-            table[at] = np.where(replaced, ids, guess)
-            certain[at] = np.where(replaced, 1, renewed)
+            table[at] = now.view(np.int64).ravel()
         np.add.at(self.frequency, ids, GAIN)
         self.pair = (self.last * 0x9E3779B1 + ids * 0x85EBCA77) >> 7 & ((1 << PAIR_BITS) - 1)
         self.last = ids
@@ -120,6 +129,11 @@ def shape(count: int) -> tuple[int, int]:
     return lanes, -(-count // lanes)
 
 
+def unsettled(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The lanes whose first word is certain, or whose width is too small to go on without giving one out."""
+    return np.flatnonzero(((low ^ (low + width)) < TOP) | (width < BOTTOM))
+
+
 def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     """One block; ids are below ``vocabulary``, and there are fewer than two million or so."""
     ids = np.asarray(ids, dtype=np.int64)
@@ -140,17 +154,17 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
         part = width >> u64(UNIT_BITS)
         low += part * start.astype(np.uint64)
         width = part * size.astype(np.uint64)
-        while True:
-            settled = (low ^ (low + width)) < TOP
-            narrow = ~settled & (width < BOTTOM)
-            out = np.flatnonzero(settled | narrow)
-            if not len(out):
-                break
-            width = np.where(narrow, (~low + u64(1)) & (BOTTOM - u64(1)), width)
+        out = unsettled(low, width)
+        l, w = low[out], width[out]
+        while len(out):
+            narrow = (l ^ (l + w)) >= TOP
+            w = np.where(narrow, (~l + ONE) & (BOTTOM - ONE), w)
             who.append(out)
-            what.append((low[out] >> u64(48)).astype(np.uint16))
-            low[out] <<= u64(16)
-            width[out] <<= u64(16)
+            what.append((l >> HIGH_SHIFT).astype(np.uint16))
+            l, w = l << WORD_SHIFT, w << WORD_SHIFT
+            low[out], width[out] = l, w
+            again = unsettled(l, w)
+            out, l, w = out[again], l[again], w[again]
         model.learn(row)
     everyone = np.arange(lanes)
     for shift in (48, 32, 16, 0):
@@ -193,17 +207,17 @@ def decode(block: bytes) -> np.ndarray:
         start, size = model.interval(ids)
         low += part * start.astype(np.uint64)
         width = part * size.astype(np.uint64)
-        while True:
-            settled = (low ^ (low + width)) < TOP
-            narrow = ~settled & (width < BOTTOM)
-            out = np.flatnonzero(settled | narrow)
-            if not len(out):
-                break
-            width = np.where(narrow, (~low + u64(1)) & (BOTTOM - u64(1)), width)
-            code[out] = code[out] << u64(16) | words[np.minimum(at[out], len(words) - 1)]
+        out = unsettled(low, width)
+        l, w = low[out], width[out]
+        while len(out):
+            narrow = (l ^ (l + w)) >= TOP
+            w = np.where(narrow, (~l + ONE) & (BOTTOM - ONE), w)
+            code[out] = code[out] << WORD_SHIFT | words[np.minimum(at[out], len(words) - 1)]
             at[out] += 1
-            low[out] <<= u64(16)
-            width[out] <<= u64(16)
+            l, w = l << WORD_SHIFT, w << WORD_SHIFT
+            low[out], width[out] = l, w
+            again = unsettled(l, w)
+            out, l, w = out[again], l[again], w[again]
         rows[step] = ids
         model.learn(ids)
     ids = rows.T.ravel()[:count]

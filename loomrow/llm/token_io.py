@@ -8,12 +8,13 @@ that Spark's commit protocol and any file system apply.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ TOKENIZER = "byte_bpe_50k.json"
 #: a block is closed when it has so many ids
 BLOCK_IDS = 1 << 21
 SLICE_BYTES = 1 << 20
-MEMORY_WORDS = 600_000
-#: new words that the library encodes at a time
+MEMORY_WORDS = 1_000_000
+#: new words beyond Latin that the library encodes at a time
 BATCH_WORDS = 10_000
 #: how byte-level tokenizers part a text before they merge
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -41,6 +42,24 @@ HEADER = "<4sQQI"
 MAGIC = b"TIDF"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level tokenizers write each byte: those that print stand for themselves, the rest follow from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Words(dict):
+    """The ids of words as 32-bit integers, a fraction of what a list of them takes; a new word is given to ``ask``."""
+
+    def __init__(self, ask: Callable[[str], list[int]]):
+        self.ask = ask
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = array("I", self.ask(word)).tobytes()
+        return found
+
+
 class Encoder:
     """The library's tokenizer, asked once for each different word."""
 
@@ -53,17 +72,26 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: ids as 32-bit integers, a fraction of what a list of them takes
-        self.known: dict[str, bytes] = {}
+        # what comes before the library's model leaves a word of a Latin text whole, in byte letters: the model may be asked at once
+        parts = json.loads(content)
+        before = parts.get("pre_tokenizer") or {}
+        kind = (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True))
+        self.direct = not parts.get("normalizer") and kind == ("ByteLevel", False, True)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.known = Words(self.merged)
+
+    def merged(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; a null text has none."""
         # a special token in a text is one token, and may join words that the pattern parts
         whole = [bool(t) and any(s in t for s in self.special) for t in texts]
-        words = [[] if w or not t else (WORDS if beyond_latin(t) else PLAIN_WORDS).findall(t) for t, w in zip(texts, whole)]
+        wide = [bool(t) and (not self.direct or bool(beyond_latin(t))) for t in texts]
+        words = [[] if w or not t else (WORDS if x else PLAIN_WORDS).findall(t) for t, w, x in zip(texts, whole, wide)]
         if len(self.known) > MEMORY_WORDS:
             self.known.clear()
-        new = list(set(chain.from_iterable(words)).difference(self.known))
+        new = list(set(chain.from_iterable(compress(words, wide))).difference(self.known))
         # the library's results hold far more than the ids
         for start in range(0, len(new), BATCH_WORDS):
             some = new[start : start + BATCH_WORDS]

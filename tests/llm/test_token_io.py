@@ -126,3 +126,29 @@ def test_words_are_remembered_as_few_bytes(monkeypatch):
     whole = Tokenizer.from_file(path)
     assert [i.tolist() for i in encoder.encode(texts)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert all(isinstance(ids, bytes) and len(ids) % 4 == 0 for ids in encoder.known.values())
+
+
+def test_new_latin_words_are_asked_of_the_model_alone():
+    with open(PATH, encoding="utf-8") as file:
+        encoder = Encoder(file.read())
+    library, asked = encoder.tokenizer, []
+
+    class Watched:
+        def __getattr__(self, name):
+            asked.append(name)
+            return getattr(library, name)
+
+    encoder.tokenizer = Watched()
+    texts = ["it's naïve: 12  \n\n Ärger\x1c\x7f don't ", "a" * 5000, " ", None, ""]
+    assert [i.tolist() for i in encoder.encode(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not asked
+    assert [i.tolist() for i in encoder.encode(["字 a"])] == [library.encode("字 a", add_special_tokens=False).ids] and asked
+
+
+def test_ids_that_a_context_names_are_not_searched_for(monkeypatch):
+    ids, searched = np.tile(np.arange(40), 4000), []
+    block = token_coder.encode(ids, 50_257)
+    search = np.searchsorted
+    monkeypatch.setattr(token_coder.np, "searchsorted", lambda a, v, **k: searched.append(np.size(v)) or search(a, v, **k))
+    assert (token_coder.decode(block) == ids).all()
+    assert sum(searched) < len(ids) / 4
