@@ -6,8 +6,10 @@ Two documents link when their distance is at most ``r = 1/4``. The join goes thr
 2. Shingles in one fixed order are the first pivots. A shingle ``s`` of a set ``x`` is nearer to it,
    ``1 - 1/|x|``, than any it lacks (1). A node lies in the region of the first shingles of its own; the window that the
    triangle inequality demands, so that each linked pair meets, are its first ``|x| - ceil(3|x|/4) + 1``
-   shingles: the node is replicated to the regions of all of them. Shingles that are frequent stand last in the order.
-3. In each region the least node is the pivot. The exact distances to it are measured. Nodes within ``r`` are its
+   shingles, and three more, so that it meets four times: the node is replicated to the regions of all of them. Shingles that are
+   frequent stand last in the order.
+3. In each region the least node is the pivot. The exact distances to it are measured, except between two nodes that meet less often
+   and have no other node in their regions. Nodes within ``r`` are its
    ball and linked. Two nodes ``x, y`` link only if ``|d(x, p) - d(y, p)| <= r``, so that a node of the ball meets only nodes
    within ``2 r`` of the pivot.
 4. Pairs of a ball and its window, and pairs outside the ball, are compared only where they are not in one component yet: no
@@ -34,6 +36,8 @@ from .regions import Filter, gathered, may_link, metric_links, near_by_bits, oth
 WORDS = 5
 #: linked when ``100 * intersection >= PERCENT * union``
 PERCENT = 75
+#: regions that two linked sets share; sets that meet by chance share one or two
+COMMON = 4
 SLICE_BYTES = 2 << 20
 #: a shingle in so many different documents of one chunk, of so many shingles, is frequent there
 FREQUENT, CHUNK_SHINGLES = 3, 4_000_000
@@ -94,8 +98,8 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
 
 
 def prefix_length(size: int) -> int:
-    """So many first shingles in one order meet those of every linked set."""
-    return size - -(-size * PERCENT // 100) + 1
+    """Of so many first shingles in one order every linked set has ``COMMON`` among its own, or as many as the two have in common."""
+    return min(size - -(-size * PERCENT // 100) + COMMON, size)
 
 
 def signed(values) -> np.ndarray:
@@ -209,8 +213,8 @@ def sets_of(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFram
     return docs.select(F.xxhash64(key).alias("key_hash"), text).mapInArrow(run, "node long, shingles binary")
 
 
-def near_by_sketch(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that may share ``percent`` of their union: all that do, and few that do not."""
+def near_by_sketch(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of pairs ``a, b, percent`` those that may share so much of their union: all that do, and few that do not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,13 +223,13 @@ def near_by_sketch(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFram
             only_a = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
             only_b = np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
             common = np.minimum(na - only_a, nb - only_b)
-            keep = 100 * common >= percent * (na + nb - common)
+            keep = 100 * common >= batch.column("percent").to_numpy() * (na + nb - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").where(may_link("na", "nb", percent))
-    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+    both = pairs.join(left, "a").join(right, "b").where(may_link("na", "nb", F.col("percent")))
+    return both.select("a", "b", "percent", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def forest(a: np.ndarray, b: np.ndarray, component: np.ndarray) -> np.ndarray:
@@ -316,9 +320,9 @@ def node_links(docs: DataFrame, nodes: DataFrame, text: str, key: str, frequent:
         wanted = written(nodes.join(ends, "node", "left_semi").select(F.xxhash64("rep").alias("key_hash")), "wanted")
         return written(shared(near, written(sets_of(docs, text, key, wanted), "sets")).distinct(), "measured")
 
-    def measure(pairs: DataFrame, percent: int) -> DataFrame:
+    def measure(pairs: DataFrame) -> DataFrame:
         """The exact intersections of those pairs that may share so much, from one document of each node."""
-        return exact(written(near_by_sketch(pairs, nodes, percent), "near"))
+        return exact(written(near_by_sketch(pairs, nodes), "near"))
 
     def within(groups: DataFrame) -> DataFrame:
         """First the nearest pairs that would unite each group, then what may still link between components."""
@@ -332,7 +336,7 @@ def node_links(docs: DataFrame, nodes: DataFrame, text: str, key: str, frequent:
         last = near_in_groups(named.join(open_, "group", "left_semi"), nodes, few=False).join(first.select("a", "b"), ["a", "b"], "left_anti")
         return links.union(exact(written(last, "near")).where(shares(PERCENT)).select("a", "b"))
 
-    return metric_links(written(members, "members"), measure, within, PERCENT, SMALL_REGION)
+    return metric_links(written(members, "members"), measure, within, PERCENT, SMALL_REGION, COMMON)
 
 
 def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

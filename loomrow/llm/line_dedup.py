@@ -30,6 +30,10 @@ SMALL_REGION = 1000
 FEW = 16
 #: bits of the sketch that bounds the intersection of two lines from above
 SKETCH_BITS = 4096
+#: bits of a letter in a packed shingle: seven letters make one whole number
+LETTER_BITS = 9
+#: letters from which on packed shingles are compared faster than texts
+LONG = 128
 SLICE_BYTES = 2 << 20
 #: characters whose signatures are made at a time, so that they stay in a core's cache
 PART = 1 << 16
@@ -49,6 +53,29 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
+def packed(line: str) -> np.ndarray | set[str]:
+    """The different shingles of a line: of long ones as sorted whole numbers, seven letters of nine bits each, if no letter is wider."""
+    if len(line) < LONG:
+        return shingles(line)
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if codes.max() >= 1 << LETTER_BITS:
+        return shingles(line)
+    one = codes.astype(np.uint64)
+    two = one[:-1] << np.uint64(LETTER_BITS) | one[1:]
+    four = two[:-2] << np.uint64(2 * LETTER_BITS) | two[2:]
+    values = np.sort(four[:-3] << np.uint64(3 * LETTER_BITS) | two[4:-1] << np.uint64(LETTER_BITS) | one[6:])
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
+
+
+def in_common(x: str, y: str, own: np.ndarray | set[str], other: np.ndarray | set[str]) -> int:
+    """How many different shingles two lines share, which are ``own`` and ``other`` when :func:`packed`."""
+    if isinstance(own, set) or isinstance(other, set):
+        own, other = (v if isinstance(v, set) else shingles(line) for line, v in ((x, own), (y, other)))
+        return len(own & other)
+    both = np.sort(np.concatenate([own, other]))
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each shingle of the lines, and how many each line has (none may be empty)."""
     # short lines are one shingle: padded, they have one window that begins within them
@@ -168,9 +195,9 @@ def compared(pairs: DataFrame, lines: DataFrame) -> DataFrame:
             facts, last, other = [], None, set()
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 if y != last:  # rows of one b stand together
-                    last, other = y, shingles(y)
-                own = shingles(x)
-                facts.append((len(own), len(other), len(own & other)))
+                    last, other = y, packed(y)
+                own = packed(x)
+                facts.append((len(own), len(other), in_common(x, y, own, other)))
             columns = [pa.array(c, pa.int64()) for c in (zip(*facts) if facts else ((), (), ()))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], names=["a", "b", "na", "nb", "common"])
 
@@ -194,7 +221,7 @@ def linked_in_groups(groups: DataFrame, lines: DataFrame) -> DataFrame:
                 texts, shared = [texts[k] for k in order], [set(shared[k]) for k in order]
                 few = len(node) <= FEW
                 sizes, bits = (None, None) if few else sketches(texts)
-                known: dict[int, set[str]] = {}
+                known: dict[int, np.ndarray | set[str]] = {}
                 for i in range(len(node) - 1):
                     near = others(i, component, zone)
                     if not few:
@@ -204,11 +231,11 @@ def linked_in_groups(groups: DataFrame, lines: DataFrame) -> DataFrame:
                         if component[i] != component[j] and min(shared[i] & shared[j]) == region[0]:
                             for k in (i, j):
                                 if k not in known:
-                                    known[k] = shingles(texts[k])
+                                    known[k] = packed(texts[k])
                             x, y = known[i], known[j] if few else known.pop(j)
                             if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
                                 continue
-                            common = len(x & y)
+                            common = in_common(texts[i], texts[j], x, y)
                             if 100 * common >= PERCENT * (len(x) + len(y) - common):
                                 a.append(node[i])
                                 b.append(node[j])
@@ -241,8 +268,8 @@ def line_components(docs: DataFrame, found: DataFrame) -> DataFrame:
     members = written(members.withColumn("n", F.lit(1)), "members")
     lines = written(lines_of(docs, found, written(members.select("node").distinct(), "wanted")), "lines")
 
-    def measure(pairs: DataFrame, percent: int) -> DataFrame:
-        return written(compared(pairs, lines), "measured")
+    def measure(pairs: DataFrame) -> DataFrame:
+        return written(compared(pairs.select("a", "b"), lines), "measured")
 
     def within(groups: DataFrame) -> DataFrame:
         return linked_in_groups(groups, lines)

@@ -46,45 +46,50 @@ def shares(percent: int):
     return 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))
 
 
-def may_link(a: str, b: str, percent: int):
+def may_link(a: str, b: str, percent):
     """Sizes alone put two sets further apart than the distance for which ``percent`` of the union is shared."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def metric_links(
     members: DataFrame,
-    measure: Callable[[DataFrame, int], DataFrame],
+    measure: Callable[[DataFrame], DataFrame],
     within: Callable[[DataFrame], DataFrame],
     percent: int,
     block: int,
+    least: int = 1,
 ) -> DataFrame:
     """Links ``a, b`` among nodes of common regions, enough that their components are those of all links.
 
-    ``members`` has ``region, node, n`` (the node's size). ``measure(pairs, percent)`` gives ``a, b, na, nb, common`` of
-    pairs ``a, b``; it may leave out pairs that share less than ``percent`` of their union. ``within(groups)`` gives the links
+    ``members`` has ``region, node, n`` (the node's size). ``measure(pairs)`` gives ``a, b, na, nb, common`` of
+    pairs ``a, b, percent``; it may leave out pairs that share less than ``percent`` of their union. ``within(groups)`` gives the links
     ``a, b`` among the members ``group, region, node, n, component, zone`` of each group that unite its components. With ``r`` the
     distance that links: the least node of a region is its pivot, nodes within ``r`` its ball (zone 0), those within ``2 r``
     its window (zone 1), the rest lie beyond (zone 2); a node of the ball links with none beyond. What links with pivots forms
-    components. Regions within one component are done, regions of the same nodes count once, the others are compared
+    components. A pivot is done when it is measured: the other nodes of its region go on without it, so a region of two is done. Regions
+    within one component are done, regions of the same nodes count once, the others are compared
     between components, in tiles of at most two blocks of ``block`` nodes (see :func:`tiles`). The number of steps does not
-    depend on the regions.
+    depend on the regions. Linked nodes share ``least`` regions, or ``percent`` of the larger size if that is less: two nodes that only meet in
+    regions of their own, and in fewer, are not measured.
     """
     wide = max(100 - 2 * (100 - percent), 1)
-    pivots = written(members.groupBy("region").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("np")), "pivots")
-    met = members.join(pivots, "region").where("node <> pivot").where(may_link("n", "np", wide))
-    measured = measure(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), wide)
+    pivots = members.groupBy("region").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("np"), F.count("*").alias("size"))
+    placed = written(members.join(written(pivots.where("size > 1"), "pivots"), "region").where("node <> pivot"), "placed")
+    met = placed.where(may_link("n", "np", wide)).groupBy(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    needed = F.least(F.lit(least), F.ceil(F.max(F.greatest("n", "np")) * percent / 100))
+    met = met.agg(F.max("size").alias("size"), F.count("*").alias("times"), needed.alias("needed")).where("size > 2 or times >= needed")
+    measured = measure(met.select("a", "b", F.when(F.col("size") > 2, wide).otherwise(percent).alias("percent")))
     links = measured.where(shares(percent)).select("a", "b")
     labels = components(links)
-    labelled = members.join(labels, "node", "left").select("region", "node", "n", F.coalesce("component", "node").alias("component"))
-    labelled = written(labelled, "labelled")
+    more = placed.where("size > 2").join(labels, "node", "left")
+    labelled = written(more.select("region", "node", "n", "pivot", F.coalesce("component", "node").alias("component")), "labelled")
     sums = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"sum{i}") for i in range(2)]
     facts = [F.count("*").alias("count"), F.min("component").alias("low"), F.max("component").alias("high")]
     several = labelled.groupBy("region").agg(*facts, *sums).where("low <> high")
     several = several.groupBy("count", "sum0", "sum1").agg(F.min("region").alias("region"))
-    inside = labelled.join(several.select("region", "count"), "region").join(pivots.select("region", "pivot"), "region")
+    inside = labelled.join(several.select("region", "count"), "region")
     near = measured.where(shares(wide)).select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.when(shares(percent), 0).otherwise(1).alias("z"))
-    zone = F.when(F.col("node") == F.col("pivot"), 0).otherwise(F.coalesce("z", F.lit(2))).alias("zone")
-    inside = inside.join(near, ["node", "pivot"], "left").select("region", "node", "n", "component", zone, "count")
+    inside = inside.join(near, ["node", "pivot"], "left").select("region", "node", "n", "component", F.coalesce("z", F.lit(2)).alias("zone"), "count")
     return links.union(within(tiles(written(inside, "inside"), block)))
 
 
