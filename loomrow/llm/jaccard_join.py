@@ -38,7 +38,8 @@ WORDS = 5
 PERCENT = 75
 #: regions that two linked sets share; sets that meet by chance share one or two
 COMMON = 4
-SLICE_BYTES = 2 << 20
+#: each byte of a slice takes some 60 in arrays
+SLICE_BYTES = 1 << 19
 #: a shingle in so many different documents of one chunk, of so many shingles, is frequent there
 FREQUENT, CHUNK_SHINGLES = 3, 4_000_000
 #: so many frequent shingles at most stand last in the order: 8 bytes each; which ones does not change the result
